@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import ngram_join
+import corpus_pipeline
+from tessera.llm import decontaminate, line_windows, ngram_join, packing, quality_rules
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op7_line_window_dedup": line_windows.op7_line_window_dedup,
+    "op9_packing": packing.op9_packing,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    "op7_line_window_dedup": line_windows.SQL,
     "op10_ngram_jaccard_join": ngram_join.SQL,
 }
