@@ -32,10 +32,12 @@ U64 = np.uint64
 N, THRESHOLD = 4, Fraction(2, 5)
 #: n-grams gathered by a map task before it writes them out; n-grams of one side of a block of a large component.
 GATHER, BLOCK = 1_500_000, 3_000_000
+#: Places of sets (40 bytes each) are sent to all tasks up to this many, and joined by a shuffle beyond.
+BROADCAST_ROWS = 200_000
 
 _PACKED = "part int, tokens binary, sets binary, counts binary, meta binary"
-_SHARED = "part int, tokens binary, sets binary, counts binary, df binary, meta binary"
-_SETS = "node long, doc_id long, n long, copies array<long>, tokens binary, df binary, lead int"
+_SHARED = "part int, origin int, tokens binary, sets binary, counts binary, df binary, meta binary"
+_SETS = "node long, doc_id long, n long, copies array<long>, shared int, tokens binary, df binary, lead int"
 
 
 def _bounds(sorted_keys: np.ndarray, n: int) -> np.ndarray:
@@ -52,18 +54,27 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 def _by_part(part: np.ndarray, sets: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of items ordered by part, then set: the sets named in each part, how many items each has there, and where each part's begin."""
     change = _runs(sets) if len(part) == 0 else np.r_[0, np.flatnonzero((part[1:] != part[:-1]) | (sets[1:] != sets[:-1])) + 1, len(part)]
+    size = np.diff(change)
+    if size.max(initial=0) > 65_535:  # a count has two bytes: a longer run is named again for each further 65,535
+        change = np.r_[np.concatenate([np.arange(a, b, 65_535) for a, b in zip(change, change[1:], strict=False)]), len(part)]
     first = change[:-1]
-    return sets[first], np.diff(change).astype(np.uint32), np.searchsorted(part[first], np.arange(parts + 1))
+    return sets[first], np.diff(change).astype(np.uint16), np.searchsorted(part[first], np.arange(parts + 1))
 
 
-def _six_bytes(h: np.ndarray) -> np.ndarray:
-    """The low 48 bits; the bucket tells the rest of what is kept of a hash."""
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6]
+def _five_bytes(h: np.ndarray) -> np.ndarray:
+    """The low 40 bits. Buckets are chosen by the others, so what is kept of a hash grows with their number."""
+    return np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :5]).reshape(-1)
+
+
+def _from_five_bytes(raw: np.ndarray) -> np.ndarray:
+    h = np.zeros((len(raw) // 5, 8), np.uint8)
+    h[:, :5] = raw.reshape(-1, 5)
+    return h.reshape(-1).view(U64)
 
 
 def _pack(n: int, parts: int):
     def rows(h, sets, meta):
-        part = ((h >> U64(48)) ^ (h >> U64(20))).astype(U64) % U64(parts)
+        part = (h >> U64(40)) % U64(parts)
         part = part.astype(np.uint16 if parts < 65536 else np.uint32)
         order = np.argsort(part, kind="stable")
         h, sets, part = h[order], sets[order], part[order]
@@ -72,8 +83,7 @@ def _pack(n: int, parts: int):
         home = (meta[:, 0] % U64(parts)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         meta_at = _bounds(home[order], parts)
-        row = np.ascontiguousarray(_six_bytes(h)).reshape(-1)
-        columns = [pa.array(np.arange(parts), pa.int32()), tb.binary(row, at * 6), tb.binary(named, named_at), tb.binary(counts, named_at), tb.binary(np.ascontiguousarray(meta[order]).reshape(-1), meta_at * 3)]
+        columns = [pa.array(np.arange(parts), pa.int32()), tb.binary(_five_bytes(h), at * 5), tb.binary(named, named_at), tb.binary(counts, named_at), tb.binary(np.ascontiguousarray(meta[order]).reshape(-1), meta_at * 3)]
         batch = pa.RecordBatch.from_arrays(columns, ["part", "tokens", "sets", "counts", "meta"])
         keep = (np.diff(at) > 0) | (np.diff(meta_at) > 0)
         return batch.filter(pa.array(keep))
@@ -107,11 +117,8 @@ def _shared(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        raw = tb.unpacked(table.column("tokens"), np.uint8).reshape(-1, 6)
-        h = np.zeros((len(raw), 8), np.uint8)
-        h[:, :6] = raw
-        h = h.reshape(-1).view(U64)
-        sets = np.repeat(tb.unpacked(table.column("sets"), U64), tb.unpacked(table.column("counts"), np.uint32))
+        h = _from_five_bytes(tb.unpacked(table.column("tokens"), np.uint8))
+        sets = np.repeat(tb.unpacked(table.column("sets"), U64), tb.unpacked(table.column("counts"), np.uint16))
         order = np.lexsort((sets, h))
         h, sets = h[order], sets[order]
         if len(h):
@@ -120,16 +127,16 @@ def _shared(parts: int):
         at = _runs(h)
         df = np.repeat(np.diff(at), np.diff(at))
         keep = df > 1
-        h, sets, df = h[keep] | U64((part & 0xFFFF) << 48), sets[keep], np.minimum(df[keep], 2**32 - 1).astype(np.uint32)
+        h, sets, df = h[keep], sets[keep], df[keep]
         home = (sets % U64(parts)).astype(np.int64)
         order = np.lexsort((sets, home))
         h, sets, df, home = h[order], sets[order], df[order], home[order]
         at = _bounds(home, parts)
         named, counts, named_at = _by_part(home, sets, parts)
         empty = tb.binary(np.zeros(0, np.uint8), np.zeros(parts + 1, np.int64))
-        out = pa.Table.from_arrays([pa.array(np.arange(parts), pa.int32()), tb.binary(h, at), tb.binary(named, named_at), tb.binary(counts, named_at), tb.binary(_levels(df), at), empty], ["part", "tokens", "sets", "counts", "df", "meta"]).filter(pa.array(np.diff(at) > 0))
+        out = pa.Table.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array([part] * parts, pa.int32()), tb.binary(_five_bytes(h), at * 5), tb.binary(named, named_at), tb.binary(counts, named_at), tb.binary(_levels(df), at), empty], ["part", "origin", "tokens", "sets", "counts", "df", "meta"]).filter(pa.array(np.diff(at) > 0))
         meta = tb.unpacked(table.column("meta"), np.uint8)
-        own = pa.Table.from_arrays([pa.array([part], pa.int32()), *(pa.array([b""], pa.binary()) for _ in range(4)), pa.array([meta.tobytes()], pa.binary())], ["part", "tokens", "sets", "counts", "df", "meta"])
+        own = pa.Table.from_arrays([pa.array([part], pa.int32()), pa.array([part], pa.int32()), *(pa.array([b""], pa.binary()) for _ in range(4)), pa.array([meta.tobytes()], pa.binary())], ["part", "origin", "tokens", "sets", "counts", "df", "meta"])
         return pa.concat_tables([out, own])
 
     return run
@@ -145,9 +152,10 @@ def _collected(num: int, den: int):
     """One row a set: its members, its shared n-grams in the global order, and how many of these are in its prefix."""
 
     def run(table: pa.Table) -> pa.Table:
-        h = tb.unpacked(table.column("tokens"), U64)
+        origin = np.repeat(table.column("origin").to_numpy(), tb.lengths_of(table.column("tokens"), 5))
+        h = _from_five_bytes(tb.unpacked(table.column("tokens"), np.uint8)) | (origin.astype(U64) << U64(40))
         df = tb.unpacked(table.column("df"), np.uint8)
-        sets = np.repeat(tb.unpacked(table.column("sets"), U64), tb.unpacked(table.column("counts"), np.uint32))
+        sets = np.repeat(tb.unpacked(table.column("sets"), U64), tb.unpacked(table.column("counts"), np.uint16))
         order = np.lexsort((h, df, sets))
         h, df, sets = h[order], df[order], sets[order]
         meta = tb.unpacked(table.column("meta"), U64).reshape(-1, 3)
@@ -168,11 +176,12 @@ def _collected(num: int, den: int):
                 pa.array([int(members[i][0]) for i in keep], pa.int64()),
                 pa.array(n[keep], pa.int64()),
                 pa.array([members[i][1:].tolist() for i in keep], pa.list_(pa.int64())),
+                pa.array(hi - lo, pa.int32()),
                 pa.array([h[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()),
                 pa.array([df[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()),
                 pa.array(lead[keep], pa.int32()),
             ],
-            ["node", "doc_id", "n", "copies", "tokens", "df", "lead"],
+            ["node", "doc_id", "n", "copies", "shared", "tokens", "df", "lead"],
         )
 
     return run
@@ -369,17 +378,23 @@ def jaccard_pairs(docs: DataFrame, n: int = N, threshold: Fraction | float = THR
     linked = sets.where("lead > 0")
     edges = linked.select("node", "n", "tokens", "lead").mapInArrow(_postings(parts), "part int, tokens binary, nodes binary, n binary").groupBy("part").applyInArrow(_links(num, den), "a long, b long")
     components = connected_components(edges)
-    member = linked.join(components, "node")
-    large = member.groupBy("component").agg(F.ceil(F.sum(F.length("tokens")) / F.lit(8 * block)).cast("int").alias("blocks")).where("blocks > 1")
-    placed = member.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(4 * parts))).otherwise(F.col("component")).alias("bundle"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "other")).alias("i"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("block", "other")).alias("j"),
-        "component", "block", "node", "doc_id", "n", "tokens", "df",
+    place = linked.select("node", "shared").join(components, "node")
+    large = place.groupBy("component").agg(F.ceil(F.sum("shared") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1")
+    place = place.join(large, "component", "left").select("node", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    place = place.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    place = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = written(
+        place.select(
+            F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(4 * parts))).otherwise(F.col("component")).alias("bundle"),
+            F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "other")).alias("i"),
+            F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("block", "other")).alias("j"),
+            "component", "block", "node",
+        ),
+        "ngram-places",
     )
+    if place.count() <= BROADCAST_ROWS:
+        place = F.broadcast(place)
+    placed = linked.select("node", "doc_id", "n", "tokens", "df").join(place, "node")
     pairs = placed.groupBy("bundle", "i", "j").applyInArrow(_joined(num, den), "doc_id_a long, doc_id_b long, jaccard double")
     copies = sets.select(F.col("doc_id").alias("doc_id_a"), F.explode("copies").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
     return pairs.union(copies).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
