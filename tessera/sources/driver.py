@@ -104,7 +104,7 @@ def people(spark: SparkSession, d: str) -> DataFrame:
 def places(spark: SparkSession, d: str) -> DataFrame:
     """Points (id, name, lat, lon), many within a few hundred metres of each other."""
     k = F.col("c_custkey")
-    return table(spark, d, "customer").select(k.alias("id"), F.concat(F.lit("place "), k % 400).alias("name"), (F.lit(40.0) + (k % 97) * F.lit(0.0031)).alias("lat"), (F.lit(-75.0) + (k % 89) * F.lit(0.0037)).alias("lon"))
+    return table(spark, d, "customer").select(k.alias("id"), F.concat(F.lit("place "), k % 400).alias("name"), (F.lit(40.0) + (k % 97) * F.lit(0.00031)).alias("lat"), (F.lit(-75.0) + (k % 89) * F.lit(0.00037)).alias("lon"))
 
 
 def revisions(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,7 @@ SQL = {
     "engagements": "engagements AS (SELECT event_id % 1000 AS chunk_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS engaged_at FROM events)",
     "deltas": "deltas AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, 'notes/' || (user_id % 40) || '.md' AS note_path, epoch_us(ts) // 1000 AS ts, event_id AS seq, CASE WHEN event_type = 'signup' THEN 'selection' ELSE 'change' END AS event_type, CASE event_type WHEN 'purchase' THEN 'undo' WHEN 'error' THEN 'input.paste' ELSE 'input.type' END AS user_event, CASE WHEN event_type IN ('view', 'error') THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS inserted, CASE WHEN event_type IN ('click', 'purchase') THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS deleted FROM events)",
     "people": "people AS (SELECT c_custkey AS id, c_name AS full_name, 'n' || c_nationkey || '.example' AS email_domain, CASE WHEN c_custkey % 3 = 0 THEN '+1555010' || lpad(CAST(c_custkey % 500 AS VARCHAR), 4, '0') END AS phone, CASE WHEN c_custkey % 7 = 0 THEN 'handle' || (c_custkey % 350) END AS discord_handle FROM customer UNION ALL SELECT s_suppkey + 1000000000, s_name, 'n' || s_nationkey || '.example', '+1555010' || lpad(CAST(s_suppkey % 500 AS VARCHAR), 4, '0'), NULL FROM supplier)",
-    "places": "places AS (SELECT c_custkey AS id, 'place ' || (c_custkey % 400) AS name, 40.0::DOUBLE + (c_custkey % 97) * 0.0031::DOUBLE AS lat, -75.0::DOUBLE + (c_custkey % 89) * 0.0037::DOUBLE AS lon FROM customer)",
+    "places": "places AS (SELECT c_custkey AS id, 'place ' || (c_custkey % 400) AS name, 40.0::DOUBLE + (c_custkey % 97) * 0.00031::DOUBLE AS lat, -75.0::DOUBLE + (c_custkey % 89) * 0.00037::DOUBLE AS lon FROM customer)",
     "revisions": "revisions AS (SELECT 'repo' AS repo, 'vault/' || l_orderkey || '.md' AS file_path, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(floor(l_extendedprice * 100) AS BIGINT) AS commit_sha, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS captured_at, CASE l_returnflag WHEN 'A' THEN 'add' WHEN 'R' THEN 'delete' ELSE 'modify' END AS change_type, CASE WHEN l_linestatus = 'O' THEN 'ai-coauthored' ELSE 'rob-authored' END AS authorship, CAST(floor(l_quantity * 200) AS BIGINT) AS size_bytes, CASE WHEN l_tax > 0.04 THEN 'summary' END AS summary FROM lineitem)",
 }
 
