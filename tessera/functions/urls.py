@@ -7,33 +7,33 @@ from pyspark.sql import functions as F
 
 TRACKING = sorted(
     set(
-        "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_name utm_brand utm_social fbclid gclid dclid msclkid mc_cid mc_eid igshid _hsenc _hsmi "
-        "_ga _gl yclid ref_src ref_url gad_source gad_campaignid gbraid wbraid rlz oq aqs sourceid ie client gs_lcrp sxsrf ved uact ei iflsig esrc sa vet biw bih psig gs_lp gs_ssp udm".split()
+        "ei ie oq sa _ga _gl aqs bih biw rlz udm ved vet esrc psig uact dclid gclid gs_lp sxsrf yclid client fbclid gbraid gs_ssp iflsig igshid mc_cid mc_eid wbraid "
+        "_hsenc _hsmi gs_lcrp msclkid ref_src ref_url sourceid gad_source gad_campaignid utm_id utm_name utm_term utm_brand utm_medium utm_social utm_source utm_content utm_campaign".split()
     )
 )
 _SPLIT = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
-_ROOTS = {"gmail": "gmail-root", "amazon": "amazon-root", "facebook": "facebook-root", "twitter": "twitter-root", "youtube": "youtube-root", "reddit": "reddit-root"}
-#: (pattern, reason); the first that matches counts.
-JUNK = [
-    *[(rf"^https?://(www\.)?{site}\.com/?$", f"junk:{reason}") for site, reason in _ROOTS.items()],
-    (r"^https?://mail\.google\.com/(mail/?(u/\d+/?)?(\?.*)?(#inbox/?)?)?$", "junk:gmail-inbox"),
-    (r"^https?://(www\.)?google\.com/?(\?.*)?$", "junk:google-root"),
-    (r"^https?://(www\.)?old\.reddit\.com/?$", "junk:reddit-root"),
-    (r"^https?://calendar\.google\.com/calendar/u/\d+/r/?(week|month|day|agenda)?/?$", "junk:google-calendar-landing"),
-    (r"^https?://contacts\.google\.com/u/\d+/?$", "junk:google-contacts-landing"),
-    (r"^https?://chrome\.google\.com/webstore", "junk:chrome-webstore"),
-    (r"^https?://redirect\.hp\.com/", "junk:hp-factory-redirect"),
-    (r"^https?://go\.microsoft\.com/fwlink/", "junk:microsoft-fwlink"),
-    (r"^chrome://", "junk:chrome-internal"),
-    (r"^javascript:", "junk:javascript-bookmarklet"),
-    (r"^about:", "junk:browser-internal"),
-    (r"^file://", "junk:local-file"),
-    (r"^https?://(localhost|127\.0\.0\.1)(:\d+)?/?", "junk:localhost"),
-]
-SKIP = [
-    (r"^https?://(www\.)?google\.com/search\?", "skip:google-search-result-redundant-with-SearchAction"),
-    (r"^https?://(www\.)?google\.com/url\?", "skip:google-redirect-redundant-with-SearchAction"),
-]
+_WWW = r"(?:www\.)?"
+
+
+def _at(host: str, path: str) -> str:
+    return "^https?://" + host + path
+
+
+#: Reason by pattern; the first pattern that matches counts.
+JUNK = {
+    **{_at(_WWW + site + r"\.com", "/?$"): f"{site}-root" for site in ("gmail", "amazon", "facebook", "twitter", "youtube", "reddit")},
+    _at(r"mail\.google\.com", r"/(?:mail/?(?:u/\d+/?)?(?:\?.*)?(?:#inbox/?)?)?$"): "gmail-inbox",
+    _at(_WWW + r"google\.com", r"/?(?:\?.*)?$"): "google-root",
+    _at(_WWW + r"old\.reddit\.com", "/?$"): "reddit-root",
+    _at(r"calendar\.google\.com", r"/calendar/u/\d+/r/?(?:agenda|day|month|week)?/?$"): "google-calendar-landing",
+    _at(r"contacts\.google\.com", r"/u/\d+/?$"): "google-contacts-landing",
+    _at(r"chrome\.google\.com", "/webstore"): "chrome-webstore",
+    _at(r"redirect\.hp\.com", "/"): "hp-factory-redirect",
+    _at(r"go\.microsoft\.com", "/fwlink/"): "microsoft-fwlink",
+    **{f"^{scheme}": why for scheme, why in (("chrome://", "chrome-internal"), ("javascript:", "javascript-bookmarklet"), ("about:", "browser-internal"), ("file://", "local-file"))},
+    _at(r"(?:localhost|127\.0\.0\.1)", r"(?::\d+)?/?"): "localhost",
+}
+SKIP = {_at(_WWW + r"google\.com", rf"/{page}\?"): f"google-{what}-redundant-with-SearchAction" for page, what in (("search", "search-result"), ("url", "redirect"))}
 
 
 def _coded(x: Column) -> Column:
@@ -60,20 +60,21 @@ def domain(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, _SPLIT, 2), F.lit(""))
 
 
-def _first(url: Column, ladder: list[tuple[str, str]]) -> Column:
+def _first(url: Column, ladder: dict[str, str], kind: str) -> Column:
     found = F.lit(None).cast("string")
-    for pattern, reason in reversed(ladder):
-        found = F.when(url.rlike(pattern), reason).otherwise(found)
+    for pattern, reason in reversed(ladder.items()):
+        found = F.when(url.rlike(pattern), f"{kind}:{reason}").otherwise(found)
     return found
 
 
 def junk(url: Column) -> Column:
     """Why a URL is junk, or null."""
-    return F.when(url.isNull() | (url == ""), "junk:empty-url").otherwise(_first(url, JUNK))
+    return F.when(F.coalesce(url, F.lit("")) == "", "junk:empty-url").otherwise(_first(url, JUNK, "junk"))
 
 
 def skip(url: Column) -> Column:
-    return _first(url, SKIP)
+    """Why a URL isn't taken at all, or null."""
+    return _first(url, SKIP, "skip")
 
 
 def youtube_video(url: Column) -> Column:

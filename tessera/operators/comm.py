@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.types import Number, Text
 from tessera.functions.values import in_range
 
 KEY = ["source_table", "id"]
 TABLE_RANK = F.when(F.col("source_table") == "emails", 0).when(F.col("source_table") == "chat_messages", 1).otherwise(2)
 
 
-def get_message(comm: DataFrame, recipients: DataFrame, attachments: DataFrame | None, msg_id: int, table: str | None = None) -> DataFrame:
+def get_message(comm: DataFrame, recipients: DataFrame, attachments: DataFrame | None, msg_id: int, table: Text = None) -> DataFrame:
     """The message of that id, with its recipients by label and attachments by id; of several tables' the first in order of email, chat, conversation."""
     found = comm.where(F.col("id") == msg_id)
     if table:
@@ -33,7 +34,7 @@ def get_message(comm: DataFrame, recipients: DataFrame, attachments: DataFrame |
     return out
 
 
-def get_thread(emails: DataFrame, thread_id: str | None = None, msg_id: int | None = None, max_messages: int = 50, preview: int = 300) -> DataFrame:
+def get_thread(emails: DataFrame, thread_id: Text = None, msg_id: Number = None, max_messages: int = 50, preview: int = 300) -> DataFrame:
     """The emails of a thread, or of the thread of a message, by date."""
     if thread_id is None and msg_id is None:
         raise ValueError("provide thread_id or msg_id")
@@ -50,7 +51,7 @@ def resolve_addresses(contacts: DataFrame, participant: str) -> DataFrame:
     return contacts.where(F.lower("display_name").contains(participant.lower())).select(F.lower("address").alias("address")).distinct()
 
 
-def get_conversation(chat: DataFrame, recipients: DataFrame, threads: DataFrame, participant: str, since: str | None = None, until: str | None = None, max_messages: int = 100, contacts: DataFrame | None = None, preview: int = 500) -> DataFrame:
+def get_conversation(chat: DataFrame, recipients: DataFrame, threads: DataFrame, participant: str, since: Text = None, until: Text = None, max_messages: int = 100, contacts: DataFrame | None = None, preview: int = 500) -> DataFrame:
     """Chat messages from a participant and, of the outbound ones, those to them or in a thread that they wrote in; newest first.
 
     The bounds compare with whole date strings, so a day as `until` ends at its midnight.
@@ -73,24 +74,24 @@ def get_conversation(chat: DataFrame, recipients: DataFrame, threads: DataFrame,
     return rows.orderBy(F.desc_nulls_last("date_sent"), "source_table", "msg_id", "direction").limit(max_messages)
 
 
-def stats_by_year(comm: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
+def stats_by_year(comm: DataFrame, since: Text = None, until: Text = None) -> DataFrame:
     return _bounded(comm, since, until).groupBy(F.substring("date_sent", 1, 4).alias("year")).agg(F.count("*").alias("messages"))
 
 
-def stats_by_direction(comm: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
+def stats_by_direction(comm: DataFrame, since: Text = None, until: Text = None) -> DataFrame:
     return _bounded(comm, since, until).groupBy("direction").agg(F.count("*").alias("n"))
 
 
-def top_senders(comm: DataFrame, since: str | None = None, until: str | None = None, limit: int = 20) -> DataFrame:
+def top_senders(comm: DataFrame, since: Text = None, until: Text = None, limit: int = 20) -> DataFrame:
     rows = _bounded(comm, since, until).where("is_bulk = 0").groupBy("sender_address").agg(F.count("*").alias("n"))
     return rows.orderBy(F.desc("n"), "sender_address").limit(limit)
 
 
-def _bounded(comm: DataFrame, since: str | None, until: str | None) -> DataFrame:
+def _bounded(comm: DataFrame, since: Text, until: Text) -> DataFrame:
     return comm.where(in_range(F.col("date_sent"), since, until)) if since or until else comm
 
 
-def find_messages_by_participant(comm: DataFrame, recipients: DataFrame, participant: str, role: str = "any", direction: str | None = None, since: str | None = None, until: str | None = None, limit: int = 50, include_bulk: bool = False, contacts: DataFrame | None = None) -> DataFrame:
+def find_messages_by_participant(comm: DataFrame, recipients: DataFrame, participant: str, role: str = "any", direction: Text = None, since: Text = None, until: Text = None, limit: int = 50, include_bulk: bool = False, contacts: DataFrame | None = None) -> DataFrame:
     """Messages with a participant as sender, recipient or either, newest first; matched_via lists how."""
     if role not in ("any", "sender", "recipient"):
         raise ValueError("role must be 'sender', 'recipient' or 'any'")
@@ -114,7 +115,7 @@ def find_messages_by_participant(comm: DataFrame, recipients: DataFrame, partici
     return rows.orderBy(F.desc_nulls_last("date_sent"), "source_table", "msg_id").limit(limit)
 
 
-def find_threads_by_subject(emails: DataFrame, query: str, since: str | None = None, until: str | None = None, limit: int = 30) -> DataFrame:
+def find_threads_by_subject(emails: DataFrame, query: str, since: Text = None, until: Text = None, limit: int = 30) -> DataFrame:
     """Threads of which a subject, or the id, holds the text; latest first."""
     q = query.lower()
     rows = _bounded(emails, since, until).where(F.col("thread_id").isNotNull() & (F.lower(F.coalesce("subject", F.lit(""))).contains(q) | F.lower("thread_id").contains(q)))
@@ -122,7 +123,7 @@ def find_threads_by_subject(emails: DataFrame, query: str, since: str | None = N
     return rolled.orderBy(F.desc_nulls_last("date_last"), "thread_id").limit(limit)
 
 
-def top_correspondents(comm: DataFrame, recipients: DataFrame, role: str = "sender", since: str | None = None, until: str | None = None, limit: int = 20, exclude_bulk: bool = True, exclude_self: bool = True) -> DataFrame:
+def top_correspondents(comm: DataFrame, recipients: DataFrame, role: str = "sender", since: Text = None, until: Text = None, limit: int = 20, exclude_self: bool = True, exclude_bulk: bool = True) -> DataFrame:
     """Addresses by number of messages that they sent, got, or both."""
     kept = _bounded(comm, since, until)
     if exclude_bulk:

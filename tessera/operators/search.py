@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.types import Text
 from tessera.functions.text import query_parts, snippet, tokens
 from tessera.functions.values import in_range, l2
 
@@ -56,7 +57,7 @@ def _matched(chunks: DataFrame, query: str) -> tuple[DataFrame, list[str]]:
     return rows.select("id", "date_sent", F.size("t").alias("dl"), *[c.cast("long").alias(n) for n, c in counts.items()]), list(counts)
 
 
-def bm25_search(chunks: DataFrame, query: str, k: int, op: str = "AND", since: str | None = None, until: str | None = None) -> DataFrame:
+def bm25_search(chunks: DataFrame, query: str, k: int, op: str = "AND", since: Text = None, until: Text = None) -> DataFrame:
     """(id, score): the k best of the chunks that hold all (or, with OR, any) parts of the query.
 
     One scan counts the parts in every chunk; one aggregate of it gives the
@@ -85,7 +86,7 @@ def bm25_postings(index: DataFrame, terms: list[str], k: int) -> DataFrame:
     return scored.groupBy("id").agg(F.round(F.sum(_bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("mean"))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def text_search(chunks: DataFrame, query: str, k: int, since: str | None = None, until: str | None = None) -> tuple[DataFrame, str]:
+def text_search(chunks: DataFrame, query: str, k: int, since: Text = None, until: Text = None) -> tuple[DataFrame, str]:
     """(id, score, rank), and a label: all parts first; any part if those are fewer than max(5, k // 4)."""
     rows = bm25_search(chunks, query, k, "AND", since, until)
     hits, op = rows.count(), "AND"
@@ -140,7 +141,7 @@ def hydrate(scored: DataFrame, chunks: DataFrame, snippet_chars: int = 240) -> D
     return shown.join(F.broadcast(scored), "id")
 
 
-def search(chunks: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: DataFrame | None = None, scores: DataFrame | None = None, k: int = 10, per_source_k: int = 50, since: str | None = None, until: str | None = None, mode: str = "hybrid", include_bulk: bool = False, include_meta: bool = False, year_normalize: bool = False, snippet_chars: int = 240) -> DataFrame:
+def search(chunks: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: DataFrame | None = None, scores: DataFrame | None = None, mode: str = "hybrid", k: int = 10, snippet_chars: int = 240, since: Text = None, until: Text = None, year_normalize: bool = False, include_meta: bool = False, include_bulk: bool = False, per_source_k: int = 50) -> DataFrame:
     """Hybrid retrieval: both legs, fused, cut to 2k, weighted, shown, filtered, cut to k.
 
     The filters for bulk and kind come after the first cut, so fewer than k

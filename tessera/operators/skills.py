@@ -28,7 +28,7 @@ def readiness(disciplines: DataFrame, practice: DataFrame, as_of: str, half_life
     return rows.select("label", value.alias("readiness"), (predicted(F.col("baseline"), F.col("_days"), r, floor) < F.col("baseline") * alarm).alias("atrophied"))
 
 
-def practice_events(commits: DataFrame, mapping: DataFrame, own: str = "rob-authored") -> DataFrame:
+def practice_events(commits: DataFrame, mapping: DataFrame, own: str = "owner-authored") -> DataFrame:
     """(label, at): own commits of mapping(repo, label)'s repositories."""
     return commits.where(F.col("authorship") == own).join(F.broadcast(mapping), "repo").select("label", F.col("captured_at").alias("at"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime, timedelta
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.types import Text
+
 
 def sessions(deltas: DataFrame) -> DataFrame:
     """One row a session: first and last time, and counts; what arrives late only widens it."""
@@ -53,13 +55,13 @@ def session_detail(deltas: DataFrame, session_id: str, n: int = 10) -> DataFrame
 def day_ms(day: str, end: bool = False) -> int | None:
     """Milliseconds at the beginning of a day in UTC, or of the day after; None for what is no day."""
     try:
-        at = datetime.strptime(day, "%Y-%m-%d").replace(tzinfo=UTC) + timedelta(days=int(end))
+        at = date.fromisoformat(day)
     except (ValueError, TypeError):
         return None
-    return int(at.timestamp() * 1000)
+    return ((at - date(1970, 1, 1)).days + int(end)) * 86_400_000
 
 
-def _bounded(sessions: DataFrame, since: str | None, until: str | None, note_path: str | None) -> DataFrame:
+def _bounded(sessions: DataFrame, since: Text, until: Text, note_path: str | None) -> DataFrame:
     if since and day_ms(since) is not None:
         sessions = sessions.where(F.col("started_at") >= day_ms(since))
     if until and day_ms(until, True) is not None:
@@ -67,13 +69,13 @@ def _bounded(sessions: DataFrame, since: str | None, until: str | None, note_pat
     return sessions.where(F.col("note_path") == note_path) if note_path else sessions
 
 
-def writing_stats(sessions: DataFrame, since: str | None = None, until: str | None = None, note_path: str | None = None) -> DataFrame:
+def writing_stats(sessions: DataFrame, since: Text = None, until: Text = None, note_path: Text = None) -> DataFrame:
     rows = _bounded(sessions, since, until, note_path)
     sums = ["doc_change_count", "selection_change_count", "insert_count", "delete_count", "total_inserted_chars", "total_deleted_chars", "undo_count", "paste_count"]
     out = rows.agg(F.count("*").alias("session_count"), F.countDistinct("note_path").alias("notes_touched"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.min("started_at").alias("earliest_start"), F.max(F.coalesce("ended_at", "started_at")).alias("latest_end"))
     return out.withColumn("rewrite_ratio", rewrite_ratio())
 
 
-def top_notes(sessions: DataFrame, since: str | None = None, until: str | None = None, note_path: str | None = None, n: int = 10) -> DataFrame:
+def top_notes(sessions: DataFrame, since: Text = None, until: Text = None, note_path: Text = None, n: int = 10) -> DataFrame:
     rows = _bounded(sessions, since, until, note_path).groupBy("note_path").agg(F.count("*").alias("session_count"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("doc_change_count", "total_inserted_chars", "total_deleted_chars")])
     return rows.orderBy(F.desc("doc_change_count"), F.desc("session_count"), "note_path").limit(n)

@@ -80,7 +80,7 @@ def _coverage(s, p):
     return coverage.matrix(rows.select(F.year("l_shipdate").alias("year"), coverage.classified(F.col("p_type"), F.lit("EmailMessage"), F.col("o_orderpriority"), RULES).alias("domain")), [*DOMAINS, "unclassified"])
 
 
-DOMAINS = ["career", "fitness", "health", "hobbies", "home", "money", "personal", "programming", "social"]
+DOMAINS = "career fitness health hobbies home money personal programming social".split()
 RULES = {"source_kind": {"ECONOMY": "money", "LARGE": "home", "SMALL": "health"}, "schema_type": {}, "sender_domain": {"1-urgent": "career", "5-low": "hobbies"}}
 _CELLS = "c AS (SELECT year(l_shipdate) AS year, coalesce(CASE p_type WHEN 'ECONOMY' THEN 'money' WHEN 'LARGE' THEN 'home' WHEN 'SMALL' THEN 'health' END, CASE lower(trim(o_orderpriority)) WHEN '1-urgent' THEN 'career' WHEN '5-low' THEN 'hobbies' END, 'unclassified') AS domain FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT year, domain, count(*) AS n FROM c WHERE year BETWEEN 1980 AND 2030 GROUP BY ALL), dm(domain) AS (VALUES " + ", ".join(f"('{x}')" for x in [*DOMAINS, "unclassified"]) + "), g AS (SELECT y.year, dm.domain, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT year FROM n) y CROSS JOIN dm LEFT JOIN n ON n.year = y.year AND n.domain = dm.domain), cells AS (SELECT year, domain, n, CASE WHEN domain = 'health' THEN 'health' ELSE 'main' END AS scale_group, CASE WHEN max(n) OVER (PARTITION BY domain) = 0 THEN 1.0 ELSE round(1 - n / max(n) OVER (PARTITION BY domain), 4) END AS sparsity FROM g)"
 _PART = "customer#00000001"

@@ -63,7 +63,7 @@ def _updates(s, p):
 
 
 def _dissolutions(s, p):
-    r = d.revisions(s, p).where("change_type = 'delete' and authorship = 'rob-authored'")
+    r = d.revisions(s, p).where("change_type = 'delete' and authorship = 'owner-authored'")
     return r.select("file_path", "commit_sha", F.concat(F.lit("d-"), "commit_sha").alias("dissolution_id"), F.col("captured_at").alias("dissolved_at"), F.when(F.col("size_bytes") % 400 == 0, "done").otherwise("").alias("reason"), F.when(F.col("size_bytes") > 5000, "[]").otherwise('["t"]').alias("target_tables")).distinct()
 
 
@@ -71,7 +71,7 @@ def _materializations(s, p):
     return d.table(s, p, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("vault/"), "o_orderkey", F.lit(".md")).alias("file_path"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("materialized_at"), F.col("o_orderkey").alias("run_id"))
 
 
-_DISS = "dissolutions AS (SELECT DISTINCT file_path, commit_sha, 'd-' || commit_sha AS dissolution_id, captured_at AS dissolved_at, CASE WHEN size_bytes % 400 = 0 THEN 'done' ELSE '' END AS reason, CASE WHEN size_bytes > 5000 THEN '[]' ELSE '[\"t\"]' END AS target_tables FROM revisions WHERE change_type = 'delete' AND authorship = 'rob-authored'), materializations AS (SELECT 'vault/' || o_orderkey || '.md' AS file_path, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS materialized_at, o_orderkey AS run_id FROM orders WHERE o_orderkey % 50 = 0)"
+_DISS = "dissolutions AS (SELECT DISTINCT file_path, commit_sha, 'd-' || commit_sha AS dissolution_id, captured_at AS dissolved_at, CASE WHEN size_bytes % 400 = 0 THEN 'done' ELSE '' END AS reason, CASE WHEN size_bytes > 5000 THEN '[]' ELSE '[\"t\"]' END AS target_tables FROM revisions WHERE change_type = 'delete' AND authorship = 'owner-authored'), materializations AS (SELECT 'vault/' || o_orderkey || '.md' AS file_path, strftime(o_orderdate, '%xT%X') AS materialized_at, o_orderkey AS run_id FROM orders WHERE o_orderkey % 50 = 0)"
 _NOTES = "notes AS (SELECT repo, file_path, arg_max(change_type, captured_at || commit_sha) AS last_change, max(captured_at) AS modified_at, min(captured_at) AS created_at, max(captured_at) FILTER (WHERE change_type = 'add') AS last_added_at, max(captured_at) FILTER (WHERE change_type = 'delete') AS last_deleted_at, count(*) AS revisions FROM revisions GROUP BY ALL), states AS (SELECT n.*, CASE WHEN last_change <> 'delete' THEN 'active' WHEN n.file_path IN (SELECT file_path FROM dissolutions) THEN 'dissolved' ELSE 'deleted' END AS status FROM notes n)"
 
 

@@ -114,25 +114,25 @@ def revisions(spark: SparkSession, d: str) -> DataFrame:
         F.lit("repo").alias("repo"), F.concat(F.lit("vault/"), "l_orderkey", F.lit(".md")).alias("file_path"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_extendedprice") * 100).cast("long")).alias("commit_sha"),
         F.date_format("l_shipdate", _ISO).alias("captured_at"), F.when(flag == "A", "add").when(flag == "R", "delete").otherwise("modify").alias("change_type"),
-        F.when(F.col("l_linestatus") == "O", "ai-coauthored").otherwise("rob-authored").alias("authorship"), F.floor(F.col("l_quantity") * 200).cast("long").alias("size_bytes"),
+        F.when(F.col("l_linestatus") == "O", "ai-coauthored").otherwise("owner-authored").alias("authorship"), F.floor(F.col("l_quantity") * 200).cast("long").alias("size_bytes"),
         F.when(F.col("l_tax") > 0.04, F.lit("summary")).alias("summary"),
     )
 
 
 #: DuckDB views of the same rows, to be put before a query's SQL.
 SQL = {
-    "emails": "emails AS (SELECT 'emails' AS source_table, o_orderkey AS id, o_orderpriority AS subject, lower(c_name || '@' || c_mktsegment || '.example') AS sender_address, c_name AS sender_name, CASE o_orderstatus WHEN 'O' THEN 'outbound' WHEN 'F' THEN 'inbound' ELSE 'self' END AS direction, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS date_sent, CASE WHEN starts_with(o_orderpriority, '5') THEN 1 ELSE 0 END AS is_bulk, CAST(o_custkey AS VARCHAR) AS thread_id, CAST(NULL AS VARCHAR) AS kind, o_orderpriority || ' ' || c_mktsegment || ' ' || o_orderkey AS body_text FROM orders JOIN customer ON o_custkey = c_custkey)",
-    "chat": "chat_messages AS (SELECT 'chat_messages' AS source_table, event_id AS id, event_type AS subject, 'user' || user_id AS sender_address, 'User ' || user_id AS sender_name, CASE event_type WHEN 'purchase' THEN 'outbound' WHEN 'error' THEN 'self' ELSE 'inbound' END AS direction, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date_sent, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS is_bulk, CAST(NULL AS VARCHAR) AS thread_id, CAST(NULL AS VARCHAR) AS kind, props AS body_text FROM events)",
+    "emails": "emails AS (SELECT 'emails' AS source_table, o_orderkey AS id, o_orderpriority AS subject, lower(c_name || '@' || c_mktsegment || '.example') AS sender_address, c_name AS sender_name, CASE o_orderstatus WHEN 'O' THEN 'outbound' WHEN 'F' THEN 'inbound' ELSE 'self' END AS direction, strftime(o_orderdate, '%xT%X') AS date_sent, CASE WHEN starts_with(o_orderpriority, '5') THEN 1 ELSE 0 END AS is_bulk, CAST(o_custkey AS VARCHAR) AS thread_id, CAST(NULL AS VARCHAR) AS kind, o_orderpriority || ' ' || c_mktsegment || ' ' || o_orderkey AS body_text FROM orders JOIN customer ON o_custkey = c_custkey)",
+    "chat": "chat_messages AS (SELECT 'chat_messages' AS source_table, event_id AS id, event_type AS subject, 'user' || user_id AS sender_address, 'User ' || user_id AS sender_name, CASE event_type WHEN 'purchase' THEN 'outbound' WHEN 'error' THEN 'self' ELSE 'inbound' END AS direction, strftime(ts, '%xT%X') AS date_sent, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS is_bulk, CAST(NULL AS VARCHAR) AS thread_id, CAST(NULL AS VARCHAR) AS kind, props AS body_text FROM events)",
     "conv": "conversations_messages AS (SELECT 'conversations_messages' AS source_table, conv_id * 1000 + turn AS id, CAST(NULL AS VARCHAR) AS subject, role AS sender_address, role AS sender_name, CASE role WHEN 'user' THEN 'outbound' WHEN 'assistant' THEN 'inbound' ELSE 'self' END AS direction, strftime(DATE '2015-01-01' + CAST((conv_id * 7) % 3650 AS INTEGER), '%Y-%m-%d') || 'T00:00:00' AS date_sent, 0 AS is_bulk, CAST(NULL AS VARCHAR) AS thread_id, CASE WHEN role IN ('user', 'assistant') THEN 'message' ELSE 'meta' END AS kind, text AS body_text FROM conversations)",
     "comm": "comm AS (SELECT * FROM emails UNION ALL SELECT * FROM chat_messages UNION ALL SELECT * FROM conversations_messages)",
     "recipients": "recipients AS (SELECT DISTINCT 'emails' AS source_table, l_orderkey AS id, s_name AS address FROM lineitem JOIN supplier ON l_suppkey = s_suppkey UNION ALL SELECT 'chat_messages', event_id, 'user' || (user_id + 1) FROM events WHERE event_type = 'purchase')",
     "threads": "threads AS (SELECT 'emails' AS source_table, o_orderkey AS id, 'c' || o_custkey AS thread FROM orders UNION ALL SELECT 'chat_messages', event_id, 'day' || strftime(ts, '%Y-%m-%d') FROM events)",
     "chunks": "chunks AS (SELECT doc_id AS id, 'documents' AS source_table, doc_id AS source_id, lang AS title, text AS content, strftime(DATE '2015-01-01' + CAST((doc_id * 7) % 3650 AS INTEGER), '%Y-%m-%d') AS date_sent, source AS source_kind, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS is_bulk, CASE WHEN doc_id % 7 = 0 THEN 'meta' ELSE 'message' END AS kind, n_chars FROM documents)",
-    "engagements": "engagements AS (SELECT event_id % 1000 AS chunk_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS engaged_at FROM events)",
+    "engagements": "engagements AS (SELECT event_id % 1000 AS chunk_id, strftime(ts, '%xT%X') AS engaged_at FROM events)",
     "deltas": "deltas AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, 'notes/' || (user_id % 40) || '.md' AS note_path, epoch_us(ts) // 1000 AS ts, event_id AS seq, CASE WHEN event_type = 'signup' THEN 'selection' ELSE 'change' END AS event_type, CASE event_type WHEN 'purchase' THEN 'undo' WHEN 'error' THEN 'input.paste' ELSE 'input.type' END AS user_event, CASE WHEN event_type IN ('view', 'error') THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS inserted, CASE WHEN event_type IN ('click', 'purchase') THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS deleted FROM events)",
     "people": "people AS (SELECT c_custkey AS id, c_name AS full_name, 'n' || c_nationkey || '.example' AS email_domain, CASE WHEN c_custkey % 3 = 0 THEN '+1555010' || lpad(CAST(c_custkey % 500 AS VARCHAR), 4, '0') END AS phone, CASE WHEN c_custkey % 7 = 0 THEN 'handle' || (c_custkey % 350) END AS discord_handle FROM customer UNION ALL SELECT s_suppkey + 1000000000, s_name, 'n' || s_nationkey || '.example', '+1555010' || lpad(CAST(s_suppkey % 500 AS VARCHAR), 4, '0'), NULL FROM supplier)",
     "places": "places AS (SELECT c_custkey AS id, 'place ' || (c_custkey % 400) AS name, 40.0::DOUBLE + (c_custkey % 97) * 0.00031::DOUBLE AS lat, -75.0::DOUBLE + (c_custkey % 89) * 0.00037::DOUBLE AS lon FROM customer)",
-    "revisions": "revisions AS (SELECT 'repo' AS repo, 'vault/' || l_orderkey || '.md' AS file_path, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(floor(l_extendedprice * 100) AS BIGINT) AS commit_sha, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS captured_at, CASE l_returnflag WHEN 'A' THEN 'add' WHEN 'R' THEN 'delete' ELSE 'modify' END AS change_type, CASE WHEN l_linestatus = 'O' THEN 'ai-coauthored' ELSE 'rob-authored' END AS authorship, CAST(floor(l_quantity * 200) AS BIGINT) AS size_bytes, CASE WHEN l_tax > 0.04 THEN 'summary' END AS summary FROM lineitem)",
+    "revisions": "revisions AS (SELECT 'repo' AS repo, 'vault/' || l_orderkey || '.md' AS file_path, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(floor(l_extendedprice * 100) AS BIGINT) AS commit_sha, strftime(l_shipdate, '%xT%X') AS captured_at, CASE l_returnflag WHEN 'A' THEN 'add' WHEN 'R' THEN 'delete' ELSE 'modify' END AS change_type, CASE WHEN l_linestatus = 'O' THEN 'ai-coauthored' ELSE 'owner-authored' END AS authorship, CAST(floor(l_quantity * 200) AS BIGINT) AS size_bytes, CASE WHEN l_tax > 0.04 THEN 'summary' END AS summary FROM lineitem)",
 }
 
 
