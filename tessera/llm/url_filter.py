@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import written
 
-#: Words that mark a host by themselves, as a delimited part of its name; the model learns from these hosts.
+#: Words that mark a host by themselves; the model learns from these hosts.
 SEED = ("casino", "win", "bet", "bets", "poker", "slots", "lottery", "jackpot", "cheap", "pills", "pharmacy", "viagra", "spam", "farm", "ads", "track", "tracker", "clicks", "popup", "xxx", "porn", "adult", "escort", "loan", "loans", "payday", "crack", "warez", "keygen", "torrent", "free", "replica")
 #: Of these, the ones common in honest names too mark a host only beside another.
 WEAK = ("win", "farm", "free", "cheap", "track", "crack")
@@ -95,8 +95,8 @@ def filtered(pages: DataFrame, labels: DataFrame | None = None, counts: DataFram
 
     Words are counted over the text of all pages, or given as counts(word, n).
     Naive Bayes is trained on all distinct URLs: labels(url, bad boolean) says
-    which are bad, or, without it, those are whose host holds a seed word as a
-    part of its own (a weak one only beside another). log_odds sums, over the
+    which are bad, or, without it, those are whose host, split into words, holds
+    a seed word (a weak one only beside another). log_odds sums, over the
     words of host and path, the log ratio of their shares in bad and other
     URLs, and that of the classes; from block_at on the verdict is 'block',
     below it 'allow'. Words that one class lacks count by Laplace's rule. A URL
@@ -107,14 +107,14 @@ def filtered(pages: DataFrame, labels: DataFrame | None = None, counts: DataFram
     urls = pages.select("url").where("url is not null").distinct()
     names = _named(urls)
     seg = segmented(names.where("name is not null").select("name").distinct(), counts if counts is not None else word_counts(pages))
+    words = names.join(seg, "name", "left").select("url", "kind", "at", F.posexplode_outer("words").alias("n", "word"))
+    words = written(words.withColumn("token", F.concat("kind", F.lit(":"), "word")), "url-words")
     if labels is None:
-        hit = lambda words: F.size(F.array_intersect(F.split("host", r"[^\p{L}]+"), F.array(*[F.lit(w) for w in words])))
-        strong = [w for w in SEED if w not in WEAK]
-        marked = names.withColumn("bad", (hit(strong) >= 1) | (hit(WEAK) >= 2))
+        host = lambda given: F.count_distinct(F.when((F.col("kind") == "h") & F.col("word").isin(*given), F.col("word")))
+        flags = words.groupBy("url").agg(((host([w for w in SEED if w not in WEAK]) >= 1) | (host(WEAK) >= 2)).alias("bad"))
     else:
-        marked = names.join(labels.where("url is not null").groupBy("url").agg(F.max("bad").alias("bad")), "url", "left")
-    words = marked.join(seg, "name", "left").select("url", "bad", "kind", "at", F.posexplode_outer("words").alias("n", "word"))
-    words = written(words.withColumn("token", F.concat("kind", F.lit(":"), "word")), "url-words")
+        flags = labels.where("url is not null").groupBy("url").agg(F.max("bad").alias("bad"))
+    words = words.join(flags, "url", "left")
     classes = words.groupBy("url").agg(F.max("bad").alias("bad")).agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
     tokens = words.where("token is not null").groupBy("token").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
     sums = tokens.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0)), F.count("*")).first()
