@@ -8,9 +8,10 @@ each stage's result into the shared folder and reads it again for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_windows, ngram_join, packing, quality_rules
-from tessera.llm.shared import table, written
+from tessera.llm.shared import fresh, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; so does a document that loses its last line with them."""
-    found = line_windows.without_repeated_windows(docs)
-    return found.where("removed_lines is null or removed_lines = 0 or left_lines > 0").select(*docs.columns)
+    removed, left = fresh(docs.columns, "removed_lines"), fresh(docs.columns, "left_lines")
+    found = line_windows.without_repeated_windows(docs, removed, left)
+    return found.where(F.coalesce((F.col(removed) == 0) | (F.col(left) > 0), F.lit(True))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

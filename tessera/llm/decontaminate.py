@@ -90,6 +90,8 @@ def _automaton(items: tuple[tuple[int, str], ...], rate: Fraction):
 def matches(data: np.ndarray, offsets: np.ndarray, items: tuple[tuple[int, str], ...], rate: Fraction) -> list[tuple[int, int, int]]:
     """(text, index of item, distance) of every item that a text holds within its budget. A text begins with two spaces and ends with one."""
     automaton, budget = _automaton(items, rate)
+    if not len(automaton) or not len(data):
+        return []
     data = _PLAIN[data]
     data[offsets[:-1]] = 10
     keep = np.ones(len(data), bool)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
+from tessera.llm.shared import least_hashed
 
 SEGMENT, HIDDEN, SIDE = 128, 8, 1024
 #: Documents of each language that the network is trained on, at most.
@@ -182,14 +183,8 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     text aren't used.
     """
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text <> ''")
-    names = sorted(r.lang for r in rows.select("lang").distinct().collect())
-    if not names:
-        return None
-    ids = None
-    for name in names:
-        some = rows.where(F.col("lang") == name).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        ids = some if ids is None else ids.union(some)
-    found = rows.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).collect()
+    ids = least_hashed(rows, "lang", sample)
+    found = rows.join(F.broadcast(ids), ["doc_id", "lang"]).collect()
     found.sort(key=lambda r: (r.lang, r.doc_id, r.text))
     return fit([r.text for r in found], [r.lang for r in found]) if found else None
 
@@ -201,13 +196,15 @@ def _labelled(net):
             for part in tb.chunks(batch, "text"):
                 data, offsets = tb.text_bytes(part.column("text"))
                 share, count = net.value.pooled(data, offsets)
-                n, none = len(share), np.diff(offsets) == 0
-                at = pa.array(np.where(none, None, np.arange(n) * len(names)).tolist() + [n * len(names)], pa.int32())
+                none = np.diff(offsets) == 0
+                n = int((~none).sum())
+                ends = np.r_[0, np.cumsum(~none)] * len(names)
+                at = pa.array(np.append(np.where(none, None, ends[:-1]), ends[-1]).tolist(), pa.int32())
                 keys = pa.array(names * n)
-                best = share.argmax(1) if n else np.zeros(0, int)
+                best = share.argmax(1)
                 lang = [None if e else names[b] for e, b in zip(none, best, strict=True)]
-                maps = [pa.MapArray.from_arrays(at, keys, v) for v in (pa.array(share.reshape(-1)), pa.array(count.reshape(-1)))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(share.max(1) if n else [], pa.float64(), mask=none), *maps], ["doc_id", "lang", "p_lang", "p", "labelled_bytes"])
+                maps = [pa.MapArray.from_arrays(at, keys, v) for v in (pa.array(share[~none].reshape(-1)), pa.array(count[~none].reshape(-1)))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(share.max(1), pa.float64(), mask=none), *maps], ["doc_id", "lang", "p_lang", "p", "labelled_bytes"])
 
     return run
 

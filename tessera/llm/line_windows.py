@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import row_key, written
+from tessera.llm.shared import fresh, row_key, written
 
 WIDTH = 3
 
@@ -34,8 +34,8 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     return later.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
-def without_repeated_windows(docs: DataFrame) -> DataFrame:
-    """docs with their lines deduplicated, and removed_lines bigint, left_lines bigint beside their columns.
+def without_repeated_windows(docs: DataFrame, removed: str = "removed_lines", left_lines: str = "left_lines") -> DataFrame:
+    """docs with their lines deduplicated, and two counts (bigint) beside their columns, of names that docs doesn't have.
 
     A window is three consecutive lines; lines are compared without the spaces
     around them, and blank lines don't count (they stay where they are, in
@@ -46,23 +46,21 @@ def without_repeated_windows(docs: DataFrame) -> DataFrame:
     what one of them loses, the others lose as well. A text of fewer than three
     lines has no window and stays; so does a null text, with nulls for both
     counts. n_chars, where there is such a column, is that of the new text.
-    left_lines counts the lines left that aren't blank.
+    The second count is of the lines left that aren't blank.
     """
-    keyed = docs.withColumns({"_row": row_key("doc_id", "text")})
-    gone = covered_lines(docs).withColumnRenamed("row", "_row")
-    joined = keyed.join(gone, "_row", "left")
+    row, away = fresh(docs.columns, "row"), fresh(docs.columns, "gone")
+    gone = covered_lines(docs).select(F.col("row").alias(row), F.col("gone").alias(away))
+    joined = docs.withColumn(row, row_key("doc_id", "text")).join(gone, row, "left")
+    touched = F.col(away).isNotNull()
     lines = F.split("text", "\n", -1)
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
-    joined = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    more = {
-        "removed_lines": F.when(F.col("text").isNotNull(), F.coalesce(F.size("gone"), F.lit(0)).cast("long")),
-        "left_lines": F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")).cast("long"),
-    }
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(away)), lambda i: F.get(lines, i))
+    joined = joined.withColumn("text", F.when(touched, F.array_join(left, "\n")).otherwise(F.col("text")))
+    count = F.when(F.col("text").isNotNull(), F.when(touched, F.size(away)).otherwise(0).cast("long"))
+    rest = F.when(F.col("text").isNotNull(), F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")).cast("long"))
+    more = {removed: count, left_lines: rest}
     if "n_chars" in docs.columns:
-        more["n_chars"] = F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
-    more["left_lines"] = F.when(F.col("text").isNotNull(), more["left_lines"])
-    more["removed_lines"] = F.when(F.col("text").isNotNull(), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long"))
-    return joined.withColumns(more).select(*[c for c in docs.columns if c not in ("removed_lines", "left_lines")], "removed_lines", "left_lines")
+        more["n_chars"] = F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return joined.withColumns(more).select(*docs.columns, removed, left_lines)
 
 
 def op7_line_window_dedup(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
+from tessera.llm.shared import least_hashed
 
 #: Labelled rows of each class to fit on, at most.
 SAMPLE = 3000
@@ -198,11 +199,11 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam | N
     shares = {r.quality: r["count"] for r in given.groupBy("quality").count().collect()}
     if not shares.get(0) or not shares.get(1):
         return None
-    parts = [given.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''").join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("doc_id", "quality", "text")
+    chosen = least_hashed(given.where("quality in (0, 1)"), "quality", sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
     found = sorted((r.doc_id, r.quality, tuple(r.x)) for r in rows.mapInArrow(_feature_rows, "doc_id long, quality int, x array<double>").collect())
     good = np.array([q for _, q, _ in found])
-    if good.min(initial=1) == good.max(initial=0):
+    if len(set(good.tolist())) < 2:
         return None
     return fit(np.array([x for _, _, x in found]), good, shares[1] / (shares[0] + shares[1]))
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
+from tessera.llm.shared import least_hashed
 
 U64 = np.uint64
 BITS = 17
@@ -127,14 +128,11 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     shares = {r.quality: r["count"] for r in given.groupBy("quality").count().collect()}
     if not shares.get(0) or not shares.get(1):
         return None
-    chosen = None
-    for quality in (0, 1):
-        some = given.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        chosen = some if chosen is None else chosen.union(some)
+    chosen = least_hashed(given.where("quality in (0, 1)"), "quality", sample)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     good = np.array([r.quality for r in rows])
-    if good.min(initial=1) == good.max(initial=0) or len(rows) < 8:
+    if len(set(good.tolist())) < 2 or len(rows) < 8:
         return None
     return fit([r.text for r in rows], good, shares[1] / (shares[0] + shares[1]))
 

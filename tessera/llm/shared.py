@@ -67,6 +67,41 @@ def parts_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def least_hashed(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """(doc_id, group): of every value of group, the n doc_ids of the least hash; group isn't null.
+
+    One count by group tells below which hash about 4 n + 64 rows lie, so that
+    no partition sends more than its few of these, at any size of the input.
+    Where fewer than n are there, for doc_ids that repeat, all rows of that
+    group are looked at.
+    """
+    spark = rows.sparkSession
+    rows = rows.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), group)
+    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    if not counts:
+        return rows.limit(0)
+    h, test = F.xxhash64("doc_id"), F.lit(False)
+    for value, count in counts.items():
+        share = (4 * n + 64) / count
+        test = F.when(F.col(group) == value, F.lit(True) if share >= 1 else h < int(-(2**63) + share * 2**64)).otherwise(test)
+    found: dict = {value: [] for value in counts}
+    for r in rows.where(test).withColumn("_h", h).distinct().collect():
+        found[r[group]].append((r["_h"], r.doc_id))
+    for value, count in counts.items():
+        if len(found[value]) < min(n, count):
+            found[value] = [(r["_h"], r.doc_id) for r in rows.where(F.col(group) == value).withColumn("_h", h).distinct().orderBy("_h").limit(n).collect()]
+    chosen = [(i, value) for value, got in found.items() for _, i in sorted(got)[:n]]
+    return spark.createDataFrame(chosen, rows.schema)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like `name` that isn't among columns, upper and lower case being one."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_key(*cols: str):
     """A key of a row's content: rows that agree in all cols are one row to an operator that uses it."""
     return F.xxhash64(*[F.col(c) for c in cols])
