@@ -17,7 +17,6 @@ from tessera.functions.types import Number, Text
 from tessera.functions.values import in_range
 
 KEY = ["source_table", "id"]
-TABLE_RANK = F.when(F.col("source_table") == "emails", 0).when(F.col("source_table") == "chat_messages", 1).otherwise(2)
 
 
 def get_message(comm: DataFrame, recipients: DataFrame, attachments: DataFrame | None, msg_id: int, table: Text = None) -> DataFrame:
@@ -25,7 +24,8 @@ def get_message(comm: DataFrame, recipients: DataFrame, attachments: DataFrame |
     found = comm.where(F.col("id") == msg_id)
     if table:
         found = found.where(F.col("source_table") == table)
-    found = found.orderBy(TABLE_RANK).limit(1)
+    rank = F.when(F.col("source_table") == "emails", 0).when(F.col("source_table") == "chat_messages", 1).otherwise(2)
+    found = found.orderBy(rank).limit(1)
     to = recipients.where(F.col("id") == msg_id).groupBy(KEY).agg(F.sort_array(F.collect_list("address")).alias("recipients"))
     out = found.join(to, KEY, "left").withColumn("recipients", F.coalesce("recipients", F.array().cast("array<string>")))
     if attachments is not None:

@@ -11,16 +11,13 @@ from pyspark.sql import types as T
 
 from tessera.functions.types import Text
 
-NEWEST = [F.desc_nulls_last("captured_at"), F.desc("commit_sha")]
-
-
 def revisions_of(revisions: DataFrame, path: Text = None, since: Text = None, until: Text = None, change_type: Text = None, limit: int = 50) -> DataFrame:
     """Revisions that meet the filters, newest first."""
     rows = revisions
     for test in (path is not None and F.col("file_path") == path, since is not None and F.col("captured_at") >= since, until is not None and F.col("captured_at") <= until, change_type is not None and F.col("change_type") == change_type):
         if test is not False:
             rows = rows.where(test)
-    return rows.orderBy(*NEWEST).limit(limit)
+    return rows.orderBy(F.desc_nulls_last("captured_at"), F.desc("commit_sha")).limit(limit)
 
 
 def latest(revisions: DataFrame) -> DataFrame:
