@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
+from tessera.llm.shared import least_hashed
 
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -139,8 +140,10 @@ def token_store(docs: DataFrame, vocabulary: str = VOCABULARY, tokenizers: str =
     spark = docs.sparkSession
     path = os.path.join(tokenizers, vocabulary)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = rows.where("text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text").coalesce(1)
-    raw = bytes(some.mapInArrow(_trained(path, dictionary_bytes), "payload binary").first().payload)
+    ids = least_hashed(rows.where("text <> ''").select("doc_id", F.lit(0).alias("all")), "all", sample).select("doc_id")
+    some = rows.where("text <> ''").join(F.broadcast(ids), "doc_id").select("doc_id", "text").coalesce(1).sortWithinPartitions("doc_id", "text").select("text")
+    made = some.mapInArrow(_trained(path, dictionary_bytes), "payload binary").first()
+    raw = bytes(made.payload) if made else b""
     shared = spark.sparkContext.broadcast(raw)
     schema = "kind string, shard long, doc_id long, offset long, n_bytes long, n_tokens long, dictionary string, payload binary"
     own = spark.createDataFrame([("dictionary", None, None, None, len(raw), None, hashlib.sha256(raw).hexdigest(), bytearray(raw))], schema)
