@@ -114,10 +114,10 @@ def _actions(s, p):
     part = d.table(s, p, "part").where("p_partkey % 20 = 0")
     k = F.col("p_partkey")
     n = d.table(s, p, "nation")
-    return part.join(n, (k % 25) == n.n_nationkey).select(F.col("n_name").alias("label"), F.concat(F.lit("a"), k).alias("action"), (k % 10 / 10).alias("est_value"), (k % 7 / 10).alias("cost"), (k % 3 / 10).alias("novelty"), (k % 4 / 4).alias("p_action"))
+    return part.join(n, (k % 25) == n.n_nationkey).select(F.col("n_name").alias("label"), F.concat(F.lit("a"), k).alias("action"), (k % 10).alias("est_value"), (k % 7).alias("cost"), (k % 3).alias("novelty"), ((k % 4 + 1) / 4).alias("p_action"))
 
 
-_ACT = "actions AS (SELECT n_name AS label, 'a' || p_partkey AS action, p_partkey % 10 / 10 AS est_value, p_partkey % 7 / 10 AS cost, p_partkey % 3 / 10 AS novelty, p_partkey % 4 / 4 AS p_action FROM part JOIN nation ON p_partkey % 25 = n_nationkey WHERE p_partkey % 20 = 0)"
+_ACT = "actions AS (SELECT n_name AS label, 'a' || p_partkey AS action, p_partkey % 10 AS est_value, p_partkey % 7 AS cost, p_partkey % 3 AS novelty, (p_partkey % 4 + 1) / 4 AS p_action FROM part JOIN nation ON p_partkey % 25 = n_nationkey WHERE p_partkey % 20 = 0)"
 
 
 def _copies(s, p):
@@ -130,7 +130,6 @@ def _proposals(s, p):
 
 
 _KEYS = "k AS (SELECT id, 'p' || phone AS k FROM people WHERE phone IS NOT NULL UNION ALL SELECT id, 'd' || discord_handle FROM people WHERE discord_handle IS NOT NULL), e AS (SELECT DISTINCT a.id AS x, b.id AS y FROM k a JOIN k b USING (k) WHERE a.id <> b.id)"
-_CC = "WITH RECURSIVE cc(x, y) AS (SELECT id, id FROM people UNION SELECT cc.x, e.y FROM cc JOIN e ON e.x = cc.y)"
 _HAV = "2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h))"
 
 
@@ -186,7 +185,7 @@ QUERIES = {
     "l02_lifecycle": lambda s, p: history.lifecycle(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
     "l03_audit": lambda s, p: history.audit(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
     "v01_classified": lambda s, p: history.classified(d.revisions(s, p), _dissolutions(s, p)).groupBy(F.coalesce("deletion", F.lit("none")).alias("deletion")).agg(F.count("*").alias("n")),
-    "r02_triple_deltas": lambda s, p: history.triple_deltas(_state_rows(s, p)),
+    "r02_triple_deltas": lambda s, p: history.triple_deltas(_state_rows(s, p)).withColumns({c: F.array_join(F.sort_array(c), ",") for c in ("added", "removed")}),
     "r01_diffs": lambda s, p: history.diffs(d.revisions(s, p).where("size_bytes < 600"), d.revisions(s, p).where("size_bytes < 600").select("commit_sha", "file_path", F.concat_ws("\n", "change_type", "captured_at").alias("body")).dropDuplicates(["commit_sha", "file_path"])),
     "k01_readiness": lambda s, p: skills.readiness(_disciplines(s, p), _practice(s, p), AS_OF),
     "k04_frontier": _frontier,
@@ -232,6 +231,7 @@ ORACLES = {
     "u01_normalize_url": r"SELECT page_id, CASE WHEN contains(a, '?') THEN regexp_replace(a, '/+\?', '?') ELSE regexp_replace(a, '/+$', '') END AS normalized, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain, 'ok' AS verdict FROM (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^http:', 'https:'), '\?utm_source=feed$', '') AS a FROM pages)",
     "c01_exact_copies": "WITH k AS (SELECT sha256(text) AS h, min(doc_id) AS a FROM documents GROUP BY 1) SELECT a, doc_id AS b, 'exact_content' AS rule, 0.99::DOUBLE AS confidence FROM documents JOIN k ON sha256(text) = h WHERE doc_id <> a",
     "c03_people_components": "WITH RECURSIVE " + with_views("people", "SELECT 1")[5:].rsplit(" SELECT 1", 1)[0] + f", {_KEYS}, cc(x, y) AS (SELECT id, id FROM people UNION SELECT cc.x, e.y FROM cc JOIN e ON e.x = cc.y) SELECT x AS id, min(y) AS survivor FROM cc GROUP BY x HAVING min(y) < x",
+    "c04_applied": "WITH RECURSIVE " + with_views("people", "SELECT 1")[5:].rsplit(" SELECT 1", 1)[0] + f", {_KEYS}, cc(x, y) AS (SELECT id, id FROM people UNION SELECT cc.x, e.y FROM cc JOIN e ON e.x = cc.y), m AS (SELECT x, min(y) AS id FROM cc GROUP BY x) SELECT id, count(*) AS n FROM m GROUP BY id",
     "c06_places_near": with_views("places", f"WITH p AS (SELECT a.id AS a, b.id AS b, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h FROM places a JOIN places b ON a.id < b.id) SELECT a, b, 'geo_within_100m' AS rule, 0.85::DOUBLE AS confidence FROM p WHERE {_HAV} <= 100"),
     "x_components": f"WITH RECURSIVE {_EDGE}, s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), cc(x, y) AS (SELECT x, x FROM s UNION SELECT cc.x, s.y FROM cc JOIN s ON s.x = cc.y) SELECT x AS node, min(y) AS component FROM cc GROUP BY x",
     "r01_revisions": with_views("revisions", "SELECT * FROM revisions WHERE captured_at >= '2000' AND change_type = 'delete' ORDER BY captured_at DESC NULLS LAST, commit_sha DESC LIMIT 40"),
@@ -249,6 +249,7 @@ ORACLES = {
     "l03_audit": with_views("revisions", f"WITH {_DISS} SELECT 'dissolution_without_revision' AS \"check\", 'error' AS severity, count(*) AS n FROM dissolutions d WHERE NOT EXISTS (FROM revisions r WHERE r.file_path = d.file_path AND r.commit_sha = d.commit_sha) UNION ALL SELECT 'dissolution_of_no_deletion', 'error', count(*) FROM dissolutions d WHERE EXISTS (FROM revisions r WHERE r.file_path = d.file_path AND r.commit_sha = d.commit_sha AND r.change_type <> 'delete') UNION ALL SELECT 'unexplained_deletion', 'warning', count(*) FROM revisions r WHERE change_type = 'delete' AND NOT EXISTS (FROM dissolutions d WHERE r.file_path = d.file_path AND r.commit_sha = d.commit_sha) UNION ALL SELECT 'dissolution_without_reason', 'warning', count(*) FROM dissolutions WHERE trim(reason) = '' UNION ALL SELECT 'dissolution_without_targets', 'info', count(*) FROM dissolutions WHERE target_tables = '[]' UNION ALL SELECT 'materialization_of_unknown_path', 'warning', count(*) FROM materializations m WHERE NOT EXISTS (FROM revisions r WHERE r.file_path = m.file_path)"),
     "v01_classified": with_views("revisions", f"WITH {_DISS} SELECT CASE WHEN change_type <> 'delete' THEN 'none' WHEN dissolution_id IS NOT NULL THEN 'dissolved' ELSE 'unexplained' END AS deletion, count(*) AS n FROM revisions LEFT JOIN dissolutions USING (file_path, commit_sha) GROUP BY 1"),
     "k01_readiness": f"WITH {_DISC}, practice AS (SELECT n_name AS label, sum(0.05 * exp(-ln(2) / 180 * greatest(0, (epoch(TIMESTAMP '2002-01-01') - epoch(o_orderdate)) / 86400.0))) AS lift FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 40 = 0 GROUP BY 1), x AS (SELECT d.label, baseline, lift, exp(-ln(2) / 180 * greatest(0, (epoch(TIMESTAMP '2002-01-01') - epoch(asserted_at::TIMESTAMP)) / 86400.0)) AS f FROM disciplines d LEFT JOIN practice USING (label)) SELECT label, CASE WHEN baseline IS NOT NULL OR lift IS NOT NULL THEN round(least(1.0, greatest(coalesce(baseline * 0.05, 0), coalesce(baseline * f, 0) + coalesce(lift, 0))), 4) END AS readiness, CASE WHEN baseline IS NOT NULL THEN greatest(baseline * 0.05, baseline * f) < baseline * 0.5 END AS atrophied FROM x",
+    "r02_triple_deltas": with_views("revisions", "WITH s AS (SELECT repo, file_path, commit_sha, captured_at, CASE WHEN change_type = 'delete' THEN [] ELSE [change_type, authorship, substr(captured_at, 1, 4)] END AS now FROM revisions WHERE size_bytes < 2000), w AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY repo, file_path ORDER BY captured_at, commit_sha), []) AS was FROM s) SELECT repo, file_path, commit_sha, array_to_string(list_sort(list_distinct(list_filter(now, lambda x: NOT list_contains(was, x)))), ',') AS added, array_to_string(list_sort(list_distinct(list_filter(was, lambda x: NOT list_contains(now, x)))), ',') AS removed FROM w"),
     "k04_frontier": f"WITH {_FRONT} SELECT * FROM frontier",
     "k05_ranked_actions": f"WITH {_FRONT}, {_ACT}, s AS (SELECT label, reason, action, round((est_value - cost + novelty) * p_action, 6) AS score FROM frontier JOIN actions USING (label)) SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, action) AS place FROM s",
 }
