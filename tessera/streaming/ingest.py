@@ -62,4 +62,4 @@ def seconds_of(interval: str) -> int:
     number, unit = interval[:-1], interval[-1:]
     if not number.isdigit() or unit not in "smhd" or not unit:
         raise ValueError(f"no interval: {interval!r}")
-    return int(number) * {"s": 1, "m": 60, "h": 3600, "d": 86_400}[unit]
+    return int(number) * dict(zip("smhd", (1, 60, 3600, 86_400), strict=True))[unit]

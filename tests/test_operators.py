@@ -62,7 +62,7 @@ def test_normalize_url(spark, url, want):
 
 
 def test_url_ladders(spark):
-    verdicts = {"https://www.gmail.com/": "junk:gmail-root", "http://localhost:8080/x": "junk:localhost", "about:blank": "junk:browser-internal", "": "junk:empty-url", "https://e.com": None, "https://mail.google.com/mail/u/0/#inbox": "junk:gmail-inbox"}
+    verdicts = {"https://www.gmail.com/": "junk:gmail-root", "http://localhost:8080/x": "junk:localhost", "about:blank": "junk:browser-internal", "": "junk:empty-url", "https://e.com": None, "http://mail.google.com/mail": "junk:gmail-inbox"}
     for url, want in verdicts.items():
         assert one(spark, urls.junk(F.col("a")), url) == want
     assert one(spark, urls.skip(F.col("a")), "https://www.google.com/search?q=x").startswith("skip:google-search")

@@ -61,13 +61,15 @@ def test_chat_and_discord():
 
 
 def test_message_html():
-    page = '<div><span class="timestamp">Jan 1</span><span class="sender">Me</span><span class="message">one &amp; two</span></div><div><span class="timestamp">Jan 2</span><span class="sender">+1 (555) 010-0000</span><span class="message">three</span></div>'
+    page = '<div><i class="timestamp">Jan 1</i><b class="sender">Me</b><span class="message">one &amp; two</span></div><div><span class="timestamp">Jan 2</span><span class="sender">+1 (555) 010-0000</span><span class="message">three</span></div>'
     a, b = rows(p.message_html, "Al & Bo.html", page)
     assert (a["direction"], a["body_text"], b["sender_address"], a["extra"]["group"]) == ("outbound", "one & two", "+15550100000", "true")
 
 
 def test_sessions_and_assistant():
-    lines = [{"type": "user", "uuid": "1", "sessionId": "s", "message": {"content": "q"}}, {"type": "assistant", "uuid": "2", "message": {"content": [{"type": "tool_use", "name": "t"}], "model": "m"}}, {"type": "user", "uuid": "3", "message": {"content": [{"type": "tool_result"}]}}, {"type": "assistant", "uuid": "4", "message": {"content": [{"type": "thinking", "thinking": "h"}]}}, {"type": "assistant", "uuid": "5", "isSidechain": True, "message": {"content": "z"}}]
+    turn = lambda who, n, said, **more: {"type": who, "uuid": n, "message": dict(content=said), **more}
+    part = lambda kind, **more: dict(type=kind, **more)
+    lines = [turn("user", "1", "q", sessionId="s"), turn("assistant", "2", [part("tool_use", name="t")]), turn("user", "3", [part("tool_result")]), turn("assistant", "4", [part("thinking", thinking="h")]), turn("assistant", "5", "z", isSidechain=True)]
     got = rows(p.session_jsonl, "f.jsonl", "\n".join(map(json.dumps, lines)) + "\n{bad")
     assert [g["kind"] for g in got] == ["message", "tool_use", "tool_result", "sidechain", "sidechain"]
     assert {g["thread_key"] for g in got} == {"s"}
@@ -88,7 +90,7 @@ def test_health():
     assert b["body_text"] == "Running | duration 30"
     (g,) = rows(p.apple_health, "r.gpx", '<gpx xmlns="http://x"><trk><trkseg><trkpt lat="1.5" lon="-2"><time>t</time></trkpt></trkseg></trk></gpx>')
     assert (g["lat"], g["lon"]) == (1.5, -2.0)
-    f = rows(p.google_fit, "f.json", json.dumps({"Data Points": [{"dataTypeName": "com.google.activity.segment", "startTimeNanos": 10**18, "fitValue": [{"value": {"intVal": 8}}]}, {"dataTypeName": "com.google.weight", "startTimeNanos": 1, "fitValue": [{"value": {"fpVal": 70.5}}]}, {"x": 1}]}))
+    f = rows(p.google_fit, "f.json", json.dumps({"Data Points": [{"dataTypeName": "com.google.activity.segment", "startTimeNanos": 10**18, "fitValue": [dict(value=dict(intVal=8))]}, {"dataTypeName": "com.google.weight", "startTimeNanos": 1, "fitValue": [{"value": {"fpVal": 70.5}}]}, {"x": 1}]}))
     assert [(x["schema_type"], x["body_text"]) for x in f] == [("ExerciseAction", "running"), ("Observation", "70.5")]
     assert (p.pounds(100), p.pounds(0), p.pounds(None)) == (220.5, None, None)
 
@@ -98,7 +100,8 @@ def test_media_and_places():
     assert [(g["subject"], g["kind"]) for g in got] == [("T — A", "music"), ("E", "podcast")]
     (b,) = rows(p.goodreads, "g.csv", "\ufeffTitle,ISBN,My Rating\nBook,\"=\"\"978\"\"\",4\n,,\n")
     assert (b["subject"], b["extra"]["isbn"], b["value"]) == ("Book", "978", 4.0)
-    t = rows(p.timeline, "t.json", json.dumps([{"startTime": "2020-01-01T00:00:00Z", "visit": {"topCandidate": {"semanticType": "Home", "placeLocation": "geo:1.5,2.5"}}}, {"startTime": "2020-01-01T00:00:00Z", "timelinePath": [{"point": "geo:3,4", "durationMinutesOffsetFromStartTime": "5"}, {"point": "x"}]}]))
+    began = "2020-01-01T00:00:00Z"
+    t = rows(p.timeline, "t.json", json.dumps([dict(startTime=began, visit=dict(topCandidate=dict(semanticType="Home", placeLocation="geo:1.5,2.5"))), dict(startTime=began, timelinePath=[dict(point="geo:3,4", durationMinutesOffsetFromStartTime="5"), dict(point="x")])]))
     assert (t[0]["lat"], t[0]["lon"]) == (1.5, 2.5) and t[1]["date"] == "2020-01-01T00:05:00+00:00" and len(t) == 2
     (o,) = rows(p.amazon, "Retail.OrderHistory.1.csv", "Order Date,Product Name,Total Owed\n2020,Cup,3.5\n")
     assert (o["schema_type"], o["subject"], o["date"]) == ("OrderAction", "Cup", "2020")
