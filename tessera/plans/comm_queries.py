@@ -82,7 +82,7 @@ def _coverage(s, p):
 
 DOMAINS = "career fitness health hobbies home money personal programming social".split()
 RULES = {"source_kind": {"ECONOMY": "money", "LARGE": "home", "SMALL": "health"}, "schema_type": {}, "sender_domain": {"1-urgent": "career", "5-low": "hobbies"}}
-_CELLS = "c AS (SELECT year(l_shipdate) AS year, coalesce(CASE p_type WHEN 'ECONOMY' THEN 'money' WHEN 'LARGE' THEN 'home' WHEN 'SMALL' THEN 'health' END, CASE lower(trim(o_orderpriority)) WHEN '1-urgent' THEN 'career' WHEN '5-low' THEN 'hobbies' END, 'unclassified') AS domain FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT year, domain, count(*) AS n FROM c WHERE year BETWEEN 1980 AND 2030 GROUP BY ALL), dm(domain) AS (VALUES " + ", ".join(f"('{x}')" for x in [*DOMAINS, "unclassified"]) + "), g AS (SELECT y.year, dm.domain, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT year FROM n) y CROSS JOIN dm LEFT JOIN n ON n.year = y.year AND n.domain = dm.domain), cells AS (SELECT year, domain, n, CASE WHEN domain = 'health' THEN 'health' ELSE 'main' END AS scale_group, CASE WHEN max(n) OVER (PARTITION BY domain) = 0 THEN 1.0 ELSE round(1 - n / max(n) OVER (PARTITION BY domain), 4) END AS sparsity FROM g)"
+_CELLS = "c AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, coalesce(CASE p_type WHEN 'ECONOMY' THEN 'money' WHEN 'LARGE' THEN 'home' WHEN 'SMALL' THEN 'health' END, CASE lower(trim(o_orderpriority)) WHEN '1-urgent' THEN 'career' WHEN '5-low' THEN 'hobbies' END, 'unclassified') AS domain FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT year, domain, count(*) AS n FROM c WHERE year BETWEEN 1980 AND 2030 GROUP BY ALL), dm(domain) AS (VALUES " + ", ".join(f"('{x}')" for x in [*DOMAINS, "unclassified"]) + "), g AS (SELECT y.year, dm.domain, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT year FROM n) y CROSS JOIN dm LEFT JOIN n ON n.year = y.year AND n.domain = dm.domain), cells AS (SELECT year, domain, n, CASE WHEN domain = 'health' THEN 'health' ELSE 'main' END AS scale_group, CASE WHEN max(n) OVER (PARTITION BY domain) = 0 THEN 1.0 ELSE round(1 - n / max(n) OVER (PARTITION BY domain), 4) END AS sparsity FROM g)"
 _PART = "customer#00000001"
 
 QUERIES = {
@@ -141,7 +141,7 @@ def _files(s, p):
 _FILES = "files AS (SELECT lang AS source_org, source AS source_kind, CAST(sum(n_chars) AS BIGINT) AS message_count FROM documents GROUP BY ALL)"
 _CORR = "SELECT address, max(name) AS name, count(*) AS message_count FROM ({legs}) GROUP BY address ORDER BY message_count DESC, address NULLS FIRST LIMIT 20"
 _SENT = "SELECT sender_address AS address, sender_name AS name FROM comm WHERE is_bulk = 0 AND direction <> 'self'{w}"
-_GOT = "SELECT address, NULL AS name FROM recipients JOIN comm USING (source_table, id) WHERE is_bulk = 0 AND direction <> 'self'{w}"
+_GOT = "SELECT address, CAST(NULL AS VARCHAR) AS name FROM recipients JOIN comm USING (source_table, id) WHERE is_bulk = 0 AND direction <> 'self'{w}"
 _W = " AND substr(date_sent, 1, 10) >= '1996-01-01' AND substr(date_sent, 1, 10) <= '1998-12-31'"
 _MSG = "source_table, id AS msg_id, substr(date_sent, 1, 10) AS date, date_sent, direction, coalesce(nullif(sender_name, ''), sender_address) AS sender, sender_address, subject, thread_id, is_bulk, matched_via"
 _THREAD = "SELECT id AS msg_id, subject, sender_address, sender_name, direction, date_sent, is_bulk, substr(body_text, 1, 300) AS body_preview FROM emails WHERE {w} ORDER BY date_sent NULLS FIRST, msg_id LIMIT 50"
@@ -152,8 +152,8 @@ ORACLES = {
     "q05_postings_bm25": with_views("chunks", "WITH " + _bm25_sql(_words(), "OR", 25) + " SELECT * FROM hits"),
     "q05_bm25_and": with_views("chunks", "WITH " + _bm25_sql(["ther", "anea"], "AND", 25) + " SELECT * FROM hits"),
     "q03_bm25_dated": with_views("chunks", "WITH " + _bm25_sql(["ther"], "AND", 25, " AND substr(date_sent, 1, 10) >= '2016' AND substr(date_sent, 1, 10) <= '2019-06-30'") + " SELECT * FROM hits"),
-    "q04_knn": f"SELECT *, row_number() OVER (ORDER BY distance, id) AS rank FROM (SELECT vec_id AS id, {_DIST} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 3) s ORDER BY distance, id LIMIT 10)",
-    "q13_nearest_neighbors": f"SELECT *, row_number() OVER (ORDER BY distance, id) AS rank FROM (SELECT vec_id AS id, {_DIST} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 5) s WHERE vec_id <> 5 ORDER BY distance, id LIMIT 10)",
+    "q04_knn": f"SELECT *, CAST(row_number() OVER (ORDER BY distance, id) AS INTEGER) AS rank FROM (SELECT vec_id AS id, {_DIST} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 3) s ORDER BY distance, id LIMIT 10)",
+    "q13_nearest_neighbors": f"SELECT *, CAST(row_number() OVER (ORDER BY distance, id) AS INTEGER) AS rank FROM (SELECT vec_id AS id, {_DIST} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 5) s WHERE vec_id <> 5 ORDER BY distance, id LIMIT 10)",
     "q02_rrf": f"WITH a AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS rank FROM (SELECT vec_id AS id, {_DIST} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 3) s ORDER BY distance, id LIMIT 20)), b AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS rank FROM (SELECT vec_id AS id, {_DIST} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 5) s WHERE vec_id <> 5 ORDER BY distance, id LIMIT 20)) SELECT id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id",
     "q08_year_counts": with_views("chunks", "SELECT substr(date_sent, 1, 4) AS year, count(*) AS n FROM chunks GROUP BY 1"),
     "q09_year_weights": with_views("chunks", "WITH y AS (SELECT substr(date_sent, 1, 4) AS year, count(*) AS n FROM chunks GROUP BY 1), m AS (SELECT avg(n) AS mean FROM y) SELECT year, n, round(least(1.0, mean / least(n, 2 * mean)), 6) AS weight FROM y, m"),
@@ -182,12 +182,12 @@ ORACLES = {
     "j04_pending": with_views("comm", "SELECT source_table, id FROM comm WHERE coalesce(is_bulk, 0) = 0 AND length(body_text) >= 50 AND NOT (source_table = 'conversations_messages' AND id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0))"),
     "e07_sessions": with_views("deltas", f"WITH {_SESSIONS} SELECT * FROM sessions"),
     "w1_writing_arc": with_views("deltas", f"WITH {_SESSIONS} SELECT *, ended_at - started_at AS duration_ms, {_RATIO} FROM sessions WHERE note_path = 'notes/7.md' ORDER BY started_at DESC NULLS LAST, session_id LIMIT 20"),
-    "w2_session_detail": with_views("deltas", f"WITH r AS (SELECT *, row_number() OVER (ORDER BY ts NULLS FIRST, seq) AS u, row_number() OVER (ORDER BY ts DESC NULLS LAST, seq DESC) AS v FROM deltas WHERE session_id = '7-20240101') SELECT 'first' AS part, u AS position, {_DELTA} FROM r WHERE u <= 10 UNION ALL SELECT 'last', row_number() OVER (ORDER BY ts NULLS FIRST, seq), {_DELTA} FROM r WHERE v <= 10 UNION ALL SELECT 'reversal', row_number() OVER (ORDER BY ts NULLS FIRST, seq), {_DELTA} FROM r WHERE user_event IN ('undo', 'input.paste')"),
+    "w2_session_detail": with_views("deltas", f"WITH r AS (SELECT *, row_number() OVER (ORDER BY ts NULLS FIRST, seq) AS u, row_number() OVER (ORDER BY ts DESC NULLS LAST, seq DESC) AS v FROM deltas WHERE session_id = '7-20240101') SELECT 'first' AS part, CAST(u AS INTEGER) AS position, {_DELTA} FROM r WHERE u <= 10 UNION ALL SELECT 'last', CAST(row_number() OVER (ORDER BY ts NULLS FIRST, seq) AS INTEGER), {_DELTA} FROM r WHERE v <= 10 UNION ALL SELECT 'reversal', CAST(row_number() OVER (ORDER BY ts NULLS FIRST, seq) AS INTEGER), {_DELTA} FROM r WHERE user_event IN ('undo', 'input.paste')"),
     "w3_writing_stats": with_views("deltas", f"WITH {_SESSIONS}, a AS (SELECT count(*) AS session_count, count(DISTINCT note_path) AS notes_touched, " + ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("doc_change_count", "selection_change_count", "insert_count", "delete_count", "total_inserted_chars", "total_deleted_chars", "undo_count", "paste_count")) + f", min(started_at) AS earliest_start, max(coalesce(ended_at, started_at)) AS latest_end FROM sessions WHERE started_at >= epoch_ms(TIMESTAMP '2024-01-01') AND started_at < epoch_ms(TIMESTAMP '2024-01-21')) SELECT *, {_RATIO} FROM a"),
     "w3_top_notes": with_views("deltas", f"WITH {_SESSIONS} SELECT note_path, count(*) AS session_count, CAST(sum(doc_change_count) AS BIGINT) AS doc_change_count, CAST(sum(total_inserted_chars) AS BIGINT) AS total_inserted_chars, CAST(sum(total_deleted_chars) AS BIGINT) AS total_deleted_chars FROM sessions GROUP BY 1 ORDER BY doc_change_count DESC, session_count DESC, note_path LIMIT 10"),
     "a12_coverage_matrix": f"WITH {_CELLS} SELECT * FROM cells",
     "a15_coverage_summary": f"WITH {_CELLS} SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(DISTINCT year) AS years, round(sum(n) FILTER (WHERE domain = 'unclassified') * 100 / sum(n) FILTER (WHERE domain <> 'health'), 1) AS unclassified_pct FROM cells",
     "a15_thinnest": f"WITH {_CELLS} SELECT year, domain, n FROM cells WHERE n > 0 AND domain NOT IN ('health', 'unclassified') ORDER BY n, year, domain LIMIT 10",
-    "x_cube": "SELECT year(o_orderdate) AS year, o_orderpriority AS domain, count(*) AS n FROM orders GROUP BY CUBE (year(o_orderdate), o_orderpriority)",
-    "s2_term_lengths": with_views("chunks", f"SELECT id, len({_TOK}) AS dl FROM chunks"),
+    "x_cube": "SELECT CAST(year AS INTEGER) AS year, domain, n FROM (SELECT year(o_orderdate) AS year, o_orderpriority AS domain, count(*) AS n FROM orders GROUP BY CUBE (year(o_orderdate), o_orderpriority))",
+    "s2_term_lengths": with_views("chunks", f"SELECT id, CAST(len({_TOK}) AS INTEGER) AS dl FROM chunks"),
 }

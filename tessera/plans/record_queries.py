@@ -251,5 +251,5 @@ ORACLES = {
     "k01_readiness": f"WITH {_DISC}, practice AS (SELECT n_name AS label, sum(0.05 * exp(-ln(2) / 180 * greatest(0, (epoch(TIMESTAMP '2002-01-01') - epoch(o_orderdate)) / 86400.0))) AS lift FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 40 = 0 GROUP BY 1), x AS (SELECT d.label, baseline, lift, exp(-ln(2) / 180 * greatest(0, (epoch(TIMESTAMP '2002-01-01') - epoch(asserted_at::TIMESTAMP)) / 86400.0)) AS f FROM disciplines d LEFT JOIN practice USING (label)) SELECT label, CASE WHEN baseline IS NOT NULL OR lift IS NOT NULL THEN round(least(1.0, greatest(coalesce(baseline * 0.05, 0), coalesce(baseline * f, 0) + coalesce(lift, 0))), 4) END AS readiness, CASE WHEN baseline IS NOT NULL THEN greatest(baseline * 0.05, baseline * f) < baseline * 0.5 END AS atrophied FROM x",
     "r02_triple_deltas": with_views("revisions", "WITH s AS (SELECT repo, file_path, commit_sha, captured_at, CASE WHEN change_type = 'delete' THEN [] ELSE [change_type, authorship, substr(captured_at, 1, 4)] END AS now FROM revisions WHERE size_bytes < 2000), w AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY repo, file_path ORDER BY captured_at, commit_sha), []) AS was FROM s) SELECT repo, file_path, commit_sha, array_to_string(list_sort(list_distinct(list_filter(now, lambda x: NOT list_contains(was, x)))), ',') AS added, array_to_string(list_sort(list_distinct(list_filter(was, lambda x: NOT list_contains(now, x)))), ',') AS removed FROM w"),
     "k04_frontier": f"WITH {_FRONT} SELECT * FROM frontier",
-    "k05_ranked_actions": f"WITH {_FRONT}, {_ACT}, s AS (SELECT label, reason, action, round((est_value - cost + novelty) * p_action, 6) AS score FROM frontier JOIN actions USING (label)) SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, action) AS place FROM s",
+    "k05_ranked_actions": f"WITH {_FRONT}, {_ACT}, s AS (SELECT label, reason, action, round((est_value - cost + novelty) * p_action, 6) AS score FROM frontier JOIN actions USING (label)) SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, action) AS INTEGER) AS place FROM s",
 }
