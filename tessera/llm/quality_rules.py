@@ -69,8 +69,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.scores(data, offsets) + self.shift, -30, 30)))
 
 
-def _as_batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return tb.text_bytes(pa.array(texts, pa.large_string()))
+def _pieces(texts: list[str], most: int = 500_000):
+    """(first text, bytes, offsets) of runs of texts, a little at a time, for the driver's sake."""
+    at = 0
+    for part in tb.chunks(pa.record_batch({"text": pa.array(texts, pa.large_string())}), "text", most):
+        yield at, *tb.text_bytes(part.column("text"))
+        at += part.num_rows
 
 
 def fit(texts: list[str], good: np.ndarray, share_good: float, rounds: int = 120, rate: float = 1.0, decay: float = 1e-4) -> Model:
@@ -78,16 +82,16 @@ def fit(texts: list[str], good: np.ndarray, share_good: float, rounds: int = 120
     order = np.random.default_rng(0).permutation(len(texts))
     held, rest = order[: len(order) // 4], order[len(order) // 4 :]
     size = 1 << BITS
-    data, offsets = _as_batch([texts[i] for i in rest])
     y = good[rest].astype(np.float64)
     columns, rows, values = [], [], []
-    for kind, (bucket, text) in enumerate(_buckets(data, offsets)):
-        counts = np.bincount(text, minlength=len(rest))
-        key, times = np.unique(text.astype(np.int64) * size + bucket, return_counts=True)
-        rows.append(key // size)
-        columns.append(kind * size + key % size)
-        values.append(times / counts[key // size])
-    columns, rows, values = np.concatenate(columns), np.concatenate(rows), np.concatenate(values).astype(np.float32)
+    for first, data, offsets in _pieces([texts[i] for i in rest]):
+        for kind, (bucket, text) in enumerate(_buckets(data, offsets)):
+            counts = np.bincount(text, minlength=len(offsets) - 1)
+            key, times = np.unique(text.astype(np.int64) * size + bucket, return_counts=True)
+            rows.append((key // size + first).astype(np.int32))
+            columns.append((kind * size + key % size).astype(np.int32))
+            values.append((times / counts[key // size]).astype(np.float32))
+    columns, rows, values = np.concatenate(columns), np.concatenate(rows), np.concatenate(values)
     w, b = np.zeros(3 * size), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -100,7 +104,7 @@ def fit(texts: list[str], good: np.ndarray, share_good: float, rounds: int = 120
         w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         b -= step * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6)
     model = Model(w.reshape(3, size).astype(np.float32), b)
-    s, target = model.scores(*_as_batch([texts[i] for i in held])), good[held].astype(np.float64)
+    s, target = np.concatenate([model.scores(d, o) for _, d, o in _pieces([texts[i] for i in held])]), good[held].astype(np.float64)
     if 0 < target.sum() < len(target):
         scale = max(1.0, float(np.abs(s).max()))
         x = s / scale
