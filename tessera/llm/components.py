@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import parts_of, written
 
-SINGLE_TASK_EDGES = 2_000_000
+SINGLE_TASK_EDGES = 500_000
 
 
 def _forest(it):
