@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_windows, ngram_join, packing, quality_rules
+from tessera.llm import decontaminate, line_windows, ngram_join, packing, passages, quality_rules
 from tessera.llm.shared import fresh, table, written
 
 
@@ -27,8 +27,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays, that of the least doc_id."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group of similar ones stays, that of the least doc_id.
+
+    Then later copies of passages of 50 words go from what stays, and so does a
+    document that loses its last word with them. Done before, this would leave
+    scraps of near copies that are no longer similar.
+    """
+    kept, removed = written(ngram_join.one_of_each(docs), "one-of-each"), fresh(docs.columns, "removed_words")
+    found = passages.without_repeated_passages(kept, removed)
+    return found.where(F.coalesce((F.col(removed) == 0) | F.col("text").rlike(passages.A_WORD), F.lit(True))).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

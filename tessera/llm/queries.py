@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, language_id, line_windows, ngram_join, packing, pii, quality_gam, quality_rules, token_store, url_filter
+from tessera.llm import decontaminate, language_id, line_windows, ngram_join, packing, passages, pii, quality_gam, quality_rules, token_store, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_quality_gam": quality_gam.op6_quality_gam,
     "op7_line_window_dedup": line_windows.op7_line_window_dedup,
+    "op7_passage_dedup": passages.op7_passage_dedup,
     "op8_pii": pii.op8_pii,
     "op9_packing": packing.op9_packing,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,

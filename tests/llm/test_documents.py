@@ -1,6 +1,7 @@
 """Token store, decontamination, line dedup, PII and packing against simple versions, and their odd cases."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pytest
 from tessera.llm import decontaminate as dc
 from tessera.llm import line_windows as lw
 from tessera.llm import packing as pk
+from tessera.llm import passages as ps
 from tessera.llm import pii
 from tessera.llm import textbytes as tb
 from tessera.llm import token_store as ts
@@ -171,6 +173,60 @@ def test_line_dedup_is_the_plain_one(spark):
     assert lw.without_repeated_windows(df.limit(0)).count() == 0
 
 
+# passages
+
+
+def plain_passages(docs):
+    seen, gone = {}, {}
+    for i, t in sorted({d for d in docs if d[1] is not None}, key=lambda d: (d[0] is not None, d[0] or 0)):
+        w = re.findall(r"[0-9A-Za-z_\u0080-\U0010ffff]+", t)
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), (i, t, k)) != (i, t, k):
+                gone.setdefault((i, t), set()).update(range(k, k + 50))
+    left = {}
+    for i, t in docs:
+        if t is not None:
+            w = re.findall(r"[0-9A-Za-z_\u0080-\U0010ffff]+", t)
+            left[i, t] = [x for k, x in enumerate(w) if k not in gone.get((i, t), ())]
+    return left
+
+
+def test_passages_are_the_plain_ones(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdé1") for _ in range(3))
+    pool = [[word() for _ in range(r.randint(49, 80))] for _ in range(6)]
+    docs = []
+    for i in range(60):
+        w = [word() for _ in range(r.randint(0, 120))]
+        for _ in range(i % 3):
+            at = r.randint(0, len(w))
+            w[at:at] = r.choice(pool)
+        docs.append((i, "".join(x + r.choice([" ", " ", ". ", "\n"]) for x in w)))
+    docs += [(None, " ".join(pool[0])), (80, None), (81, ""), (82, "and " * 300), (83, "x y z " * 30_000), (84, " ".join(pool[1])), (84, " ".join(pool[1])), (85, " ".join(pool[2]))]
+    df = spark.createDataFrame([(i, t, 9, 9, "g") for i, t in docs], "doc_id long, text string, row int, n_chars int, new string").repartition(3)
+    want = plain_passages(docs)
+    for most in (ps.BROADCAST_ITEMS, 0):
+        monkeypatch.setattr(ps, "BROADCAST_ITEMS", most)
+        got = ps.without_repeated_passages(df).collect()
+        assert len(got) == len(docs) and [r.removed_words for r in got if r.doc_id == 80] == [None]
+        assert sorted((r.doc_id or -1, re.findall(r"\w+", r.text)) for r in got if r.text is not None) == sorted((i or -1, want[i, t]) for i, t in docs if t is not None)
+        assert sum(bool(r.removed_words) for r in got) > 20 and all(r.n_chars == len(r.text) for r in got if r.removed_words)
+    assert ps.without_repeated_passages(df.limit(0)).count() == 0
+
+
+def test_passage_within_lines(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(6)
+    own = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = own(54)
+    docs = [(1, f"{own(150)} {passage.replace(' ', chr(10), 1)} {own(9)}"), (2, f"One line {passage}\n{own(200)}"), (3, own(60)), (4, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r.removed_lines for r in lw.without_repeated_windows(df).orderBy("doc_id").collect()] == [0, 0, 0, None]
+    got = {r.doc_id: r.text for r in cp.near_duplicates(spark, df, "").collect()}
+    assert got == {**dict(docs), 2: docs[1][1].replace(passage, "")}
+
+
 # PII
 
 
