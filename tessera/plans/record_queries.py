@@ -185,8 +185,9 @@ QUERIES = {
     "l02_lifecycle": lambda s, p: history.lifecycle(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
     "l03_audit": lambda s, p: history.audit(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
     "v01_classified": lambda s, p: history.classified(d.revisions(s, p), _dissolutions(s, p)).groupBy(F.coalesce("deletion", F.lit("none")).alias("deletion")).agg(F.count("*").alias("n")),
-    "r02_triple_deltas": lambda s, p: history.triple_deltas(_state_rows(s, p)).withColumns({c: F.array_join(F.sort_array(c), ",") for c in ("added", "removed")}),
-    "r01_diffs": lambda s, p: history.diffs(d.revisions(s, p).where("size_bytes < 600"), d.revisions(s, p).where("size_bytes < 600").select("commit_sha", "file_path", F.concat_ws("\n", "change_type", "captured_at").alias("body")).dropDuplicates(["commit_sha", "file_path"])),
+    "r02_triple_deltas": lambda s, p: _deltas(_state_rows(s, p).where("size_bytes < 2000")),
+    "r02_triple_deltas_all": lambda s, p: _deltas(_state_rows(s, p)),
+    "r01_diffs": lambda s, p: history.diffs(d.revisions(s, p), d.revisions(s, p).select("commit_sha", "file_path", F.concat_ws("\n", "change_type", "captured_at").alias("body")).dropDuplicates(["commit_sha", "file_path"])),
     "k01_readiness": lambda s, p: skills.readiness(_disciplines(s, p), _practice(s, p), AS_OF),
     "k04_frontier": _frontier,
     "k05_ranked_actions": lambda s, p: skills.ranked_actions(_frontier(s, p), _actions(s, p)).select("label", "reason", "action", "score", "place"),
@@ -203,8 +204,11 @@ def _reach(s, p):
 
 
 def _state_rows(s, p):
-    r = d.revisions(s, p).where("size_bytes < 2000")
-    return r.withColumn("statements", F.array("change_type", "authorship", F.substring("captured_at", 1, 4)))
+    return d.revisions(s, p).withColumn("statements", F.array("change_type", "authorship", F.substring("captured_at", 1, 4)))
+
+
+def _deltas(states):
+    return history.triple_deltas(states).withColumns({c: F.array_join(F.sort_array(c), ",") for c in ("added", "removed")})
 
 
 _EDGE = "e AS (SELECT DISTINCT o_custkey + 1000000 AS a, CAST(month(o_orderdate) * 100 + year(o_orderdate) % 100 AS BIGINT) AS b FROM orders WHERE o_orderkey % 11 = 0)"
@@ -253,3 +257,5 @@ ORACLES = {
     "k04_frontier": f"WITH {_FRONT} SELECT * FROM frontier",
     "k05_ranked_actions": f"WITH {_FRONT}, {_ACT}, s AS (SELECT label, reason, action, round((est_value - cost + novelty) * p_action, 6) AS score FROM frontier JOIN actions USING (label)) SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, action) AS INTEGER) AS place FROM s",
 }
+#: The queries over whole tables, beside those whose SQL takes a part of them.
+ORACLES["r02_triple_deltas_all"] = ORACLES["r02_triple_deltas"].replace(" WHERE size_bytes < 2000", "")
