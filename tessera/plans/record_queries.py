@@ -137,8 +137,8 @@ def _places(s, p):
     return coalesce.candidate_pairs(d.places(s, p), coalesce.PLACES[:1]).select("a", "b", "rule", "confidence")
 
 
-def _year_edges(s, p):
-    o = d.table(s, p, "orders").where("o_orderkey % 11 = 0")
+def _year_edges(s, p, where="true"):
+    o = d.table(s, p, "orders").where(where)
     return components(o.select((F.col("o_custkey") + 1_000_000).alias("a"), (F.month("o_orderdate") * 100 + F.year("o_orderdate") % 100).cast("long").alias("b")))
 
 
@@ -170,7 +170,8 @@ QUERIES = {
     "c06_places_near": _places,
     "c10_merge_stats": lambda s, p: coalesce.merge_stats(_proposals(s, p)),
     "c04_applied": lambda s, p: coalesce.applied(d.people(s, p).select("id"), "id", _proposals(s, p)).groupBy("id").agg(F.count("*").alias("n")),
-    "x_components": _year_edges,
+    "x_components": lambda s, p: _year_edges(s, p, "o_orderkey % 11 = 0"),
+    "x_components_all": _year_edges,
     "r01_revisions": lambda s, p: history.revisions_of(d.revisions(s, p), since="2000", change_type="delete", limit=40),
     "n02_latest_revision": lambda s, p: history.latest(d.revisions(s, p)).select("file_path", "commit_sha", "captured_at"),
     "a07_revision_stats": lambda s, p: history.stats(d.revisions(s, p)),

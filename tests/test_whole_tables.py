@@ -22,3 +22,17 @@ def test_diffs_and_deltas_of_all_revisions(spark):
             before, was = after, now
     assert sorted((r.file_path, r.commit_sha, r["diff"]) for r in entry.queries()["r01_diffs"](spark, SF).collect()) == sorted(diffs)
     assert sorted((r.file_path, r.commit_sha, r.added, r.removed) for r in entry.queries()["r02_triple_deltas_all"](spark, SF).collect()) == sorted(deltas)
+
+
+def test_components_of_all_orders(spark):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for o in d.table(spark, SF, "orders").collect():
+        a, b = sorted((root(o.o_custkey + 1_000_000), root(o.o_orderdate.month * 100 + o.o_orderdate.year % 100)))
+        parent[b] = a
+    assert sorted(entry.queries()["x_components_all"](spark, SF).collect()) == sorted((x, root(x)) for x in parent)
