@@ -67,8 +67,8 @@ def _dissolutions(s, p):
     return r.select("file_path", "commit_sha", F.concat(F.lit("d-"), "commit_sha").alias("dissolution_id"), F.col("captured_at").alias("dissolved_at"), F.when(F.col("size_bytes") % 400 == 0, "done").otherwise("").alias("reason"), F.when(F.col("size_bytes") > 5000, "[]").otherwise('["t"]').alias("target_tables")).distinct()
 
 
-def _materializations(s, p):
-    return d.table(s, p, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("vault/"), "o_orderkey", F.lit(".md")).alias("file_path"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("materialized_at"), F.col("o_orderkey").alias("run_id"))
+def _materializations(s, p, where="true"):
+    return d.table(s, p, "orders").where(where).select(F.concat(F.lit("vault/"), "o_orderkey", F.lit(".md")).alias("file_path"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("materialized_at"), F.col("o_orderkey").alias("run_id"))
 
 
 _DISS = "dissolutions AS (SELECT DISTINCT file_path, commit_sha, 'd-' || commit_sha AS dissolution_id, captured_at AS dissolved_at, CASE WHEN size_bytes % 400 = 0 THEN 'done' ELSE '' END AS reason, CASE WHEN size_bytes > 5000 THEN '[]' ELSE '[\"t\"]' END AS target_tables FROM revisions WHERE change_type = 'delete' AND authorship = 'owner-authored'), materializations AS (SELECT 'vault/' || o_orderkey || '.md' AS file_path, strftime(o_orderdate, '%xT%X') AS materialized_at, o_orderkey AS run_id FROM orders WHERE o_orderkey % 50 = 0)"
@@ -98,9 +98,9 @@ def _prerequisites(s, p):
 _PRE = "prerequisites AS (SELECT a.n_name AS subject, b.n_name AS object FROM nation a JOIN nation b ON (b.n_nationkey = a.n_nationkey * 2 OR b.n_nationkey = a.n_nationkey + 7) AND a.n_nationkey <> b.n_nationkey)"
 
 
-def _practice(s, p):
+def _practice(s, p, where="true"):
     o, c, n = (d.table(s, p, t) for t in ("orders", "customer", "nation"))
-    return o.where("o_orderkey % 40 = 0").join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("label"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+    return o.where(where).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("label"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
 
 
 def _frontier(s, p):
@@ -110,8 +110,8 @@ def _frontier(s, p):
 _FRONT = f"{_DISC}, {_PRE}, rs AS (SELECT *, CASE WHEN readiness IS NULL THEN 'unaddressed' WHEN last_verified IS NULL OR last_verified < TIMESTAMP '2002-01-01' - INTERVAL 60 DAY THEN 'under-informed' WHEN readiness < 0.3 THEN 'below-threshold' END AS reason FROM disciplines), gate AS (SELECT object AS label, bool_or(coalesce(readiness >= 0.3, FALSE)) AS ok FROM prerequisites LEFT JOIN disciplines ON label = subject GROUP BY 1), frontier AS (SELECT rs.label, reason FROM rs LEFT JOIN gate ON gate.label = rs.label WHERE reason IS NOT NULL AND (reason = 'below-threshold' OR coalesce(ok, TRUE)))"
 
 
-def _actions(s, p):
-    part = d.table(s, p, "part").where("p_partkey % 20 = 0")
+def _actions(s, p, where="true"):
+    part = d.table(s, p, "part").where(where)
     k = F.col("p_partkey")
     n = d.table(s, p, "nation")
     return part.join(n, (k % 25) == n.n_nationkey).select(F.col("n_name").alias("label"), F.concat(F.lit("a"), k).alias("action"), (k % 10).alias("est_value"), (k % 7).alias("cost"), (k % 3).alias("novelty"), ((k % 4 + 1) / 4).alias("p_action"))
@@ -183,15 +183,19 @@ QUERIES = {
     "k03_authorship": lambda s, p: history.with_authorship(d.revisions(s, p), d.revisions(s, p).where("size_bytes % 3 = 0").select("commit_sha", "authorship").dropDuplicates(["commit_sha"]), s.createDataFrame([("repo", "ai-generated")], "repo string, authorship string")).groupBy("authorship").agg(F.count("*").alias("n")),
     "v02_notes": lambda s, p: _states(s, p),
     "a08_note_stats": lambda s, p: history.note_stats(_states(s, p)),
-    "l02_lifecycle": lambda s, p: history.lifecycle(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
-    "l03_audit": lambda s, p: history.audit(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
+    "l02_lifecycle": lambda s, p: history.lifecycle(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p, "o_orderkey % 50 = 0")),
+    "l02_lifecycle_all": lambda s, p: history.lifecycle(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
+    "l03_audit": lambda s, p: history.audit(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p, "o_orderkey % 50 = 0")),
+    "l03_audit_all": lambda s, p: history.audit(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
     "v01_classified": lambda s, p: history.classified(d.revisions(s, p), _dissolutions(s, p)).groupBy(F.coalesce("deletion", F.lit("none")).alias("deletion")).agg(F.count("*").alias("n")),
     "r02_triple_deltas": lambda s, p: _deltas(_state_rows(s, p).where("size_bytes < 2000")),
     "r02_triple_deltas_all": lambda s, p: _deltas(_state_rows(s, p)),
     "r01_diffs": lambda s, p: history.diffs(d.revisions(s, p), d.revisions(s, p).select("commit_sha", "file_path", F.concat_ws("\n", "change_type", "captured_at").alias("body")).dropDuplicates(["commit_sha", "file_path"])),
-    "k01_readiness": lambda s, p: skills.readiness(_disciplines(s, p), _practice(s, p), AS_OF),
+    "k01_readiness": lambda s, p: skills.readiness(_disciplines(s, p), _practice(s, p, "o_orderkey % 40 = 0"), AS_OF),
+    "k01_readiness_all": lambda s, p: skills.readiness(_disciplines(s, p), _practice(s, p), AS_OF),
     "k04_frontier": _frontier,
-    "k05_ranked_actions": lambda s, p: skills.ranked_actions(_frontier(s, p), _actions(s, p)).select("label", "reason", "action", "score", "place"),
+    "k05_ranked_actions": lambda s, p: skills.ranked_actions(_frontier(s, p), _actions(s, p, "p_partkey % 20 = 0")).select("label", "reason", "action", "score", "place"),
+    "k05_ranked_actions_all": lambda s, p: skills.ranked_actions(_frontier(s, p), _actions(s, p)).select("label", "reason", "action", "score", "place"),
     "k06_snapshot": lambda s, p: skills.snapshot(skills.readiness_qualifiers(skills.readiness(_disciplines(s, p), _practice(s, p), AS_OF), AS_OF), ["readiness", "computed_at"]),
 }
 
@@ -260,3 +264,5 @@ ORACLES = {
 }
 #: The queries over whole tables, beside those whose SQL takes a part of them.
 ORACLES["r02_triple_deltas_all"] = ORACLES["r02_triple_deltas"].replace(" WHERE size_bytes < 2000", "")
+for _name, _part in (("k01_readiness", " WHERE o_orderkey % 40 = 0"), ("k05_ranked_actions", " WHERE p_partkey % 20 = 0"), ("l02_lifecycle", " WHERE o_orderkey % 50 = 0"), ("l03_audit", " WHERE o_orderkey % 50 = 0")):
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(_part, "")
