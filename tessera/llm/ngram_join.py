@@ -9,14 +9,19 @@ be similar into components. The sets of a component are stored, commonest
 n-grams first, in a prefix tree, which every set of the component traverses:
 paths share the overlap of their common beginning, and subtrees whose
 remaining length can't bring the overlap to the least needed are pruned. The
-join is exact: there is no cap, sample or sketch.
+join is exact: there is no cap or sketch.
 
 What crosses the network is packed: a row holds the n-grams that a few
-thousand documents have in one bucket, as bytes.
+thousand documents have in one bucket, as bytes. The number of buckets follows
+the bytes of the texts, and no group of copies falls into one of them: a map
+task sends equal sets once, documents are spread by their own hash, n-grams
+that a hundredth of all documents hold go straight to their sets, and equal
+beginnings of sets cross as intervals of sizes.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -26,18 +31,23 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
 from tessera.llm.components import connected_components
-from tessera.llm.shared import parts_of, written
+from tessera.llm.shared import fresh, row_key, written
 
 U64 = np.uint64
 N, THRESHOLD = 4, Fraction(2, 5)
-#: n-grams gathered by a map task before it writes them out; n-grams of one side of a block of a large component.
-GATHER, BLOCK = 1_500_000, 3_000_000
-#: Places of sets (40 bytes each) are sent to all tasks up to this many, and joined by a shuffle beyond.
+#: n-grams gathered by a map task before it writes them out; n-grams of one side of a block of a large component; n-grams of a bundle of small ones.
+GATHER, BLOCK, BUNDLE = 1_500_000, 750_000, 250_000
+#: Bytes of text of which a bucket holds the n-grams; a task needs about twelve times as much memory.
+BUCKET_BYTES = 32_000_000
+#: Rows that are sent to all tasks, 40 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: n-grams that this share of about so many documents hold go around the buckets. Which these are changes no result.
+HOT_SHARE, HOT_DOCUMENTS = 0.01, 4096
+NONE = np.int64(2**63 - 1)
 
-_PACKED = "part int, tokens binary, sets binary, counts binary, meta binary"
-_SHARED = "part int, origin int, tokens binary, sets binary, counts binary, df binary, meta binary"
-_SETS = "node long, doc_id long, n long, copies array<long>, shared int, tokens binary, df binary, lead int"
+_PACKED = "part int, tokens binary, sets binary, counts binary, hot binary, hot_sets binary, hot_counts binary, meta binary, members binary"
+_SHARED = "part int, origin int, tokens binary, sets binary, counts binary, df binary, meta binary, members binary"
+_SETS = "node long, doc_id long, row long, n long, members long, shared int, tokens binary, df binary, lead int"
 
 
 def _bounds(sorted_keys: np.ndarray, n: int) -> np.ndarray:
@@ -72,48 +82,78 @@ def _from_five_bytes(raw: np.ndarray) -> np.ndarray:
     return h.reshape(-1).view(U64)
 
 
-def _pack(n: int, parts: int):
-    def rows(h, sets, meta):
-        part = (h >> U64(40)) % U64(parts)
-        part = part.astype(np.uint16 if parts < 65536 else np.uint32)
-        order = np.argsort(part, kind="stable")
-        h, sets, part = h[order], sets[order], part[order]
-        at = _bounds(part, parts)
-        named, counts, named_at = _by_part(part, sets, parts)
-        home = (meta[:, 0] % U64(parts)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        meta_at = _bounds(home[order], parts)
-        columns = [pa.array(np.arange(parts), pa.int32()), tb.binary(_five_bytes(h), at * 5), tb.binary(named, named_at), tb.binary(counts, named_at), tb.binary(np.ascontiguousarray(meta[order]).reshape(-1), meta_at * 3)]
-        batch = pa.RecordBatch.from_arrays(columns, ["part", "tokens", "sets", "counts", "meta"])
-        keep = (np.diff(at) > 0) | (np.diff(meta_at) > 0)
-        return batch.filter(pa.array(keep))
+def _whole(run):
+    """The function of a whole partition, for mapInArrow."""
+
+    def over(it):
+        batches = list(it)
+        if batches:
+            yield from run(pa.Table.from_batches(batches)).to_batches()
+
+    return over
+
+
+def _grams_of(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, names of the sets, their sizes, their rows) of the texts that have any."""
+    h, t = tb.distinct_grams(part.column("text"), n)
+    at = _runs(t)
+    sizes = np.diff(at)
+    if not len(h):
+        return h, h, sizes, t
+    return h, tb.mix(np.add.reduceat(tb.mix(h ^ U64(0x5851F42D4C957F2D)), at[:-1]) + sizes.astype(U64)), sizes, t[at[:-1]]
+
+
+def _pack(n: int, parts: int, hot):
+    """What a few thousand documents have for each bucket: n-grams with their sets, hot ones apart, sets, documents."""
+
+    def rows(h, name, size, doc_id, row):
+        members = np.stack([name, doc_id.view(U64), row.view(U64)], 1)
+        order = np.argsort(name, kind="stable")
+        at = _runs(name[order])
+        own = order[at[:-1]]
+        meta = np.stack([name[own], size[own].astype(U64), np.diff(at).astype(U64), np.minimum.reduceat(doc_id[order], at[:-1]).view(U64)], 1)
+        once = np.zeros(len(name), bool)
+        once[own] = True
+        h, sets = h[np.repeat(once, size)], np.repeat(name[once], size[once])
+        often = np.zeros(len(h), bool)
+        if len(hot.value):
+            place = np.minimum(np.searchsorted(hot.value, h), len(hot.value) - 1)
+            often = hot.value[place] == h
+        columns = [pa.array(np.arange(parts), pa.int32())]
+        for part, value, who in (((h >> U64(40)) % U64(parts), h, sets), (sets % U64(parts), place.astype(U64) if often.any() else h, sets)):
+            mask = often if len(columns) > 1 else ~often
+            part, value, who = part[mask].astype(np.uint16 if parts < 65536 else np.uint32), value[mask], who[mask]
+            order = np.argsort(part, kind="stable")
+            value, who, part = value[order], who[order], part[order]
+            named, counts, named_at = _by_part(part, who, parts)
+            columns += [tb.binary(_five_bytes(value), _bounds(part, parts) * 5), tb.binary(named, named_at), tb.binary(counts, named_at)]
+        for table, home in ((meta, meta[:, 0] % U64(parts)), (members, members[:, 2] % U64(parts))):
+            order = np.argsort(home, kind="stable")
+            columns.append(tb.binary(np.ascontiguousarray(table[order]).reshape(-1), _bounds(home[order].astype(np.int64), parts) * table.shape[1]))
+        batch = pa.RecordBatch.from_arrays(columns, ["part", "tokens", "sets", "counts", "hot", "hot_sets", "hot_counts", "meta", "members"])
+        return batch.filter(pa.array(np.sum([np.diff(tb.text_bytes(c)[1]) for c in columns[1:]], axis=0) > 0))
 
     def run(it):
-        hs, ss, ms, size = [], [], [], 0
+        kept, size = [], 0
         for batch in it:
             for part in tb.chunks(batch, "text"):
-                h, t = tb.distinct_grams(part.column("text"), n)
-                if len(h) == 0:
-                    continue
-                at = _runs(t)
-                sizes = np.diff(at)
-                name = tb.mix(np.add.reduceat(tb.mix(h ^ U64(0x5851F42D4C957F2D)), at[:-1]) + sizes.astype(U64))
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[t[at[:-1]]]
-                hs.append(h)
-                ss.append(np.repeat(name, sizes))
-                ms.append(np.stack([name, sizes.astype(U64), ids.astype(np.int64).view(U64)], 1))
-                size += len(h)
+                h, name, sizes, at = _grams_of(part, n)
+                if len(h):
+                    ids = part.column("doc_id").fill_null(int(NONE)).to_numpy(zero_copy_only=False)[at]
+                    kept.append((h, name, sizes, ids, part.column("row").to_numpy()[at]))
+                    size += len(h)
                 if size >= GATHER:
-                    yield rows(np.concatenate(hs), np.concatenate(ss), np.concatenate(ms))
-                    hs, ss, ms, size = [], [], [], 0
+                    yield rows(*map(np.concatenate, zip(*kept, strict=True)))
+                    kept, size = [], 0
         if size:
-            yield rows(np.concatenate(hs), np.concatenate(ss), np.concatenate(ms))
+            yield rows(*map(np.concatenate, zip(*kept, strict=True)))
 
     return run
 
 
 def _shared(parts: int):
     """Of one bucket's n-grams, those that more than one set has, sent on to the bucket of each set."""
+    names = ["part", "origin", "tokens", "sets", "counts", "df", "meta", "members"]
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -134,9 +174,9 @@ def _shared(parts: int):
         at = _bounds(home, parts)
         named, counts, named_at = _by_part(home, sets, parts)
         empty = tb.binary(np.zeros(0, np.uint8), np.zeros(parts + 1, np.int64))
-        out = pa.Table.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array([part] * parts, pa.int32()), tb.binary(_five_bytes(h), at * 5), tb.binary(named, named_at), tb.binary(counts, named_at), tb.binary(_levels(df), at), empty], ["part", "origin", "tokens", "sets", "counts", "df", "meta"]).filter(pa.array(np.diff(at) > 0))
-        meta = tb.unpacked(table.column("meta"), np.uint8)
-        own = pa.Table.from_arrays([pa.array([part], pa.int32()), pa.array([part], pa.int32()), *(pa.array([b""], pa.binary()) for _ in range(4)), pa.array([meta.tobytes()], pa.binary())], ["part", "origin", "tokens", "sets", "counts", "df", "meta"])
+        out = pa.Table.from_arrays([pa.array(np.arange(parts), pa.int32()), pa.array([part] * parts, pa.int32()), tb.binary(_five_bytes(h), at * 5), tb.binary(named, named_at), tb.binary(counts, named_at), tb.binary(_levels(df), at), empty, empty], names).filter(pa.array(np.diff(at) > 0))
+        hot, hot_sets, hot_counts, meta, members = (tb.unpacked(table.column(c), np.uint8).tobytes() for c in ("hot", "hot_sets", "hot_counts", "meta", "members"))
+        own = pa.Table.from_arrays([pa.array([part], pa.int32()), pa.array([parts], pa.int32()), *(pa.array([x], pa.binary()) for x in (hot, hot_sets, hot_counts, b"\xff" * (len(hot) // 5), meta, members))], names)
         return pa.concat_tables([out, own])
 
     return run
@@ -149,7 +189,7 @@ def _levels(df: np.ndarray) -> np.ndarray:
 
 
 def _collected(num: int, den: int):
-    """One row a set: its members, its shared n-grams in the global order, and how many of these are in its prefix."""
+    """A row for each set: its shared n-grams in the global order, and how many of these are in its prefix; and one for each document, with nulls for n and all after."""
 
     def run(table: pa.Table) -> pa.Table:
         origin = np.repeat(table.column("origin").to_numpy(), tb.lengths_of(table.column("tokens"), 5))
@@ -158,70 +198,80 @@ def _collected(num: int, den: int):
         sets = np.repeat(tb.unpacked(table.column("sets"), U64), tb.unpacked(table.column("counts"), np.uint16))
         order = np.lexsort((h, df, sets))
         h, df, sets = h[order], df[order], sets[order]
-        meta = tb.unpacked(table.column("meta"), U64).reshape(-1, 3)
+        if len(h):  # a hot n-gram of a set comes from each map task that has the set
+            keep = np.r_[True, (h[1:] != h[:-1]) | (sets[1:] != sets[:-1])]
+            h, df, sets = h[keep], df[keep], sets[keep]
+        meta = tb.unpacked(table.column("meta"), U64).reshape(-1, 4)
         meta = meta[np.argsort(meta[:, 0], kind="stable")]
-        ids = np.ascontiguousarray(meta[:, 2]).view(np.int64)
         at = _runs(meta[:, 0])
         names, n = meta[at[:-1], 0], meta[at[:-1], 1].astype(np.int64)
+        members, least = (np.add.reduceat(meta[:, 2], at[:-1]), np.minimum.reduceat(meta[:, 3], at[:-1])) if len(meta) else (meta[:, 2], meta[:, 3])
         lo, hi = np.searchsorted(sets, names, "left"), np.searchsorted(sets, names, "right")
         once = n - (hi - lo)
         lead = np.clip(n - -(-n * num // den) + 1 - once, 0, hi - lo)
-        members = [np.unique(ids[at[i] : at[i + 1]]) for i in range(len(names))]
-        several = np.array([len(m) > 1 for m in members], bool)
-        keep = np.flatnonzero((lead > 0) | several)
+        keep = np.flatnonzero((lead > 0) | (members > 1))
         lo, hi = np.where(lead > 0, lo, 0)[keep], np.where(lead > 0, hi, 0)[keep]
+        who = tb.unpacked(table.column("members"), U64).reshape(-1, 3)
+        long = lambda a: np.ascontiguousarray(a).view(np.int64)
+        ids = np.r_[long(least[keep]), long(who[:, 1])]
+        columns = [pa.array(n[keep]), pa.array(long(members[keep])), pa.array(hi - lo, pa.int32()), pa.array([h[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()), pa.array([df[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()), pa.array(lead[keep], pa.int32())]
+        columns = [pa.concat_arrays([c, pa.nulls(len(who), c.type)]) for c in columns]
         return pa.Table.from_arrays(
-            [
-                pa.array(names[keep].view(np.int64) if len(keep) else [], pa.int64()),
-                pa.array([int(members[i][0]) for i in keep], pa.int64()),
-                pa.array(n[keep], pa.int64()),
-                pa.array([members[i][1:].tolist() for i in keep], pa.list_(pa.int64())),
-                pa.array(hi - lo, pa.int32()),
-                pa.array([h[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()),
-                pa.array([df[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()),
-                pa.array(lead[keep], pa.int32()),
-            ],
-            ["node", "doc_id", "n", "copies", "shared", "tokens", "df", "lead"],
+            [pa.array(np.r_[long(names[keep]), long(who[:, 0])]), pa.array(ids, pa.int64(), mask=ids == NONE), pa.concat_arrays([pa.nulls(len(keep), pa.int64()), pa.array(long(who[:, 2]))]), *columns],
+            ["node", "doc_id", "row", "n", "members", "shared", "tokens", "df", "lead"],
         )
 
     return run
 
 
-def _postings(parts: int):
-    """The prefix n-grams of sets, packed by bucket of n-gram."""
+def _chains(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Where chains begin among intervals of sizes ordered by n-gram, then lo: a step to a size that can't be similar ends one."""
+    if len(h) == 0:
+        return np.zeros(0, np.int64)
+    group = np.cumsum(np.r_[0, h[1:] != h[:-1]]).astype(np.int64) << np.int64(33)
+    reach = np.maximum.accumulate(group + hi) - group
+    return np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (reach[:-1] * den < lo[1:] * num)])
+
+
+def _postings(parts: int, num: int, den: int):
+    """The prefix n-grams of sets, packed by bucket of n-gram as (n-gram, least and most size, least set) of each chain of sizes, and edges within chains."""
 
     def run(it):
         for batch in it:
             lead = batch.column("lead").to_numpy()
             sizes = tb.lengths_of(batch.column("tokens"), 8)
-            tokens = tb.unpacked(batch.column("tokens"), U64)
             first = np.cumsum(sizes) - sizes
-            at = np.arange(int(lead.sum())) - np.repeat(np.cumsum(lead) - lead, lead) + np.repeat(first, lead)
-            tokens = tokens[at]
-            who = np.repeat(batch.column("node").to_numpy(), lead)
-            n = np.repeat(batch.column("n").to_numpy(), lead)
-            part = (tb.mix(tokens) % U64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            bounds = _bounds(part[order], parts)
-            out = pa.RecordBatch.from_arrays([pa.array(np.arange(parts), pa.int32()), tb.binary(tokens[order], bounds), tb.binary(who[order], bounds), tb.binary(n[order], bounds)], ["part", "tokens", "nodes", "n"])
-            yield out.filter(pa.array(np.diff(bounds) > 0))
+            h = tb.unpacked(batch.column("tokens"), U64)[np.arange(int(lead.sum())) - np.repeat(np.cumsum(lead) - lead, lead) + np.repeat(first, lead)]
+            who, n = (np.repeat(batch.column(c).to_numpy(), lead) for c in ("node", "n"))
+            order = np.lexsort((n, h))
+            h, who, n = h[order], who[order], n[order]
+            at = _chains(h, n, n, num, den)
+            least = np.minimum.reduceat(who, at) if len(at) else who
+            a = np.repeat(least, np.diff(np.r_[at, len(h)]))
+            edges = np.unique(np.stack([a, who], 1)[a != who], axis=0)
+            chains = np.stack([h[at].view(np.int64), n[at], np.maximum.reduceat(n, at) if len(at) else n, least], 1)
+            columns = [pa.array(np.arange(parts), pa.int32())]
+            for rows, part in ((chains, tb.mix(h[at]) % U64(parts)), (edges, np.ascontiguousarray(edges[:, 1]).view(U64) % U64(parts))):
+                order = np.argsort(part, kind="stable")
+                columns.append(tb.binary(np.ascontiguousarray(rows[order]).reshape(-1), _bounds(part[order].astype(np.int64), parts) * rows.shape[1]))
+            out = pa.RecordBatch.from_arrays(columns, ["part", "chains", "edges"])
+            yield out.filter(pa.array(np.sum([np.diff(tb.text_bytes(c)[1]) for c in columns[1:]], axis=0) > 0))
 
     return run
 
 
 def _links(num: int, den: int):
-    """Edges that join the sets which share a prefix n-gram, by runs of compatible sizes."""
+    """Edges that join the sets which share a prefix n-gram, by chains of compatible sizes."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, who, n = (tb.unpacked(table.column(c), d) for c, d in (("tokens", U64), ("nodes", np.int64), ("n", np.int64)))
-        order = np.lexsort((who, n, h))
-        h, who, n = h[order], who[order], n[order]
-        if len(h) == 0:
-            return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-        at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (n[:-1] * den < n[1:] * num)])
-        least = np.repeat(np.minimum.reduceat(who, at), np.diff(np.r_[at, len(h)]))
-        pairs = np.unique(np.stack([least, who], 1)[least != who], axis=0)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+        h, lo, hi, who = tb.unpacked(table.column("chains"), np.int64).reshape(-1, 4).T
+        order = np.lexsort((lo, h))
+        h, lo, hi, who = h[order], lo[order], hi[order], who[order]
+        at = _chains(h, lo, hi, num, den)
+        least = np.repeat(np.minimum.reduceat(who, at), np.diff(np.r_[at, len(h)])) if len(at) else who
+        edges = np.concatenate([np.stack([least, who], 1)[least != who], tb.unpacked(table.column("edges"), np.int64).reshape(-1, 2)])
+        edges = np.unique(edges, axis=0)
+        return pa.Table.from_arrays([pa.array(edges[:, 0], pa.int64()), pa.array(edges[:, 1], pa.int64())], ["a", "b"])
 
     return run
 
@@ -310,16 +360,23 @@ def _spread(start: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _joined(num: int, den: int):
-    """Pairs within the components of a bundle, or between two blocks of a large component."""
+    """Of each set that is similar to another within the components of a bundle, or between two blocks of a large one: a set of its class and the number of documents that it is similar to."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("block", "ascending"), ("node", "ascending")])
-        component, block, ids, n, node = (table.column(c).to_numpy() for c in ("component", "block", "doc_id", "n", "node"))
-        sizes = tb.lengths_of(table.column("tokens"), 8)
-        bounds = np.r_[0, np.cumsum(sizes)]
+        component, block, n, members, node = (table.column(c).to_numpy() for c in ("component", "block", "n", "members", "node"))
+        bounds = np.r_[0, np.cumsum(tb.lengths_of(table.column("tokens"), 8))]
         tokens, df = tb.unpacked(table.column("tokens"), U64), tb.unpacked(table.column("df"), np.uint8)
         cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        a, b, o, u = [], [], [], []
+        links, up = np.zeros(len(node), np.int64), np.arange(len(node))
+
+        def root(x: np.ndarray) -> np.ndarray:
+            while True:
+                y = up[x]
+                if (y == x).all():
+                    return x
+                x = y
+
         for lo, hi in zip((at := _runs(component))[:-1], at[1:], strict=True):
             own, level = tokens[bounds[lo] : bounds[hi]], df[bounds[lo] : bounds[hi]]
             names, inverse = np.unique(own, return_inverse=True)
@@ -336,94 +393,139 @@ def _joined(num: int, den: int):
             tree = PrefixTree(sets[:split], n[lo : lo + split])
             mark = np.zeros(len(names), np.uint8)
             for k in range(split if cross else 0, hi - lo):
-                found, overlap = tree.similar(sets[k], int(n[lo + k]), mark, num, den)
-                if not cross:
-                    later = found > k
-                    found, overlap = found[later], overlap[later]
+                found, _ = tree.similar(sets[k], int(n[lo + k]), mark, num, den)
+                found = found[found != k] + lo
                 if len(found):
-                    a.append(np.full(len(found), ids[lo + k]))
-                    b.append(ids[lo + found])
-                    o.append(overlap)
-                    u.append(n[lo + found] + n[lo + k] - overlap)
-        if not a:
-            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["doc_id_a", "doc_id_b", "jaccard"])
-        a, b = np.concatenate(a), np.concatenate(b)
-        keep = a != b
-        return pa.Table.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array((np.concatenate(o) / np.concatenate(u))[keep])], ["doc_id_a", "doc_id_b", "jaccard"])
+                    links[lo + k] += members[found].sum()
+                    if cross:
+                        links[found] += members[lo + k]
+                    tops = root(np.r_[lo + k, found])
+                    up[tops] = tops.min()
+        some = np.flatnonzero(links)
+        return pa.Table.from_arrays([pa.array(node[some]), pa.array(node[root(some)]), pa.array(links[some])], ["node", "root", "links"])
 
     return run
 
 
-def jaccard_pairs(docs: DataFrame, n: int = N, threshold: Fraction | float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Pairs of similar documents: (doc_id_a, doc_id_b, jaccard), doc_id_a < doc_id_b, each pair once.
+def _hot(rows: DataFrame, n: int, count: int, share: float) -> np.ndarray:
+    """n-grams that at least this share of about HOT_DOCUMENTS documents hold: at most 1 / share times the n-grams of a document."""
+    some = min(1.0, HOT_DOCUMENTS / max(1, count))
+    if some < 1:
+        rows = rows.where(F.col("row") < int(-(2**63) + some * 2**64))
 
-    docs needs doc_id and text; other columns are ignored. A document's set
-    holds the n-grams of its lowercase words; one of fewer than n words has
-    its whole text as its only n-gram. Documents with equal sets are compared
-    with others as one, under their least doc_id, and each of them is paired
-    with that doc_id at 1.0: all further pairs follow from these. Rows with a
-    null doc_id, and texts that are null or without words, are in no pair. A
-    doc_id that occurs with several texts is compared by each of them, never
-    with itself. An empty table gives no rows.
-    """
+    def grams(it):
+        for batch in it:
+            for part in tb.chunks(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_grams_of(part, n)[0].view(np.int64))], ["h"])
+
+    often = rows.select("text").mapInArrow(grams, "h long").groupBy("h").count().where(F.col("count") >= max(2, share * min(count, HOT_DOCUMENTS)))
+    return np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(U64))
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df, sent to all tasks if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def similar_rows(docs: DataFrame, n: int = N, threshold: Fraction | float = THRESHOLD, block: int = BLOCK, bucket_bytes: int = BUCKET_BYTES, hot_share: float = HOT_SHARE) -> DataFrame:
+    """(doc_id, row, class, class_id, links) of every row of docs that is similar to another; row is shared.row_key of doc_id and text, class the name of its class."""
     spark = docs.sparkSession
     t = Fraction(threshold).limit_denominator(1000)
     if not 0 < t <= 1:
         raise ValueError("threshold has to be above 0 and at most 1")
-    num, den, parts = t.numerator, t.denominator, parts_of(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
-    packed = rows.mapInArrow(_pack(n, parts), _PACKED)
-    shared = packed.groupBy("part").applyInArrow(_shared(parts), _SHARED)
-    sets = written(shared.groupBy("part").applyInArrow(_collected(num, den), _SETS), "ngram-sets")
+    num, den = t.numerator, t.denominator
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), F.lower("text").alias("text")).where("text is not null")
+    total, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    parts = min(2**24 - 2, max(1, math.ceil(total / bucket_bytes)))
+    by_part = lambda df, run, schema: df.repartitionById(parts, F.col("part")).mapInArrow(_whole(run), schema)
+    hot = spark.sparkContext.broadcast(_hot(rows, n, count, hot_share))
+    shared = by_part(rows.mapInArrow(_pack(n, parts, hot), _PACKED), _shared(parts), _SHARED)
+    found = written(by_part(shared, _collected(num, den), _SETS), "ngram-sets")
+    sets, members = found.where("n is not null").drop("row"), found.where("n is null").select("node", "doc_id", "row")
     linked = sets.where("lead > 0")
-    edges = linked.select("node", "n", "tokens", "lead").mapInArrow(_postings(parts), "part int, tokens binary, nodes binary, n binary").groupBy("part").applyInArrow(_links(num, den), "a long, b long")
-    components = connected_components(edges)
+    postings = linked.select("node", "n", "tokens", "lead").mapInArrow(_postings(parts, num, den), "part int, chains binary, edges binary")
+    components = connected_components(by_part(postings, _links(num, den), "a long, b long"))
     place = linked.select("node", "shared").join(components, "node")
     large = place.groupBy("component").agg(F.ceil(F.sum("shared") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1")
     place = place.join(large, "component", "left").select("node", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     place = place.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     place = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bundles = max(1, math.ceil((linked.agg(F.sum("shared")).first()[0] or 0) / BUNDLE))
     place = written(
         place.select(
-            F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(4 * parts))).otherwise(F.col("component")).alias("bundle"),
+            F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(F.col("component")).alias("bundle"),
             F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "other")).alias("i"),
             F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("block", "other")).alias("j"),
             "component", "block", "node",
         ),
         "ngram-places",
     )
-    if place.count() <= BROADCAST_ROWS:
-        place = F.broadcast(place)
-    placed = linked.select("node", "doc_id", "n", "tokens", "df").join(place, "node")
-    pairs = placed.groupBy("bundle", "i", "j").applyInArrow(_joined(num, den), "doc_id_a long, doc_id_b long, jaccard double")
-    copies = sets.select(F.col("doc_id").alias("doc_id_a"), F.explode("copies").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    return pairs.union(copies).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    placed = linked.select("node", "n", "members", "tokens", "df").join(_sent(place), "node")
+    links = written(placed.groupBy("bundle", "i", "j").applyInArrow(_joined(num, den), "node long, root long, links long"), "ngram-links")
+    classes = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    each = sets.select("node", "doc_id", "members").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").where("links is not null or members > 1")
+    each = each.join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "doc_id", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("links"))
+    named = each.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    each = written(each.join(named, "class").select("node", "class", "class_id", "links"), "ngram-classes")
+    return members.join(_sent(each), "node").select("doc_id", "row", "class", "class_id", "links")
+
+
+def similar_documents(docs: DataFrame, n: int = N, threshold: Fraction | float = THRESHOLD, **more) -> DataFrame:
+    """(doc_id, class_id, links): a row for each document that is similar to another one.
+
+    docs needs doc_id and text; other columns are ignored. A document's set
+    holds the n-grams of its whole text's lowercase words; one of fewer than n
+    words has its whole text as its only n-gram. Two documents are similar if
+    the Jaccard similarity of their sets is at least threshold; links counts
+    the documents that one is similar to. Classes are the connected components
+    of all links, and class_id is the least doc_id of a class. A document in no
+    row is a class of its own and has no link. Each row of docs is a document:
+    rows that repeat are copies of each other. A row with a null doc_id is a
+    document too; class_id is null only where no doc_id of the class is known.
+    Texts that are null or without words are in no row. Very long texts are
+    taken whole. An empty table gives no rows.
+    """
+    return similar_rows(docs, n, threshold, **more).select("doc_id", "class_id", "links")
 
 
-def one_of_each(docs: DataFrame, n: int = N, threshold: Fraction | float = THRESHOLD) -> DataFrame:
-    """docs with one document of each group of similar ones: groups are the components of the pairs, the least doc_id stays.
+def one_of_each(docs: DataFrame, n: int = N, threshold: Fraction | float = THRESHOLD, **more) -> DataFrame:
+    """docs with one document of each class of similar ones: that of the least doc_id (null after all others), then of the least hash of doc_id and text.
 
-    Rows with a null doc_id and rows in no pair stay. All columns are kept.
+    Documents in no class stay, and with them null texts and those without
+    words. Of rows that repeat one stays. All columns are kept; of repeated
+    rows that differ in other columns, any one. An empty table stays empty.
     """
-    pairs = jaccard_pairs(docs, n, threshold)
-    groups = connected_components(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")))
-    gone = groups.where("node <> component").select(F.col("node").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    row, here = fresh(docs.columns, "row"), fresh(docs.columns, "here")
+    found = similar_rows(docs, n, threshold, **more)
+    best = found.groupBy("class").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row")).alias("best"))
+    found = found.join(best, "class").groupBy("row", "doc_id").agg(F.first((F.col("best.row") == F.col("row")) & F.col("best.doc_id").eqNullSafe(F.col("doc_id"))).alias("stays"), F.count("*").alias("times"))
+    found = written(found.where("not stays or times > 1"), "ngram-copies")
+    repeated = found.where("stays").limit(1).count()
+    keys = _sent(found.select(F.col("row").alias(row), F.struct("doc_id", "stays").alias(here)))
+    joined = docs.withColumn(row, row_key("doc_id", "text"))
+    joined = joined.join(keys.withColumnRenamed(row, f"{row}_of"), (F.col(row) == F.col(f"{row}_of")) & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{here}.doc_id")), "left")
+    kept = joined.where(F.col(here).isNull())
+    if repeated:
+        kept = kept.unionByName(joined.where(F.col(f"{here}.stays")).dropDuplicates([row, "doc_id"]))
+    return kept.select(*docs.columns)
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i+3], ' ') END AS gram
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
 s AS (SELECT doc_id, list(gram ORDER BY gram) AS grams, count(*) AS n FROM g GROUP BY doc_id),
 r AS (SELECT min(doc_id) AS rep, list(doc_id) AS members, n FROM s GROUP BY grams, n),
-rg AS (SELECT r.rep, r.n, g.gram FROM r JOIN g ON g.doc_id = r.rep),
-o AS (SELECT a.rep AS x, b.rep AS y, a.n AS nx, b.n AS ny, count(*) AS o FROM rg a JOIN rg b ON a.gram = b.gram AND a.rep < b.rep GROUP BY ALL)
-SELECT x AS doc_id_a, y AS doc_id_b, o / (nx + ny - o) AS jaccard FROM o WHERE 5 * o >= 2 * (nx + ny - o)
-UNION ALL
-SELECT rep, m, 1.0::DOUBLE FROM (SELECT rep, unnest(members) AS m FROM r) WHERE m <> rep
+rg AS (SELECT r.rep, r.n, len(r.members) AS m, g.gram FROM r JOIN g ON g.doc_id = r.rep),
+o AS (SELECT a.rep AS x, b.rep AS y, a.n AS nx, b.n AS ny, b.m AS my, count(*) AS o FROM rg a JOIN rg b ON a.gram = b.gram AND a.rep <> b.rep GROUP BY ALL),
+e AS (SELECT x, y, my FROM o WHERE 5 * o >= 2 * (nx + ny - o)),
+c(x, y) AS (SELECT rep, rep FROM r UNION SELECT c.x, e.y FROM c JOIN e ON e.x = c.y),
+k AS (SELECT x, min(y) AS class_id FROM c GROUP BY x),
+l AS (SELECT x, sum(my) AS links FROM e GROUP BY x)
+SELECT unnest(r.members) AS doc_id, k.class_id, CAST(coalesce(l.links, 0) + len(r.members) - 1 AS BIGINT) AS links
+FROM r JOIN k ON k.x = r.rep LEFT JOIN l ON l.x = r.rep WHERE coalesce(l.links, 0) + len(r.members) > 1
 """

@@ -17,27 +17,19 @@ def grams(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def all_pairs(docs, n, t):
-    found = {}
-    for (i, a), (j, b) in combinations(sorted({(i, x) for i, x in docs if i is not None and x}), 2):
-        x, y = grams(a, n), grams(b, n)
-        if i != j and x and y and Fraction(len(x & y), len(x | y)) >= t:
-            found[min(i, j), max(i, j)] = max(found.get((min(i, j), max(i, j)), 0), len(x & y) / len(x | y))
-    return found
-
-
-def expanded(pairs):
-    """All pairs that follow: those equal to the same document share its pairs."""
-    star, out = {}, {}
-    for a, b, j in pairs:
-        if j == 1.0:
-            star.setdefault(a, {a}).add(b)
-    for a, b, j in pairs:
-        for x in star.get(a, {a}) if j < 1 else {a, *star.get(a, {})}:
-            for y in star.get(b, {b}) if j < 1 else star.get(a, {b}):
-                if x != y:
-                    out[min(x, y), max(x, y)] = max(j, out.get((min(x, y), max(x, y)), 0))
-    return out
+def all_classes(docs, n, t):
+    """(doc_id, class_id, links) by comparing all pairs of rows."""
+    sets = [grams(x or "", n) for _, x in docs]
+    links, up = [0] * len(docs), list(range(len(docs)))
+    for i, j in combinations(range(len(docs)), 2):
+        x, y = sets[i], sets[j]
+        if x and y and Fraction(len(x & y), len(x | y)) >= t:
+            links[i] += 1
+            links[j] += 1
+            a, b = up[i], up[j]
+            up = [min(a, b) if u in (a, b) else u for u in up]
+    ids = [min((docs[j][0] for j in range(len(docs)) if up[j] == up[i] and docs[j][0] is not None), default=None) for i in range(len(docs))]
+    return sorted(((docs[i][0], ids[i], links[i]) for i in range(len(docs)) if links[i]), key=str)
 
 
 def corpus(seed, size=60):
@@ -53,33 +45,62 @@ def corpus(seed, size=60):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "t", "block"), [(1, Fraction(2, 5), 3_000_000), (2, Fraction(2, 5), 30), (3, Fraction(7, 10), 3_000_000), (4, Fraction(1), 10)])
-def test_same_as_all_pairs(spark, seed, t, block):
+@pytest.mark.parametrize(
+    ("seed", "t", "more"),
+    [
+        (1, Fraction(2, 5), {}),
+        (2, Fraction(2, 5), {"block": 30}),
+        (3, Fraction(7, 10), {"bucket_bytes": 500}),
+        (4, Fraction(1), {"block": 10, "bucket_bytes": 2000}),
+        (5, Fraction(1, 2), {"hot_share": 2.0, "bucket_bytes": 900}),
+        (6, Fraction(2, 5), {"hot_share": 0.2, "bucket_bytes": 900, "block": 100}),
+    ],
+)
+def test_same_as_all_pairs(spark, seed, t, more):
     docs = corpus(seed)
-    got = nj.jaccard_pairs(spark.createDataFrame(docs, "doc_id long, text string"), 3, t, block).collect()
-    want = all_pairs(docs, 3, t)
-    have = expanded([tuple(r) for r in got])
-    assert set(have) == set(want)
-    assert all(abs(have[k] - want[k]) < 1e-12 for k in want)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in nj.similar_documents(df, 3, t, **more).collect()), key=str)
+    assert got == all_classes(docs, 3, t) and got
+    kept = {r.doc_id for r in nj.one_of_each(df, 3, t, **more).collect()}
+    assert kept == {i for i, _ in docs} - {i for i, c, _ in got if i != c}
 
 
 def test_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(70_000))
-    docs = [(1, "a b c d e"), (1, "a b c d e"), (2, "A, b; c\nd e!"), (None, "a b c d e"), (3, None), (4, ""), (5, "..."), (6, "é"), (7, "É"), (8, long), (9, long + " end"), (1, "z z z z z z")]
+    docs = [(1, "a b c d e"), (1, "a b c d e"), (2, "A, b; c\nd e!"), (None, "a b c d e"), (3, None), (4, ""), (5, "..."), (6, "é"), (7, "É"), (8, long), (9, long + " end"), (1, "z z z z z z"), (None, "q r s t u"), (None, "q r s t u"), (None, None), (10, "only once here now"), (10, "only once here now")]
     df = spark.createDataFrame([(i, t, i, "x") for i, t in docs], "doc_id long, text string, node long, tokens string")
-    got = {(r.doc_id_a, r.doc_id_b) for r in nj.jaccard_pairs(df).collect()}
-    assert got == {(1, 2), (6, 7), (8, 9)}
+    got = sorted((tuple(r) for r in nj.similar_documents(df).collect()), key=str)
+    assert got == all_classes(docs, 4, Fraction(2, 5))
+    assert (None, 1, 3) in got and (None, None, 1) in got and (9, 8, 1) in got
     kept = nj.one_of_each(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1, 1, 3, 4, 5, 6, 8]
+    assert sorted((str(r.doc_id), str(r.text)[:9]) for r in kept.collect()) == sorted([("1", "a b c d e"), ("3", "None"), ("4", ""), ("5", "..."), ("6", "é"), ("8", "x0 x1 x2 "), ("1", "z z z z z"), ("None", "q r s t u"), ("None", "None"), ("10", "only once")])
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert nj.jaccard_pairs(df).count() == 0
+    assert nj.similar_documents(df).count() == 0
     assert nj.one_of_each(df).count() == 0
 
 
+def test_chains_of_intervals_are_those_of_points():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        h, n = np.sort(r.integers(0, 3, 40)).astype(np.uint64), r.integers(1, 200, 40)
+        h, n = h[(order := np.lexsort((n, h)))], n[order]
+        at = nj._chains(h, n, n, 2, 5)
+        whole = np.repeat(np.arange(len(at)), np.diff(np.r_[at, 40]))
+        half = r.random(40) < 0.5
+        parts = []
+        for some in (np.flatnonzero(half), np.flatnonzero(~half)):
+            a = nj._chains(h[some], n[some], n[some], 2, 5)
+            parts += [(h[some][i], n[some][i:j].min(), n[some][i:j].max(), {*whole[some[i:j]]}) for i, j in zip(a, np.r_[a[1:], len(some)], strict=True)]
+        parts.sort(key=lambda x: x[:2])
+        merged = nj._chains(np.array([p[0] for p in parts]), np.array([p[1] for p in parts]), np.array([p[2] for p in parts]), 2, 5)
+        groups = [set().union(*(p[3] for p in parts[i:j])) for i, j in zip(merged, np.r_[merged[1:], len(parts)], strict=True)]
+        assert groups == [{k} for k in range(len(at))]
+
+
 def test_tree_finds_all():
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 30, r.integers(1, 20))).astype(np.uint32) for _ in range(80)]
