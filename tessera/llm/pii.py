@@ -23,24 +23,26 @@ for _zero in (0x660, 0x6F0, 0x966, 0x9E6, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x
     _LIKE |= {chr(_zero + i): str(i) for i in range(10)}
 _LIKE |= {"․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "﹫": "@", "﹒": ".", " ": " ", " ": " ", " ": " "}
 HOMOGLYPHS = str.maketrans(_LIKE)
-_HAS_LIKE = re.compile("[" + re.escape("".join(_LIKE)) + "]")
+_HAS_LIKE, _LATIN = re.compile("[" + re.escape("".join(_LIKE)) + "]"), [c for c in _LIKE if ord(c) < 256]
 
 _DIGITS = {}
 for _words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"):
     _DIGITS |= {w: str(i) for i, w in enumerate(_words.split())}
 _DIGITS |= {"oh": "0", "niner": "9", "zwo": "2"}
 _ONE = "|".join(sorted(_DIGITS, key=len, reverse=True))
-#: Three or more digits in words, or digits in words beside figures.
-SPELLED = re.compile(rf"\b(?:(?:{_ONE})[ \t]*[,\-]?[ \t]*){{2,}}(?:{_ONE})\b", re.I)
+#: Three or more digits in words, with spaces, a comma or a hyphen between them.
+SPELLED = re.compile(rf"\b(?:(?:{_ONE})(?=[ \t,\-])[ \t]*+(?:[,\-][ \t]*+)?){{2,}}(?:{_ONE})\b", re.I)
 _WORD = re.compile(_ONE, re.I)
+_LAST, _FIRST = re.compile(rf"(?:{_ONE})\Z"), re.compile(_ONE)
 
-_AT, _DOT = r"[(\[{<][ \t]*(?:at|arroba|arobase|@)[ \t]*[)\]}>]", r"[(\[{<][ \t]*(?:dot|punto|point|punkt|\.)[ \t]*[)\]}>]"
-BRACKETED = re.compile(rf"[ \t]*(?:(?P<at>{_AT})|(?P<dot>{_DOT}))[ \t]*", re.I)
+_SIGNS = r"[(\[{<][ \t]*+(?:(?P<at>at|arroba|arobase|@)|(?P<dot>dot|punto|point|punkt|\.))[ \t]*+[)\]}>][ \t]*+"
+BRACKETED = re.compile(_SIGNS, re.I)
 #: name at host dot com: 'at' and 'dot' count as signs only together.
-BARE = re.compile(r"(?<=[\w.+\-])(?P<at>[ \t]+at[ \t]+|[ \t]*@[ \t]*)(?=[\w\-]+(?:\.[\w\-]+)*[ \t]+dot[ \t]+\w)|(?P<dot>(?<=\w)[ \t]+dot[ \t]+(?=\w))", re.I)
+BARE = re.compile(r"(?<=[\w.+\-])(?P<at>[ \t]++at[ \t]++|[ \t]*+@[ \t]*+)(?=[\w\-]++(?:\.[\w\-]++)*+[ \t]++dot[ \t]++\w)|(?P<dot>(?<=\w)[ \t]++dot[ \t]++(?=\w))", re.I)
 _DOT_WORD = re.compile(r"[ \t]dot[ \t]", re.I)
 
-EMAIL_BEFORE, EMAIL_AFTER = re.compile(r"[A-Za-z0-9._%+\-]+\Z"), re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+EMAIL_AFTER = re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 IP = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)")
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|(?:\(\d{3}\)[ ]?|\d{3}[ .\-])\d{3}[ .\-]?\d{4})(?!\w)")
 TEN = re.compile(r"(?<![\w.+\-])\d{10,11}(?![\w\-])")
@@ -57,21 +59,65 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+#: (first digits from, to, lengths) of the cards that issuers give out.
+_ISSUED = (("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("6011", "6011", (16, 19)), ("644", "659", (16, 19)), ("3528", "3589", (16, 19)), ("300", "305", (14,)), ("36", "36", (14,)), ("38", "39", (14,)), ("62", "62", (16, 17, 18, 19)), ("50", "50", (13, 14, 15, 16, 17, 18, 19)), ("56", "58", (13, 14, 15, 16, 17, 18, 19)))
+
+
+def card(digits: str) -> bool:
+    return any(a <= digits[: len(a)] <= b and len(digits) in sizes for a, b, sizes in _ISSUED) and luhn(digits)
+
+
 def iban(text: str) -> bool:
     flat = text.replace(" ", "")
     return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def _looks_alike(text: str) -> bool:
+    """Whether text has a character of HOMOGLYPHS."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_HAS_LIKE.search(text))
+    return any(c in text for c in _LATIN)
+
+
+def _spells(text: str) -> bool:
+    """Whether a digit in words stands between two others; what is joined to the outer ones isn't looked at."""
+    words = text.lower().replace(",", " ").replace("-", " ").split()
+    digit = bytes(map(_DIGITS.__contains__, words))
+    at = digit.find(1, 1)
+    while 0 < at < len(words) - 1:
+        if _LAST.search(words[at - 1]) and _FIRST.match(words[at + 1]):
+            return True
+        at = digit.find(1, at + 1)
+    return False
+
+
+def _bracketed(text: str) -> list[tuple[int, int, str]]:
+    """Signs in brackets, with the spaces around them."""
+    found, done = [], 0
+    for m in BRACKETED.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in " \t":
+            start -= 1
+        done = m.end()
+        found.append((start, done, "@" if m.group("at") else "."))
+    return found
+
+
 class Normal:
     """A text in normal form, and the source of each stretch of it."""
 
     def __init__(self, source: str):
-        plain = source if source.isascii() or not _HAS_LIKE.search(source) else source.translate(HOMOGLYPHS)
-        swaps = [(m.start(), m.end(), "@" if m.group("at") else ".") for m in BRACKETED.finditer(plain)] if any(c in plain for c in "([{<") else []
+        plain = source.translate(HOMOGLYPHS) if _looks_alike(source) else source
+        swaps = _bracketed(plain) if any(c in plain for c in "([{<") else []
         if _DOT_WORD.search(plain):
             swaps += [(m.start(), m.end(), "@" if m.group("at") else ".") for m in BARE.finditer(plain)]
-        swaps += [(m.start(), m.end(), "".join(_DIGITS[w.lower()] for w in _WORD.findall(m.group()))) for m in SPELLED.finditer(plain)]
-        self.text, self.at, self.from_, self.swapped = plain, [0], [0], [False]
+        if _spells(plain):
+            swaps += [(m.start(), m.end(), "".join(_DIGITS[w.lower()] for w in _WORD.findall(m.group()))) for m in SPELLED.finditer(plain)]
+        self.text, self.at, self.from_, self.swapped, self.ends = plain, [0], [0], [False], {}
         if not swaps:
             return
         out, done, size = [], 0, 0
@@ -91,7 +137,6 @@ class Normal:
                 continue
             add(plain[done:start], done, False)
             add(piece, start, True)
-            self.ends = getattr(self, "ends", {})
             self.ends[start] = end
             done = end
         add(plain[done:], done, False)
@@ -109,17 +154,23 @@ class Normal:
 def identifiers(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value) in the normal form, in order; where spans overlap, the kind named first in the code has it."""
     found: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))
 
     def take(kind: str, start: int, end: int, value: str) -> None:
-        if all(end <= a or start >= b for a, b, _, _ in found):
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\1" * (end - start)
             found.append((start, end, kind, value))
 
     at = text.find("@")
     while at >= 0:
-        after = EMAIL_AFTER.match(text, at)
-        before = EMAIL_BEFORE.search(text[max(0, at - 64) : at])
-        if after and before and (value := before.group().lstrip(".-")):
-            take("email", at - len(value), after.end(), (value + after.group()).lower())
+        if after := EMAIL_AFTER.match(text, at):
+            start = at
+            while start and text[start - 1] in _LOCAL:
+                start -= 1
+            while start < at and text[start] in ".-":
+                start += 1
+            if start < at:
+                take("email", start, after.end(), text[start : after.end()].lower())
         at = text.find("@", at + 1)
     if "=" in text or ":" in text or "AKIA" in text:
         for m in SECRET.finditer(text):
@@ -133,7 +184,7 @@ def identifiers(text: str) -> list[tuple[str, int, int, str]]:
                 take("iban", m.start(), m.end(), m.group().replace(" ", ""))
         for m in CARD.finditer(text):
             digits = re.sub(r"\D", "", m.group())
-            if 13 <= len(digits) <= 19 and (luhn(digits) or len(digits) == 16 and digits[0] in "3456"):
+            if card(digits):
                 take("card", m.start(), m.end(), digits)
         for m in SSN.finditer(text):
             take("ssn", m.start(), m.end(), m.group())
@@ -172,11 +223,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     kind is email, secret, ip, iban, card, ssn or phone. start and end are
     offsets in characters of the text, end exclusive, and source is what stands
-    between them; value is the identifier in normal form. Cards need a valid
-    check digit, or sixteen digits that begin like a card's; addresses need
-    octets under 256, IBANs their remainder. Null and empty texts give no rows,
-    repeated rows give theirs each, a null doc_id stays null; other columns are
-    ignored. One scan, no shuffle.
+    between them; value is the identifier in normal form. Cards need the first
+    digits and the length of an issuer and a valid check digit; addresses need
+    octets under 256, IBANs their remainder. Texts are searched whole, in time
+    that follows their length. Null and empty texts give no rows, repeated rows
+    give theirs each, a null doc_id stays null, an empty table gives no rows;
+    other columns are ignored. One scan, no shuffle.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_found, "doc_id long, kind string, start long, end long, source string, value string")
 

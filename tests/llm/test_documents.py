@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -256,10 +257,85 @@ def test_pii_kinds(text, kind, source, value):
 
 
 def test_pii_leaves_clean_text():
-    for t in ("meet at noon, one two", "v1.2.3.4.5 of 300.1.1.1", "the dot at one", "order 12345", "a@b", "it is at home (at last)", "", "two dots .. at 4"):
+    for t in ("meet at noon, one two", "v1.2.3.4.5 of 300.1.1.1", "the dot at one", "order 12345", "a@b", "it is at home (at last)", "", "ref 3668798256337530 and 4929963689861573", "two dots .. at 4"):
         assert pii.spans(t) == []
 
 
+def plain_emails(text):
+    """Addresses by trying every span of text."""
+    ok = set("abcdefghijklmnopqrstuvwxyz0123456789")
+
+    def label(x):
+        return x and x[0] in ok and x[-1] in ok and set(x) <= ok | {"-"}
+
+    def host(x):
+        *rest, top = x.split(".")
+        return rest and all(map(label, rest)) and len(top) >= 2 and top.isalpha()
+
+    out = []
+    for at in (k for k, c in enumerate(text) if c == "@"):
+        starts = [a for a in range(at) if set(text[a:at]) <= ok | set("._%+-") and text[a] not in ".-"]
+        ends = [b for b in range(at + 2, len(text) + 1) if host(text[at + 1 : b])]
+        if starts and ends and all(b <= starts[0] for _, b in out):
+            out.append((starts[0], ends[-1]))
+    return out
+
+
+def plain_addresses(text):
+    """IP addresses by trying every span of text."""
+    spans = [(a, b) for a in range(len(text)) for b in range(a + 7, min(len(text), a + 15) + 1)]
+    fits = lambda x: len(p := x.split(".")) == 4 and all(d.isdigit() and len(d) <= 3 and int(d) < 256 for d in p)
+    return [(a, b) for a, b in spans if fits(text[a:b]) and (a == 0 or text[a - 1] not in "0123456789.") and not text[b : b + 1].isdigit() and not (text[b : b + 1] == "." and text[b + 1 : b + 2].isdigit())]
+
+
+def test_pii_by_brute_force():
+    r = random.Random(11)
+    for _ in range(3000):
+        text = "".join(r.choice("aab1.@-_ ") for _ in range(r.randint(0, 30)))
+        assert [(a, b) for k, a, b, *_ in pii.spans(text) if k == "email"] == plain_emails(text), text
+        text = "".join(r.choice(["1", "2", "25", "255", "256", ".", ".", ".", " "]) for _ in range(r.randint(0, 20)))
+        assert [(a, b) for k, a, b, _ in pii.identifiers(text) if k == "ip"] == plain_addresses(text), text
+
+
+def test_pii_round_trip():
+    """Identifiers are disguised at random and set among words; each is found at its place, with its plain value."""
+    r = random.Random(12)
+    like = {v: k for k, v in pii._LIKE.items() if v.isalnum() and v.isascii() and len(v) == 1}
+    words = {str(i): w for i, w in enumerate("zero one two three four five six seven eight nine".split())}
+
+    def card():
+        head = "4" + "".join(r.choice("0123456789") for _ in range(14))
+        return next(head + d for d in "0123456789" if pii.luhn(head + d))
+
+    for _ in range(400):
+        source, want = "", []
+        for _ in range(r.randint(0, 5)):
+            source += " ".join(r.choice(["river", "stone", "éà", "at", "dot"]) for _ in range(r.randint(1, 4))).removesuffix("dot").removesuffix("at") + " x; "
+            kind = r.choice(["email", "card", "phone", "ip"])
+            value = {"email": f"ab{r.randint(0, 99)}@mail{r.randint(1, 9)}.example.com", "card": card(), "phone": f"{r.randint(200, 999)}555{r.randint(1000, 9999)}", "ip": f"10.{r.randint(0, 255)}.{r.randint(0, 255)}.7"}[kind]
+            shown = value
+            if kind == "email" and r.random() < 0.5:
+                shown = shown.replace("@", r.choice([" (at) ", "[at]", " <@> "])).replace(".", r.choice([" [dot] ", "(dot)", "{.}"]))
+            elif kind == "phone":
+                shown = r.choice([" ".join(words[c] for c in value), "-".join((value[:3], value[3:6], value[6:]))])
+            elif kind == "card" and r.random() < 0.5:
+                shown = " ".join(value[i : i + 4] for i in range(0, 16, 4))
+            if r.random() < 0.4 and not any(w in shown for w in words.values()):
+                shown = "".join(like.get(c, c) if r.random() < 0.3 and "(" not in shown and "[" not in shown and "{" not in shown and "<" not in shown else c for c in shown)
+            want.append((kind, len(source), len(source) + len(shown), shown, value))
+            source += shown + " ; "
+        assert pii.spans(source) == want, source
+
+
+@pytest.mark.parametrize("text", ["one two" + " " * 1_000_000 + "x", "(" + " " * 1_000_000, "( " * 500_000, "ab@mail.com " * 80_000, "one two three " * 70_000, "a at b dot c " * 80_000, "a" * 1_000_000 + "@mail.com", "@a." * 300_000, "@a" + "-" * 1_000_000, "1 " * 500_000, "token " * 160_000 + "=", "one " * 250_000 + "onex"])
+def test_pii_takes_long_texts(text):
+    began = time.thread_time()
+    found = pii.spans(text)
+    assert time.thread_time() - began < 5
+    assert {s for *_, s, _ in found} <= {"ab@mail.com", "a" * 1_000_000 + "@mail.com"}
+    assert len(found) == text.count("@mail.com")
+
+
 def test_pii_rows(spark):
     text = "one@mail.com and two (at) mail (dot) com, three@mail.com"
     df = spark.createDataFrame([(1, text, "k"), (1, text, "k"), (None, text, "k"), (2, None, "k"), (3, "", "k"), (4, "pad " * 100_000 + text, "k")], "doc_id long, text string, kind string")
