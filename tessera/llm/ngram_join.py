@@ -35,10 +35,10 @@ from tessera.llm.shared import fresh, row_key, written
 
 U64 = np.uint64
 N, THRESHOLD = 4, Fraction(2, 5)
-#: n-grams gathered by a map task before it writes them out; n-grams of one side of a block of a large component; n-grams of a bundle of small ones.
-GATHER, BLOCK, BUNDLE = 1_500_000, 750_000, 250_000
+#: n-grams gathered by a map task before it writes them out; n-grams, and sets, of one side of a block of a large component; n-grams of a bundle of small ones.
+GATHER, BLOCK, BLOCK_SETS, BUNDLE = 1_500_000, 750_000, 3000, 250_000
 #: Bytes of text of which a bucket holds the n-grams; a task needs about twelve times as much memory.
-BUCKET_BYTES = 32_000_000
+BUCKET_BYTES = 16_000_000
 #: Rows that are sent to all tasks, 40 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: n-grams that this share of about so many documents hold go around the buckets. Which these are changes no result.
@@ -446,7 +446,7 @@ def similar_rows(docs: DataFrame, n: int = N, threshold: Fraction | float = THRE
     postings = linked.select("node", "n", "tokens", "lead").mapInArrow(_postings(parts, num, den), "part int, chains binary, edges binary")
     components = connected_components(by_part(postings, _links(num, den), "a long, b long"))
     place = linked.select("node", "shared").join(components, "node")
-    large = place.groupBy("component").agg(F.ceil(F.sum("shared") / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1")
+    large = place.groupBy("component").agg(F.greatest(F.ceil(F.sum("shared") / F.lit(block)), F.ceil(F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("blocks")).where("blocks > 1")
     place = place.join(large, "component", "left").select("node", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     place = place.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     place = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
