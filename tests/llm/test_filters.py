@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from itertools import product
 
 import numpy as np
@@ -33,21 +34,27 @@ def odd(spark, more):
 
 
 def test_segmentation_is_the_likeliest():
-    known = {"casino": math.log(0.1), "cas": math.log(0.2), "ino": math.log(0.1), "win": math.log(0.3)}
-    name, total = "casinowin", 100.0
-    spans = {(s, length): known[name[s : s + length]] for s in range(len(name)) for length in range(1, len(name) - s + 1) if name[s : s + length] in known}
+    r = random.Random(3)
+    words = {"casino": 0.1, "cas": 0.2, "ino": 0.1, "win": 0.3, "a": 0.01, "ab": 0.02, "ba": 0.3, "bab": 0.02}
+    total = 100.0
 
-    def cost(words):
-        return sum(known.get(w, math.log(10 / total) - len(w) * math.log(10)) for w in words)
+    def cost(split):
+        return sum(math.log(words[w]) if w in words else math.log(10 / total) - len(w) * math.log(10) for w in split)
 
-    best = max(cost([w for w in "".join(c + ("|" if b else "") for c, b in zip(name, (*cut, 0), strict=True)).split("|")]) for cut in product([0, 1], repeat=len(name) - 1))
-    got = uf.segment(name, spans, total)
-    assert got == ["casino", "win"] and abs(cost(got) - best) < 1e-9
-    assert uf.segment("", {}, 1.0) == [] and uf.segment("q", {}, 1.0) == ["q"]
+    for name in ["casinowin", "q", "qq", "winxcas", *("".join(r.choice("abx") for _ in range(r.randint(1, 9))) for _ in range(60))]:
+        known = [(s, n, math.log(words[name[s : s + n]])) for s in range(len(name)) for n in range(1, len(name) - s + 1) if name[s : s + n] in words]
+        splits = ["".join(c + ("|" if b else "") for c, b in zip(name, (*cut, 0), strict=True)).split("|") for cut in product([0, 1], repeat=len(name) - 1)]
+        got = uf.segment(name, known, total)
+        assert "".join(got) == name and abs(cost(got) - max(map(cost, splits))) < 1e-6
+    assert uf.segment("casinowin", [(0, 6, math.log(0.1)), (6, 3, math.log(0.3))], total) == ["casino", "win"]
+    assert uf.segment("", [], 1.0) == []
+    began = time.thread_time()
+    assert uf.segment("casino" * 20_000, [(i, 6, -1.0) for i in range(0, 120_000, 6)], total) == ["casino"] * 20_000
+    assert uf.segment("x" * 100_000, [], total) == ["x" * 100_000] and time.thread_time() - began < 5
 
 
 def test_url_filter(spark):
-    pages = [(i, f"http://{h}/p/{i}", "<p>river stone river casino win</p><script>bad</script>") for i, h in enumerate(["casino-win.example", "riverstone.org", "river.org", "stone.net", "casinowin.example"])]
+    pages = [(i, f"http://{h}/p/{i}", "<p>river stone river stone</p><script>bad</script>") for i, h in enumerate(["casino-win.example", "riverstone.org", "river.org", "stone.net", "casinowin.example"])]
     pages += [(9, None, None), (10, "not a url", ""), (11, "http://river.org/p/1", None), (11, "http://river.org/p/1", None)]
     df = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, host string, token string")
     got = uf.filtered(df).collect()
@@ -66,6 +73,24 @@ def test_url_filter(spark):
     assert {r.verdict for r in uf.filtered(df.where("page_id in (1, 2)")).collect()} == {"allow"}
     given = spark.createDataFrame([("http://river.org/p/2", True), ("http://stone.net/p/3", False)], "url string, bad boolean")
     assert {r.page_id: r.verdict for r in uf.filtered(df, given).collect()}[2] == "block"
+    long = [(1, "http://" + "rivercasino" * 5000 + ".org/", "river " * 100_000), (2, "http://river.org/" + "x" * 100_000, None), (None, "http://stone.org/", "stone")]
+    by = {r.page_id: r for r in uf.filtered(spark.createDataFrame(long, "page_id long, url string, html string")).collect()}
+    assert by[1].host_words == " ".join(["river", "casino"] * 5000) and (by[1].verdict, by[2].verdict, by[None].verdict) == ("block", "allow", "allow")
+
+
+def test_held_out_hosts(spark):
+    """Half the hosts of the test table are bad; the model is told so, and judges the names of bad hosts that it hasn't seen, run together from words that no seed holds."""
+    urls = [r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bad = ("casino-win", "cheap-pills", "free-bets", "spam-farm", "ads-track")
+    told = [(u, any(b in u for b in bad)) for u in urls]
+    unseen = [f"http://{a}{b}.example.net/en/{i}" for i, (a, b) in enumerate(product(["casino", "cheap", "free", "spam"], ["win", "pills", "bets", "farm", "track"]))]
+    words = sorted({u.split("/")[2].split(".")[-3] for u, b in told if not b and "adult-x" not in u})
+    clean = [f"http://{a}{b}.example.net/en/{i}" for i, (a, b) in enumerate(zip(words, words[7:], strict=False))]
+    pages = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls + unseen + clean)], "page_id long, url string, html string")
+    got = {r.url: r for r in uf.filtered(pages, spark.createDataFrame(told, "url string, bad boolean"), seed=("zzz",)).collect()}
+    caught, left = np.mean([got[u].verdict == "block" for u in unseen]), np.mean([got[u].verdict == "allow" for u in clean])
+    assert caught > 0.95 and left > 0.95, (caught, left)
+    assert {got[u].host_words.count(" ") for u in unseen} == {2}
 
 
 def test_quality_rules_held_out_and_odd(spark):
