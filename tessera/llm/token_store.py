@@ -141,7 +141,7 @@ def token_store(docs: DataFrame, vocabulary: str = VOCABULARY, tokenizers: str =
     path = os.path.join(tokenizers, vocabulary)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = least_hashed(rows.where("text <> ''").select("doc_id", F.lit(0).alias("all")), "all", sample).select("doc_id")
-    some = rows.where("text <> ''").join(F.broadcast(ids), "doc_id").select("doc_id", "text").coalesce(1).sortWithinPartitions("doc_id", "text").select("text")
+    some = rows.where("text <> ''").join(F.broadcast(ids), "doc_id").select("doc_id", "text").repartition(1).sortWithinPartitions("doc_id", "text").select("text")
     made = some.mapInArrow(_trained(path, dictionary_bytes), "payload binary").first()
     raw = bytes(made.payload) if made else b""
     shared = spark.sparkContext.broadcast(raw)
