@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
+from tessera.llm.shared import row_key
 
 CAPACITY, GROUP, SEED = 2048, 4096, 7
 
@@ -49,12 +50,12 @@ def _sizes(it):
         for part in tb.chunks(batch, "text"):
             data, offsets = tb.text_bytes(part.column("text"))
             _, _, text = tb.words(data, offsets)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.bincount(text, minlength=part.num_rows).astype(np.int64))], ["doc_id", "size"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(np.bincount(text, minlength=part.num_rows).astype(np.int64))], ["doc_id", "row", "size"])
 
 
 def _packed(capacity: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("size", "ascending")])
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table.column("times").to_numpy()))).sort_by([("doc_id", "ascending"), ("size", "ascending")])
         ids, sizes = table.column("doc_id").to_pylist(), table.column("size").to_numpy()
         pieces = -(-sizes // capacity)
         who = np.repeat(np.arange(len(sizes)), pieces)
@@ -77,9 +78,11 @@ def _packed(capacity: int):
 def packed(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, seed: int = SEED) -> DataFrame:
     """Bins of at most capacity words: (pack, bin, doc_ids, starts, sizes, used, capacity).
 
-    Documents fall into random groups of about that many by a hash of doc_id;
-    each group is packed alone by first-fit decreasing, so that only (doc_id,
-    size) is shuffled and groups run side by side at any size of the corpus.
+    Documents fall into random groups of about that many by a hash of doc_id
+    and text; each group is packed alone by first-fit decreasing, so that only
+    hashes and sizes are shuffled and groups run side by side at any size of
+    the corpus. Rows that repeat are counted first and dealt out in lots of at
+    most a sixteenth of a group, so that none grows with their number.
     Items go by falling size, then doc_id, then place. A text of more than
     capacity words is cut into pieces of capacity and a rest; starts has the
     word at which each piece begins. Texts that are null or without words take
@@ -88,8 +91,12 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, seed:
     gives no bins. Other columns are ignored.
     """
     groups = max(1, -(-docs.count() // group))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sizes, "doc_id long, size long").where("size > 0")
-    keyed = sizes.withColumn("pack", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(groups)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), "text")
+    sizes = rows.mapInArrow(_sizes, "doc_id long, row long, size long").where("size > 0").groupBy("doc_id", "row", "size").agg(F.count("*").alias("n"))
+    lot = max(1, group // 16)
+    lots = sizes.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / lot))))
+    lots = lots.withColumn("times", F.least(F.lit(lot), F.col("n") - F.col("lot") * lot))
+    keyed = lots.select("doc_id", "size", "times", F.pmod(F.xxhash64("doc_id", "row", "lot", F.lit(seed)), F.lit(groups)).alias("pack"))
     return keyed.groupBy("pack").applyInArrow(_packed(capacity), "pack long, bin long, doc_ids array<long>, starts array<long>, sizes array<long>, used long, capacity long")
 
 
