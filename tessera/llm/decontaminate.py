@@ -15,6 +15,7 @@ from fractions import Fraction
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ _automata: dict[tuple, tuple] = {}
 
 def normal(text: str) -> str:
     """Words in lower case with single spaces between and around them, one character for each byte; '' without words."""
-    raw = _PLAIN[np.frombuffer(text.lower().encode(), np.uint8)].tobytes().decode("latin-1").split(" ")
+    raw = _PLAIN[np.frombuffer(pc.utf8_lower(text).as_py().encode(), np.uint8)].tobytes().decode("latin-1").split(" ")
     kept = [w for w in raw if w]
     return f" {' '.join(kept)} " if kept else ""
 
@@ -126,12 +127,16 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: tuple[tuple[int, str],
     return out
 
 
+def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts in lower case, with the spaces that matches() wants around each."""
+    return tb.text_bytes(pc.binary_join_element_wise(pa.scalar("  ", column.type), pc.utf8_lower(column.fill_null("")), pa.scalar(" ", column.type), pa.scalar("", column.type)))
+
+
 def _searched(items, rate: Fraction):
     def run(it):
         for batch in it:
             for part in tb.chunks(batch, "text"):
-                data, offsets = tb.text_bytes(part.column("text"))
-                rows = matches(data, offsets, items.value, rate)
+                rows = matches(*_lower(part.column("text")), items.value, rate)
                 ids = part.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[t] for t, _, _ in rows], pa.int64()), pa.array([items.value[k][0] for _, k, _ in rows], pa.int64()), pa.array([d for _, _, d in rows], pa.int32()), pa.array([len(items.value[k][1]) for _, k, _ in rows], pa.int32())],
@@ -141,6 +146,27 @@ def _searched(items, rate: Fraction):
     return run
 
 
+def _without(items, rate: Fraction):
+    def run(it):
+        for batch in it:
+            for part in tb.chunks(batch, "text"):
+                keep = np.ones(part.num_rows, bool)
+                keep[[t for t, _, _ in matches(*_lower(part.column("text")), items.value, rate)]] = False
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def _passes(benchmark: DataFrame, pass_bytes: int):
+    """The test items in normal form, broadcast in lots of about pass_bytes."""
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    total = asked.agg(F.coalesce(F.sum(F.octet_length("text") + 2), F.lit(0))).first()[0]
+    passes = max(1, -(-int(total) // pass_bytes))
+    for p in range(passes):
+        rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(tuple(sorted((r.item_id, t) for r in rows if (t := normal(r.text)))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: Fraction | float = RATE, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, item_bytes): the test items that documents hold, with the least edit distance of each.
 
@@ -151,26 +177,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: Fraction | float =
     checked: items of more than pass_bytes in all are split by a hash over
     several passes. Nulls and texts without words match nothing, nor does a
     row with a null doc_id or item_id. Rows of one doc_id and item_id are one,
-    with the least distance; equal items are each reported.
+    with the least distance; equal items are each reported. Very long texts are
+    searched whole; an empty table on either side gives no rows.
     """
-    spark = docs.sparkSession
     rate = Fraction(rate).limit_denominator(1000)
-    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    total = asked.agg(F.coalesce(F.sum(F.octet_length("text") + 2), F.lit(0))).first()[0]
-    passes = max(1, -(-int(total) // pass_bytes))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit("  "), F.lower("text"), F.lit(" ")).alias("text")).where("doc_id is not null and text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     found = None
-    for p in range(passes):
-        rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).collect()
-        items = spark.sparkContext.broadcast(tuple(sorted((r.item_id, t) for r in rows if (t := normal(r.text)))))
+    for items in _passes(benchmark, pass_bytes):
         one = texts.mapInArrow(_searched(items, rate), "doc_id long, item_id long, distance int, item_bytes int")
         found = one if found is None else found.union(one)
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("item_bytes").alias("item_bytes"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: Fraction | float = RATE) -> DataFrame:
-    """docs without those that hold a test item; rows with a null doc_id or text stay."""
-    return docs.join(contaminated(docs, benchmark, rate).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: Fraction | float = RATE, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """docs without the rows whose text holds a test item; rows with a null text stay, a null doc_id doesn't matter.
+
+    Texts, of any length, are searched and passed on in one scan, without a
+    join. All columns are kept; an empty table stays empty.
+    """
+    rate = Fraction(rate).limit_denominator(1000)
+    for items in _passes(benchmark, pass_bytes):
+        docs = docs.mapInArrow(_without(items, rate), docs.schema)
+    return docs
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
