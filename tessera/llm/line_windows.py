@@ -26,12 +26,12 @@ def line_windows(docs: DataFrame) -> DataFrame:
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """(row, gone): the numbers of the lines of each row that later occurrences of windows cover, each once."""
+    """(doc_id, row, gone): the numbers of the lines of each row that later occurrences of windows cover, each once."""
     windows = written(line_windows(docs), "line-windows")
     at = F.struct("doc_id", "row", "k")
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(at).alias("first")).where("times > 1").select("h1", "h2", "first")
     later = windows.join(first, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
-    return later.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
+    return later.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
 def without_repeated_windows(docs: DataFrame, removed: str = "removed_lines", left_lines: str = "left_lines") -> DataFrame:
@@ -46,11 +46,12 @@ def without_repeated_windows(docs: DataFrame, removed: str = "removed_lines", le
     what one of them loses, the others lose as well. A text of fewer than three
     lines has no window and stays; so does a null text, with nulls for both
     counts. n_chars, where there is such a column, is that of the new text.
-    The second count is of the lines left that aren't blank.
+    The second count is of the lines left that aren't blank. Texts of any
+    length are taken whole; an empty table stays empty.
     """
-    row, away = fresh(docs.columns, "row"), fresh(docs.columns, "gone")
-    gone = covered_lines(docs).select(F.col("row").alias(row), F.col("gone").alias(away))
-    joined = docs.withColumn(row, row_key("doc_id", "text")).join(gone, row, "left")
+    row, of, away = (fresh(docs.columns, x) for x in ("row", "row_of", "gone"))
+    gone = covered_lines(docs).select(F.col("row").alias(of), F.struct("doc_id", "gone").alias(away))
+    joined = docs.withColumn(row, row_key("doc_id", "text")).join(gone, (F.col(row) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(f"{away}.doc_id")), "left").withColumn(away, F.col(f"{away}.gone"))
     touched = F.col(away).isNotNull()
     lines = F.split("text", "\n", -1)
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(away)), lambda i: F.get(lines, i))

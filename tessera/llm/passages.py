@@ -109,7 +109,7 @@ def _small(df: DataFrame, items: str) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(row, places): the words of each row, by number, at which later occurrences of windows begin."""
+    """(doc_id, row, places): the words of each row, by number, at which later occurrences of windows begin."""
     rows = docs.where("text is not null").select("doc_id", row_key("doc_id", "text").alias("row"), "text")
     prints = rows.select("row", "text").mapInArrow(_fingerprints, "h long, row long, times long")
     again = prints.groupBy("h").agg(F.sum("times").alias("times"), F.collect_set("row").alias("rows")).where("times > 1")
@@ -119,7 +119,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     at = F.struct("doc_id", "row", "k")
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(at).alias("first")).where("times > 1").select("h1", "h2", "first")
     later = windows.join(first, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
-    return later.groupBy("row").agg(F.collect_set("k").alias("places"))
+    return later.groupBy("doc_id", "row").agg(F.collect_set("k").alias("places"))
 
 
 def without_repeated_passages(docs: DataFrame, removed: str = "removed_words") -> DataFrame:
@@ -134,9 +134,9 @@ def without_repeated_passages(docs: DataFrame, removed: str = "removed_words") -
     document. A text of fewer than 50 words stays; so does a null text, with a
     null count. n_chars, where there is such a column, is that of the new text.
     """
-    row, places, new = (fresh(docs.columns, x) for x in ("row", "places", "new"))
-    found = _small(repeated_windows(docs), "places").select(F.col("row").alias(row), F.col("places").alias(places))
-    joined = docs.withColumn(row, row_key("doc_id", "text")).join(found, row, "left")
+    row, of, places, new = (fresh(docs.columns, x) for x in ("row", "row_of", "places", "new"))
+    found = _small(repeated_windows(docs), "places").select(F.col("row").alias(of), F.struct("doc_id", "places").alias(places))
+    joined = docs.withColumn(row, row_key("doc_id", "text")).join(found, (F.col(row) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(f"{places}.doc_id")), "left").withColumn(places, F.col(f"{places}.places"))
     touched = F.col(places).isNotNull()
     joined = joined.withColumn(new, _cut(F.when(touched, F.col("text")), F.col(places)))
     more = {removed: F.when(F.col("text").isNotNull(), F.coalesce(F.col(f"{new}.gone"), F.lit(0).cast("long"))), "text": F.when(touched, F.col(f"{new}.text")).otherwise(F.col("text"))}
