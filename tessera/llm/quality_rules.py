@@ -126,14 +126,14 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
 
     At most `sample` labelled documents of each class are read, those of the
     least hash of their doc_id. Labels that differ for one doc_id count as the
-    lower. Rows with a null doc_id, quality or text aren't used.
+    lower; of its texts, that of the least hash is read. Rows with a null doc_id, quality or text aren't used.
     """
     given = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     shares = {r.quality: r["count"] for r in given.groupBy("quality").count().collect()}
     if not shares.get(0) or not shares.get(1):
         return None
     chosen = least_hashed(given.where("quality in (0, 1)"), "quality", sample)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     good = np.array([r.quality for r in rows])
     if len(set(good.tolist())) < 2 or len(rows) < 8:
@@ -162,7 +162,8 @@ def scored(docs: DataFrame, labels: DataFrame, reject: float = REJECT, accept: f
     accept, else 'borderline'. A null or empty text has no features: p_good is
     null and the verdict 'reject'. Without labels of both classes p_good is
     null and the verdict 'unscored' for all. Repeated rows are each scored; a
-    null doc_id stays null. Other columns are ignored.
+    null doc_id stays null. Very long texts are scored whole, an empty table
+    gives no rows. Other columns are ignored.
     """
     model = trained(docs, labels, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -186,7 +187,7 @@ def _filtered(model, reject: float):
 
 
 def not_rejected(docs: DataFrame, labels: DataFrame, reject: float = REJECT, sample: int = SAMPLE) -> DataFrame:
-    """docs without rejected rows, all columns kept; without labels of both classes all rows stay. Text is scored and passed on in one scan, without a join."""
+    """docs without rejected rows, all columns kept: null and empty texts go as well. Without labels of both classes all rows stay, these too. Text is scored and passed on in one scan, without a join."""
     model = trained(docs, labels, sample)
     if model is None:
         return docs
