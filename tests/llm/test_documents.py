@@ -139,7 +139,8 @@ def test_decontamination_is_that_of_all_comparisons(spark):
     assert {k: v for k, v in got.items() if k[0] != 92} == want and got[92, 3] == 0
     assert {(x.doc_id, x.item_id): x.distance for x in dc.contaminated(df, bench, pass_bytes=200).collect()} == got
     kept = dc.decontaminated(df, bench)
-    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {i for i, _ in docs} - {i for i, _ in got}
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {i for i, _ in docs} - {i for i, _ in got} - {None}
+    assert sorted(x.doc_id for x in dc.decontaminated(df, bench, pass_bytes=200).collect()) == sorted(x.doc_id for x in kept.collect())
     assert dc.contaminated(df.limit(0), bench).count() == 0 and dc.contaminated(df, bench.limit(0)).count() == 0
 
 
@@ -192,6 +193,21 @@ def plain_passages(docs):
     return left
 
 
+@pytest.mark.parametrize("dedup", [lw.without_repeated_windows, ps.without_repeated_passages])
+def test_rows_of_one_key_keep_their_own_lines(spark, monkeypatch, dedup):
+    """Where the keys of two rows collide, each loses only what it repeats itself."""
+    from pyspark.sql import functions as F
+
+    for module in (lw, ps):
+        monkeypatch.setattr(module, "row_key", lambda *cols: F.lit(5).cast("long"))
+    lines = ["a\nb\nc\nd", "u\nv\nw\nx", "a\nb\nc\nq"]
+    if dedup is ps.without_repeated_passages:
+        lines = [" ".join(f"{c}{i}" for i in range(60)) for c in ("a", "b")] + [" ".join(f"a{i}" for i in range(50)) + " q"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup(df).collect()}
+    assert got == {0: lines[0], 1: lines[1], 2: "q"}
+
+
 def test_passages_are_the_plain_ones(spark, monkeypatch):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdé1") for _ in range(3))
@@ -382,3 +398,7 @@ def test_packing_rows(spark):
         items = sorted(((n, 10**9 if i is None else i, s, b.bin) for b in own for i, s, n in zip(b.doc_ids, b.starts, b.sizes, strict=True)), key=lambda x: (-x[0], x[1], x[2]))
         assert [x[3] for x in items] == plain_ffd([x[0] for x in items], 20) or len({x[:3] for x in items}) < len(items)
     assert pk.packed(df.limit(0)).count() == 0
+    same = spark.createDataFrame([(None, f"{'w ' * 3}{i}") for i in range(400)] + [(7, "a b c d")] * 1600, "doc_id long, text string")
+    bins = pk.packed(same, 20, 50).collect()
+    assert sum(len(b.doc_ids) for b in bins) == 2000 and sum(i == 7 for b in bins for i in b.doc_ids) == 1600
+    assert max(sum(len(b.doc_ids) for b in bins if b.pack == p) for p in {b.pack for b in bins}) < 150
