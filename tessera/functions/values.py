@@ -63,3 +63,18 @@ def l2(a: Column, b: Column) -> Column:
 def seed_hash(*parts: Column, nulls: str = "") -> Column:
     """SHA-256 of the parts joined by bars; nulls: what stands for a missing one."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit(nulls)) for p in parts]), 256)
+
+
+def json_text(document: Column, path: str) -> Column:
+    """The value at a path ('$.a.b[0]') of a JSON text, as text; null where there is none or the text is no JSON."""
+    return F.get_json_object(document, path)
+
+
+def json_map(document: Column) -> Column:
+    """The fields of a JSON object as a map of texts; null for what is no object."""
+    return F.from_json(document, "map<string,string>")
+
+
+def canonical_json(row: Column) -> Column:
+    """A struct or map as JSON with nothing left to chance: fields as declared, nulls written out."""
+    return F.to_json(row, {"ignoreNullFields": "false"})

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import e164, strip
-from tessera.functions.values import haversine_m
+from tessera.functions.values import canonical_json, haversine_m
 from tessera.operators.components import components
 
 AUTO = 0.90
@@ -82,7 +82,7 @@ def _near_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
 
     A degree of longitude shrinks with latitude, so points are put into bands
     of latitude cells, and columns are as wide as the widest need of the band
-    and its neighbours.
+    and its neighbours. Columns go round: the first and the last are neighbours.
     """
     deg = math.degrees(rule.radius_m / 6_371_000.0) * 1.0001
     lat, lon = (F.col(f).cast("double") for f in rule.fields)
@@ -90,8 +90,10 @@ def _near_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
     at = at.withColumn("y", F.floor(F.col("lat") / deg).cast("long"))
     mine = at.withColumn("band", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)))
     width = F.lit(deg) / F.greatest(F.lit(1e-3), F.cos(F.radians(F.least(F.lit(89.9), F.abs((F.col("band") + F.when(F.col("band") >= 0, 2).otherwise(-1)) * F.lit(deg))))))
-    mine = mine.withColumn("x", F.floor(F.col("lon") / width).cast("long"))
-    left = mine.where("band = y").select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "band", F.explode(F.array(F.col("x") - 1, F.col("x"), F.col("x") + 1)).alias("x"))
+    around = F.greatest(F.lit(1), F.floor(F.lit(360.0) / width).cast("long"))  # whole columns in a circle; the last is wider than the others
+    wrap = lambda x: F.pmod(x, around)
+    mine = mine.withColumn("around", around).withColumn("x", F.least(F.floor(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) / width).cast("long"), around - 1))
+    left = mine.where("band = y").select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "band", F.explode(F.array_distinct(F.array(wrap(F.col("x") - 1), F.col("x"), wrap(F.col("x") + 1)))).alias("x"))
     right = mine.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "band", "x")
     near = left.join(right, ["band", "x"]).where((F.col("a") != F.col("b")) & (haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= rule.radius_m))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -155,6 +157,34 @@ def review_queue(pending: DataFrame, queued: DataFrame) -> DataFrame:
     return sign(pending.where("decision = 'review'")).join(queued.select("signature"), "signature", "left_anti")
 
 
+def shown_for_review(queue: DataFrame, rule: str | None = None, limit: int | None = None, auto_accept: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, shown): what is at least as sure as auto_accept needs no review; of the rest those of a rule, the surest first, up to a limit."""
+    sure = F.col("confidence") >= auto_accept if auto_accept is not None else F.lit(False)
+    shown = queue.where(~sure)
+    if rule is not None:
+        shown = shown.where(F.col("rule") == rule)
+    shown = shown.orderBy(F.desc("confidence"), "survivor", "id")
+    return queue.where(sure), shown if limit is None else shown.limit(limit)
+
+
+def audit_log(rows: DataFrame, key: str, merges: DataFrame, facet_type: str) -> DataFrame:
+    """(facet_type, facet_node_id, rule, confidence, merged_id, payload): one entry for each id merged away, with its whole row as JSON, from which unmerged rows can be made again."""
+    payload = canonical_json(F.struct(*[F.col(c) for c in rows.columns])).alias("payload")
+    held = rows.select(F.col(key).alias("id"), payload)
+    return merges.join(held, "id").select(F.lit(facet_type).alias("facet_type"), F.col("survivor").alias("facet_node_id"), "rule", "confidence", F.col("id").alias("merged_id"), "payload")
+
+
+def restored(log: DataFrame, rows: DataFrame, survivor: int) -> DataFrame:
+    """The rows (of the schema of rows) that were merged into a survivor, from the log."""
+    back = log.where(F.col("facet_node_id") == survivor).select(F.from_json("payload", rows.schema).alias("r"))
+    return back.select("r.*")
+
+
+def payload_value(payload, name: str):
+    """A field of a facet's payload, given as a map or as JSON text."""
+    return F.element_at(payload, name) if not isinstance(payload, str) else F.get_json_object(F.col(payload), f"$.{name}")
+
+
 def reviewed(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, left) after decisions(signature, decision): rejected rows leave, deferred and undecided ones stay."""
     rows = queue.drop("decision").join(decisions, "signature", "left")

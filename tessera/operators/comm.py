@@ -10,11 +10,11 @@ compare as strings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.types import Number, Text
-from tessera.functions.values import in_range
+from tessera.functions.values import in_range, json_map
 
 KEY = ["source_table", "id"]
 
@@ -139,11 +139,6 @@ def top_correspondents(comm: DataFrame, recipients: DataFrame, role: str = "send
     return rows.groupBy("address").agg(F.max("name").alias("name"), F.count("*").alias("message_count")).orderBy(F.desc("message_count"), F.asc_nulls_first("address")).limit(limit)
 
 
-def latest_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def list_sources(tables: dict[str, DataFrame], chunks: DataFrame, vectors: DataFrame, source_files: DataFrame) -> dict[str, DataFrame]:
     """Totals, sources by organisation and kind, and chunks with how many are embedded by table."""
     counts = None
@@ -154,3 +149,33 @@ def list_sources(tables: dict[str, DataFrame], chunks: DataFrame, vectors: DataF
     held = chunks.join(vectors.select(F.col("id")).distinct().withColumn("_v", F.lit(1)), "id", "left")
     by_table = held.groupBy("source_table").agg(F.count("*").alias("chunks"), F.count("_v").alias("embedded"))
     return {"totals": counts, "sources": by_kind, "chunks": by_table}
+
+
+PARENT = ["source_table", "source_id", "subject", "sender_address", "sender_name", "date_sent", "direction", "thread_id", "is_bulk", "kind"]
+
+
+def parents(messages: DataFrame, documents: DataFrame) -> DataFrame:
+    """(PARENT): one row for whatever a chunk can be cut from: messages of all tables, and documents(id, subject, bucket, mtime, ctime, created_at, is_bulk).
+
+    A document has its bucket for a sender, and the first of its three dates.
+    """
+    null = F.lit(None).cast("string")
+    docs = documents.select(F.lit("documents").alias("source_table"), F.col("id").alias("source_id"), "subject", null.alias("sender_address"), F.col("bucket").alias("sender_name"), F.coalesce("mtime", "ctime", "created_at").alias("date_sent"), null.alias("direction"), null.alias("thread_id"), "is_bulk", null.alias("kind"))
+    return messages.withColumnRenamed("id", "source_id").select(*PARENT).unionByName(docs)
+
+
+def get_chunk(chunks: DataFrame, parents: DataFrame, chunk_id: int) -> DataFrame:
+    """The chunk of that id with its parent's fields and its metadata (JSON) as a map; no row if there is none."""
+    mine = chunks.where(F.col("id") == chunk_id)
+    meta = json_map(F.col("metadata")) if "metadata" in chunks.columns else F.lit(None).cast("map<string,string>")
+    rows = mine.withColumn("metadata", meta).join(parents.drop("title"), ["source_table", "source_id"], "left")
+    return rows.select("id", "source_table", "source_id", "content", "subject", "sender_address", "date_sent", "direction", "metadata")
+
+
+def server_info(tables: dict[str, DataFrame], chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row of counts: messages of all tables, chunks, vectors."""
+    typed = None
+    for t in tables.values():
+        one = t.agg(F.count("*").alias("n"))
+        typed = one if typed is None else typed.union(one)
+    return typed.agg(F.sum("n").alias("messages")).crossJoin(chunks.agg(F.count("*").alias("chunks"))).crossJoin(vectors.agg(F.count("*").alias("vectors")))

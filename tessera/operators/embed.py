@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import chunked
+from tessera.functions.text import chunked, tag_list
 
 LEAST = 50
 
@@ -24,6 +25,34 @@ def pending(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return eligible(rows).join(chunks.select("source_table", F.col("source_id").alias("id")).distinct(), ["source_table", "id"], "left_anti")
 
 
+def limited(tables: list[DataFrame], limit: int) -> DataFrame:
+    """The first rows of the tables, in order of table, then id: one limit for all."""
+    out = None
+    for i, t in enumerate(tables):
+        one = t.withColumn("_t", F.lit(i))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out.orderBy("_t", "id").limit(limit).drop("_t")
+
+
+def web_page_texts(pages: DataFrame, bookmarks: DataFrame, chunks: DataFrame, least: int = LEAST) -> DataFrame:
+    """(source_table, id, subject, body_text, domain, last_seen): the text of web pages to embed, with what their bookmarks add.
+
+    pages(id, title, excerpt, domain, last_seen); bookmarks(web_page_id, id,
+    note, highlights, tags as JSON, excluded). Notes, highlights and tags of a
+    page's bookmarks, in order of id, follow title and excerpt. Pages with
+    chunks, and those with too little text, are left out.
+    """
+    told = bookmarks.where("not coalesce(excluded, false) and (note is not null or highlights is not null or coalesce(tags, '[]') <> '[]')")
+    joined = lambda c, mark: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("id", c.alias("v"))))), lambda x: x["v"]), mark), F.lit(""))
+    added = told.groupBy(F.col("web_page_id").alias("id")).agg(joined(F.col("note"), "\n").alias("notes"), joined(F.col("highlights"), "\n").alias("highlights"), joined(tag_list(F.col("tags")), ", ").alias("tag_list"))
+    rows = pages.join(added, "id", "left")
+    none = lambda c: F.coalesce(c, F.lit(""))
+    body = F.concat(none("title"), F.lit("\n"), none("excerpt"), *[none(F.concat(F.lit("\n"), F.col(c))) for c in ("notes", "highlights", "tag_list")])
+    rows = rows.where(F.length(F.concat(none("title"), none("excerpt"), none("notes"))) >= least)
+    rows = rows.join(chunks.where("source_table = 'web_pages'").select(F.col("source_id").alias("id")).distinct(), "id", "left_anti")
+    return rows.select(F.lit("web_pages").alias("source_table"), "id", F.col("title").alias("subject"), body.alias("body_text"), "domain", "last_seen")
+
+
 def cut(rows: DataFrame) -> DataFrame:
     """(source_table, source_id, chunk_index, title, content, content_hash) of rows; ids follow from the first three."""
     out = rows.select("source_table", F.col("id").alias("source_id"), F.col("subject").alias("title"), F.posexplode(chunked(F.col("body_text"))).alias("chunk_index", "content"))
@@ -49,32 +78,38 @@ def hashing_provider(size: int = 64) -> Provider:
     return embed
 
 
-def embedded(chunks: DataFrame, provider: Provider, batch: int = 32, retries: int = 5) -> DataFrame:
-    """(id, embedding) of chunks, in batches; a batch that keeps failing is tried text by text, and what fails then is left out."""
+def query_vector(spark, provider: Provider, query: str) -> DataFrame:
+    """(embedding): the one row that search.knn asks with; queries have a prefix of their own."""
+    return spark.createDataFrame([([float(x) for x in provider([f"search_query: {query}"])[0]],)], "embedding array<float>")
+
+
+def embedded(chunks: DataFrame, provider: Provider, batch: int = 32, retries: int = 5, backoff: float = 0.0) -> DataFrame:
+    """(id, embedding, error) of chunks, in batches. A batch that keeps failing is tried text by text; a text that fails then has no embedding and what was raised. Between attempts it waits backoff seconds, twice as long each time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def tried(texts: list[str], times: int) -> np.ndarray | None:
-            for _ in range(times):
+        def tried(texts: list[str], times: int) -> tuple[np.ndarray | None, str | None]:
+            said = None
+            for k in range(times):
                 try:
-                    return np.asarray(provider(texts))
-                except Exception:  # noqa: BLE001 - whatever the provider raises is a failed attempt
-                    continue
-            return None
+                    return np.asarray(provider(texts)), None
+                except Exception as e:  # noqa: BLE001 - whatever the provider raises is a failed attempt
+                    said = repr(e)[:500]
+                    time.sleep(backoff * 2**k)
+            return None, said
 
         for frame in frames:
-            ids, vectors = [], []
+            ids, vectors, errors = [], [], []
             for at in range(0, len(frame), batch):
                 some = frame.iloc[at : at + batch]
                 texts = [f"search_document: {t}" for t in some["content"]]
-                got = tried(texts, retries)
-                rows = list(got) if got is not None else [r[0] if (r := tried([t], 1)) is not None else None for t in texts]
-                for i, v in zip(some["id"], rows, strict=True):
-                    if v is not None:
-                        ids.append(i)
-                        vectors.append([float(x) for x in v])
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "embedding": vectors})
-
-    return chunks.select("id", "content").mapInPandas(run, "id long, embedding array<float>")
+                got, _ = tried(texts, retries)
+                each = [(v, None) for v in got] if got is not None else [(r[0], None) if (r := (x := tried([t], 1))[0]) is not None else (None, x[1]) for t in texts]
+                ids += list(some["id"])
+                vectors += [None if v is None else [float(x) for x in v] for v, _ in each]
+                errors += [e for _, e in each]
+            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "embedding": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    return chunks.select("id", "content").mapInPandas(run, "id long, embedding array<float>, error string")
 
 
 def status(rows: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:

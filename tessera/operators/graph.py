@@ -6,10 +6,13 @@ identifying parts, so both can be made anywhere and merged without a lookup.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import label, strip, wikilinks
+from tessera.operators.shared import kept
 
 #: name -> inverse; a predicate that is its own inverse is symmetric.
 PREDICATES = {
@@ -46,8 +49,13 @@ def resolve_nodes(mentions: DataFrame) -> DataFrame:
 
 
 def add_triples(statements: DataFrame, known: DataFrame) -> DataFrame:
-    """Triples of statements (STATEMENT), each once by subject, predicate, object, provenance and ref; a null object or ref is a value of its own."""
-    rows = statements.join(F.broadcast(known.select(F.col("name").alias("predicate"))), "predicate", "left_semi")
+    """Triples of statements (STATEMENT), each once by subject, predicate, object, provenance and ref; a null object or ref is a value of its own.
+
+    A statement whose predicate isn't known fails the job that reads it;
+    unknown_predicates() lists them beforehand.
+    """
+    rows = statements.join(known.select(F.col("name").alias("predicate"), F.lit(True).alias("_known")), "predicate", "left")
+    rows = rows.where(F.coalesce("_known", F.raise_error(F.concat(F.lit("unknown predicate: "), F.coalesce("predicate", F.lit("null")))).cast("boolean")))
     out = rows.select(node_id(F.col("subject_kind"), F.col("subject")).alias("subject_id"), "predicate", F.when(F.col("object").isNotNull(), node_id(F.col("object_kind"), F.col("object"))).alias("object_id"), "provenance", F.coalesce("ref", F.lit("")).alias("ref")).distinct()
     return out.withColumn("id", F.xxhash64("subject_id", "predicate", F.coalesce("object_id", F.lit(-1)), "provenance", "ref"))
 
@@ -129,6 +137,49 @@ def qualifiers_of(qualifiers: DataFrame, triple_id: int) -> DataFrame:
     return qualifiers.where(F.col("triple_id") == triple_id).select("key", "value").orderBy("key", "value")
 
 
+def with_qualifiers(qualifiers: DataFrame, more: DataFrame) -> DataFrame:
+    """qualifiers(triple_id, key, value) and those of more; for one triple and key the later value stays."""
+    both = qualifiers.select("triple_id", "key", "value", F.lit(0).alias("_n")).union(more.select("triple_id", "key", "value", F.lit(1)))
+    return both.groupBy("triple_id", "key").agg(F.max_by("value", F.struct("_n", "value")).alias("value"))
+
+
+@dataclass
+class Graph:
+    """Nodes, triples, qualifiers and the vocabulary, and what can be asked and added."""
+
+    nodes: DataFrame
+    triples: DataFrame
+    qualifiers: DataFrame
+    known: DataFrame
+
+    @classmethod
+    def of(cls, statements: DataFrame) -> Graph:
+        """The graph of statements (STATEMENT)."""
+        spark = statements.sparkSession
+        ends = statements.select(F.col("subject_kind").alias("kind"), F.col("subject").alias("label")).union(statements.where("object is not null").select("object_kind", "object"))
+        known = predicates(spark)
+        return cls(resolve_nodes(ends), add_triples(statements, known), spark.createDataFrame([], "triple_id long, key string, value string"), known)
+
+    def add(self, statements: DataFrame) -> Graph:
+        """This graph and further statements; what is there already stays as it is."""
+        new = Graph.of(statements)
+        nodes = self.nodes.unionByName(new.nodes.join(self.nodes.select("id"), "id", "left_anti"))
+        triples = self.triples.unionByName(new.triples.join(self.triples.select("id"), "id", "left_anti"))
+        return Graph(nodes, triples, self.qualifiers, self.known)
+
+    def qualify(self, more: DataFrame) -> Graph:
+        return Graph(self.nodes, self.triples, with_qualifiers(self.qualifiers, more), self.known)
+
+    def query(self, **filters) -> DataFrame:
+        return query_triples(self.triples, self.nodes, self.known, **filters)
+
+    def around(self, kind: str, name: str, limit: int = 50) -> DataFrame:
+        return neighborhood(self.triples, self.nodes, kind, name, limit)
+
+    def stats(self) -> dict[str, DataFrame]:
+        return stats(self.triples, self.nodes, self.known)
+
+
 def wikilink_nodes(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """links(link) with the node each means: a file of that label, else a concept."""
     files = nodes.where("kind = 'file'").select(F.col("normalized_label").alias("_l"), F.col("id").alias("_file"))
@@ -175,21 +226,21 @@ def message_statements(recipients: DataFrame, threads: DataFrame) -> DataFrame:
     return sent.union(held)
 
 
-def depths(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, depth) of edges(child, parent): the longest way up; 0 without a parent. A node in a cycle has none."""
-    spark = edges.sparkSession
-    edges.select("child", "parent").distinct().createOrReplaceTempView("_edges")
-    nodes = spark.sql("select child as node from _edges union select parent from _edges")
-    front = nodes.join(spark.table("_edges").select(F.col("child").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0))
-    seen, level = front, 0
-    while level < most:
-        level += 1
-        front = front.join(spark.table("_edges"), F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().withColumn("depth", F.lit(level))
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
-    return seen.groupBy("node").agg(F.max("depth").alias("depth"))
-
+def depths(edges: DataFrame) -> DataFrame:
+    """(node, depth) of edges(child, parent): the longest way up; 0 without a parent. A node in a cycle, or below one, is in no row.
 
-def latest(df: DataFrame, key: str, by: str) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by)))).where("_n = 1").drop("_n")
+    Each round takes the nodes all of whose parents have a depth, and the rest
+    of the edges is written down, so a round costs what is left and nothing of
+    the earlier ones is computed again. There are as many rounds as levels.
+    """
+    left = kept(edges.where("child is not null and parent is not null").select("child", "parent").distinct(), "depths")
+    nodes = left.select(F.col("child").alias("node")).union(left.select("parent")).distinct()
+    level, found = 0, kept(nodes.join(left.select(F.col("child").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)), "depths")
+    done = found
+    while not found.isEmpty():
+        level += 1
+        rest = kept(left.join(found.select(F.col("node").alias("parent")), "parent", "left_anti"), "depths")
+        free = left.join(found.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
+        found = kept(free.join(rest.select(F.col("child").alias("node")), "node", "left_anti").withColumn("depth", F.lit(level)), "depths")
+        done, left = done.union(found), rest
+    return done

@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.text import excerpt, query_parts
 from tessera.functions.types import Text
+from tessera.operators.search import bm25_search
+from tessera.operators.shared import kept
+
 
 def revisions_of(revisions: DataFrame, path: Text = None, since: Text = None, until: Text = None, change_type: Text = None, limit: int = 50) -> DataFrame:
     """Revisions that meet the filters, newest first."""
@@ -54,7 +58,7 @@ def classify_commits(commits: DataFrame) -> DataFrame:
 
 def with_authorship(revisions: DataFrame, commits: DataFrame, repos: DataFrame) -> DataFrame:
     """authorship of the commit, else the default of the repository, else 'ai-coauthored'."""
-    rows = revisions.drop("authorship").join(commits.select("commit_sha", F.col("authorship").alias("_c")), "commit_sha", "left").join(F.broadcast(repos.select("repo", F.col("authorship").alias("_r"))), "repo", "left")
+    rows = revisions.drop("authorship").join(commits.select("commit_sha", F.col("authorship").alias("_c")), "commit_sha", "left").join(repos.select("repo", F.col("authorship").alias("_r")), "repo", "left")
     return rows.withColumn("authorship", F.coalesce("_c", "_r", F.lit("ai-coauthored"))).drop("_c", "_r")
 
 
@@ -91,9 +95,24 @@ def summary_queue(revisions: DataFrame, large: int = 5120, bundle: int = 10) ->
     bundles are filled in order within a model.
     """
     model = F.when(F.col("change_type").isin("rename", "delete") | (F.col("size_bytes") > large), "small").otherwise("large")
-    rows = revisions.where("summary is null").withColumn("model", model)
-    place = F.row_number().over(Window.partitionBy("model").orderBy("captured_at", "commit_sha"))
-    return rows.select("commit_sha", "file_path", "captured_at", "model", F.floor((place - 1) / bundle).cast("long").alias("bundle"))
+    rows = revisions.where("summary is null").select("commit_sha", "file_path", "captured_at", model.alias("model"))
+    placed = positions(rows, ["model"], ["captured_at", "commit_sha", "file_path"])
+    return placed.select("commit_sha", "file_path", "captured_at", "model", F.floor(F.col("position") / bundle).cast("long").alias("bundle"))
+
+
+def positions(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """rows with their position from 0 in the order within each group, however large a group is.
+
+    The rows are put in order over all tasks and written; a task's share is
+    numbered by itself and begins where the shares before it end, so that no
+    group has to be in one task.
+    """
+    sorted_ = kept(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("part", F.spark_partition_id()), "positions")
+    held = sorted_.groupBy("part", *group).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.withColumn("start", before).drop("n")
+    own = F.row_number().over(Window.partitionBy("part", *group).orderBy(*order)) - 1
+    return sorted_.withColumn("own", own).join(starts, ["part", *group]).withColumn("position", F.col("own") + F.col("start")).drop("part", "own", "start")
 
 
 def skipped(revisions: DataFrame, patterns: list[str], note: str = "skipped") -> DataFrame:
@@ -176,3 +195,101 @@ def audit(revisions: DataFrame, dissolutions: DataFrame, materializations: DataF
 def log_materialization(path: str, event: DataFrame) -> None:
     """Append the record of a run: (run_id, file_path, materialized_at, rows)."""
     event.write.mode("append").parquet(path)
+
+
+def materialized(revisions: DataFrame, blobs: DataFrame, path: str, at: str | None = None) -> DataFrame:
+    """(file_path, commit_sha, captured_at, body): a path as it was at a time, by default now; no row before its first revision or once it is deleted."""
+    rows = revisions.where(F.col("file_path") == path)
+    if at is not None:
+        rows = rows.where(F.col("captured_at") <= at)
+    last = rows.orderBy(F.desc("captured_at"), F.desc("commit_sha")).limit(1).where("change_type <> 'delete'")
+    return last.join(blobs.where(F.col("file_path") == path), ["commit_sha", "file_path"], "left").select("file_path", "commit_sha", "captured_at", "body")
+
+
+def note_lookup(notes: DataFrame, name_or_path: str) -> DataFrame:
+    """The note of that path, else of that name."""
+    found = notes.where((F.col("file_path") == name_or_path) | (F.col("name") == name_or_path))
+    return found.orderBy(F.col("file_path") != name_or_path, "file_path").limit(1)
+
+
+def list_notes(notes: DataFrame, status: Text = None, at_type: Text = None, limit: int = 50) -> DataFrame:
+    """Notes that meet the filters, last changed first."""
+    for name, value in (("status", status), ("at_type", at_type)):
+        if value is not None:
+            notes = notes.where(F.col(name) == value)
+    return notes.orderBy(F.desc_nulls_last("updated_at"), "file_path").limit(limit)
+
+
+def note_search(notes: DataFrame, query: str, limit: int = 20, words: int = 40) -> DataFrame:
+    """(id, file_path, name, score, snippet): the best notes(id, file_path, name, description, body) by what name, description and body hold, all parts of the query being needed.
+
+    The snippet is of the body; without a hit in it, its beginning.
+    """
+    text = F.concat_ws("\n", "name", "description", "body")
+    best = bm25_search(notes.select("id", F.lit(None).cast("string").alias("date_sent"), text.alias("content")), query, limit)
+    phrases, terms = query_parts(query)
+    marked = excerpt(F.coalesce("body", F.lit("")), [*terms, *(w for p in phrases for w in p.split())], words)
+    return notes.join(F.broadcast(best), "id").select("id", "file_path", "name", "score", marked.alias("snippet")).orderBy(F.desc("score"), "id")
+
+
+def renamed(notes: DataFrame, renames: DataFrame) -> DataFrame:
+    """notes with paths moved by renames(old_path, new_path): the note keeps its id and history."""
+    moved = renames.select(F.col("old_path").alias("file_path"), "new_path").dropDuplicates(["file_path"])
+    return notes.join(moved, "file_path", "left").withColumn("file_path", F.coalesce("new_path", "file_path")).select(*notes.columns)
+
+
+def under_paths(revisions: DataFrame, patterns: list[str]) -> DataFrame:
+    """Deletions whose path, and renames whose former path (prior_file_path), is like one of the patterns."""
+    gone, moved = F.lit(False), F.lit(False)
+    for p in patterns:
+        gone, moved = gone | F.col("file_path").like(p), moved | F.col("prior_file_path").like(p)
+    return revisions.where(((F.col("change_type") == "delete") & gone) | ((F.col("change_type") == "rename") & moved))
+
+
+def linked(links: DataFrame, dissolution_id: str, revisions: DataFrame) -> DataFrame:
+    """links(dissolution_id, file_path, commit_sha) and those of revisions to a dissolution that aren't there yet."""
+    more = revisions.select(F.lit(dissolution_id).alias("dissolution_id"), "file_path", "commit_sha").distinct()
+    return links.unionByName(more.join(links, ["dissolution_id", "file_path", "commit_sha"], "left_anti"))
+
+
+def reclassified(links: DataFrame, revisions: DataFrame, dissolution_id: str, patterns: list[str], commits: list[str] | None = None) -> DataFrame:
+    """links with the revisions of one wave: what the patterns find, of some commits only if these are named. Doing it again changes nothing."""
+    found = under_paths(revisions, patterns)
+    return linked(links, dissolution_id, found.where(F.col("commit_sha").isin(*commits)) if commits else found)
+
+
+def dissolutions_of(dissolutions: DataFrame, column: str, value: str) -> DataFrame:
+    """Dissolutions of a plan (plan_id) or migration (migration_id), newest first."""
+    return dissolutions.where(F.col(column) == value).orderBy(F.desc_nulls_last("dissolved_at"), "dissolution_id")
+
+
+def overview(revisions: DataFrame, dissolutions: DataFrame, links: DataFrame, materializations: DataFrame) -> DataFrame:
+    """One row on the registry: how many dissolutions, linked revisions, materialisations and dissolutions without a migration there are, and what the audit finds."""
+    found = audit(revisions, dissolutions, materializations)
+    sums = found.agg(F.coalesce(F.sum(F.when(F.col("severity") == "error", F.col("n"))), F.lit(0)).alias("audit_errors"), F.coalesce(F.sum(F.when(F.col("severity") == "warning", F.col("n"))), F.lit(0)).alias("audit_warnings"))
+    counts = dissolutions.agg(F.count("*").alias("dissolutions"), F.count_if(F.col("migration_id").isNull()).alias("without_migration"))
+    rows = counts.crossJoin(links.agg(F.count("*").alias("linked_revisions"))).crossJoin(materializations.agg(F.count("*").alias("materializations"))).crossJoin(sums)
+    return rows.withColumn("audit_pass", F.col("audit_errors") == 0)
+
+
+#: Deleted notes in one commit from which it looks like a dissolution; words of a subject that say so; the type that a folder's notes become.
+MANY_DELETED = 10
+_SAYS_SO = r"(?i)\b(dissol\w*|migrat\w*|retire\w*|carry[- ]forward)\b"
+_BECOMES = (("%Entities/People/%", "Person"), ("%Entities/Organizations/%", "Organization"), ("%Entities/Places/%", "Place"), ("%Entities/Books/%", "Book"), ("%Entities/Movies/%", "Movie"), ("%Tasks/%", "Action"), ("System/Handoffs/%", "Action"), ("References/%", "Article"), ("%/Articles/%", "Article"), ("%/Clippings/%", "Article"))
+
+
+def detected(revisions: DataFrame, subjects: DataFrame, many: int = MANY_DELETED) -> DataFrame:
+    """(commit_sha, signal, files, schemas) of the commits that look like dissolutions.
+
+    subjects(commit_sha, subject). A commit that deletes notes counts if its
+    subject says so ('subject_keyword') or if they are many ('bulk_delete').
+    schemas are the types that the folders of the deleted notes suggest.
+    """
+    deleted = revisions.where("change_type = 'delete' and file_path like '%.md'")
+    kind = F.lit(None).cast("string")
+    for pattern, name in reversed(_BECOMES):
+        kind = F.when(F.col("file_path").like(pattern), name).otherwise(kind)
+    per = deleted.groupBy("commit_sha").agg(F.countDistinct("file_path").alias("files"), F.sort_array(F.collect_set(kind)).alias("schemas"))
+    rows = per.join(subjects.select("commit_sha", "subject"), "commit_sha", "left")
+    signal = F.when(F.col("subject").rlike(_SAYS_SO), "subject_keyword").when(F.col("files") >= many, "bulk_delete")
+    return rows.withColumn("signal", signal).where("signal is not null").select("commit_sha", "signal", "files", "schemas")

@@ -50,3 +50,30 @@ def row_loss(previous: DataFrame, now: DataFrame, most: float = 0.01) -> DataFra
     """Tables of (name, n) that lost more than a share of their rows."""
     rows = previous.withColumnRenamed("n", "before").join(now.withColumnRenamed("n", "after"), "name", "left").withColumn("after", F.coalesce("after", F.lit(0)))
     return rows.where((F.col("before") > 0) & ((F.col("before") - F.col("after")) / F.col("before") > most))
+
+
+def manifest(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the rows of each table, to be kept beside a snapshot and compared by row_loss() with those of a later one."""
+    out = None
+    for name, t in sorted(tables.items()):
+        one = t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def watermarks(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """(key, watermark): how far each source has been read."""
+    return rows.groupBy(key).agg(F.max(by).alias("watermark"))
+
+
+def after_watermark(rows: DataFrame, marks: DataFrame, key: str, by: str) -> DataFrame:
+    """Rows beyond the watermark of their source, and all rows of sources without one."""
+    joined = rows.join(marks.select(key, "watermark"), key, "left")
+    return joined.where(F.col("watermark").isNull() | (F.col(by) > F.col("watermark"))).select(*rows.columns)
+
+
+def source_files(files: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, source_path, content_hash, source_kind) of files(source_path, content_hash, source_kind): known ones keep their id; a file that changed has a new one."""
+    rows = files.select("source_path", "content_hash", "source_kind").dropDuplicates(["source_path", "content_hash"])
+    fresh = rows.join(known, ["source_path", "content_hash"], "left_anti").withColumn("id", F.xxhash64("source_path", "content_hash"))
+    return known.select("id", "source_path", "content_hash", "source_kind").unionByName(fresh)

@@ -85,3 +85,24 @@ def recomputed(chunks: DataFrame, engagements: DataFrame, policy: Policy, as_of:
 
 def tier_summary(scored: DataFrame) -> DataFrame:
     return scored.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.min("score").alias("least"), F.max("score").alias("most"))
+
+
+def content_dates(chunks: DataFrame, parents: DataFrame) -> DataFrame:
+    """chunks(id, source_table, source_id, ...) with date_sent of the parent row, '' where it has none or isn't there."""
+    rows = chunks.drop("date_sent").join(parents.select("source_table", "source_id", "date_sent"), ["source_table", "source_id"], "left")
+    return rows.withColumn("date_sent", F.coalesce("date_sent", F.lit("")))
+
+
+def source_kinds(chunks: DataFrame, origins: DataFrame, files: DataFrame) -> DataFrame:
+    """chunks with the source_kind of the file that the parent came from: origins(source_table, source_id, source_file_id), files(id, source_kind)."""
+    kinds = origins.join(files.select(F.col("id").alias("source_file_id"), "source_kind"), "source_file_id").drop("source_file_id")
+    return chunks.drop("source_kind").join(kinds, ["source_table", "source_id"], "left")
+
+
+def recorded(engagements: DataFrame, chunk_ids: list[int], event_type: str, at: str, source: str | None = None) -> DataFrame:
+    """engagements(chunk_id, engaged_at, event_type, source) and one more of that type for each of the chunks. Nothing is merged: looking twice counts twice."""
+    more = engagements.sparkSession.createDataFrame([(i, at, event_type, source) for i in chunk_ids], "chunk_id long, engaged_at string, event_type string, source string")
+    for name in ("event_type", "source"):
+        if name not in engagements.columns:
+            engagements = engagements.withColumn(name, F.lit(None).cast("string"))
+    return engagements.unionByName(more)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.types import Text
 from tessera.functions.text import query_parts, snippet, tokens
 from tessera.functions.values import in_range, l2
+from tessera.operators.shared import kept
 
 RRF_K, K1, B = 60, 1.2, 0.75
 
@@ -57,6 +58,25 @@ def _matched(chunks: DataFrame, query: str) -> tuple[DataFrame, list[str]]:
     return rows.select("id", "date_sent", F.size("t").alias("dl"), *[c.cast("long").alias(n) for n, c in counts.items()]), list(counts)
 
 
+def _statistics(rows: DataFrame, parts: list[str], hits: list[Column]) -> DataFrame:
+    """One row: n and mean of the chunks with terms, df of each part, and how many rows meet each of hits."""
+    return rows.agg(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("mean"), *[F.count_if(F.col(p) > 0).alias(f"df_{p}") for p in parts], *[F.count_if(h).alias(f"hits_{i}") for i, h in enumerate(hits)])
+
+
+def _hit(parts: list[str], op: str, since: Text, until: Text) -> Column:
+    test = [F.col(p) > 0 for p in parts]
+    hit = test[0]
+    for t in test[1:]:
+        hit = (hit & t) if op == "AND" else (hit | t)
+    return hit & in_range(F.col("date_sent"), since, until) if since or until else hit
+
+
+def _best(rows: DataFrame, parts: list[str], stats: DataFrame, hit: Column, k: int) -> DataFrame:
+    found = rows.where(hit).crossJoin(F.broadcast(stats))
+    score = sum((_bm25(F.col(p), F.col("dl"), F.col(f"df_{p}"), F.col("n"), F.col("mean")) for p in parts), F.lit(0.0))
+    return found.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
 def bm25_search(chunks: DataFrame, query: str, k: int, op: str = "AND", since: Text = None, until: Text = None) -> DataFrame:
     """(id, score): the k best of the chunks that hold all (or, with OR, any) parts of the query.
 
@@ -67,33 +87,38 @@ def bm25_search(chunks: DataFrame, query: str, k: int, op: str = "AND", since: T
     rows, parts = _matched(chunks, query)
     if not parts:
         return rows.select("id", F.lit(0.0).alias("score")).limit(0)
-    stats = rows.agg(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("mean"), *[F.count_if(F.col(p) > 0).alias(f"df_{p}") for p in parts])
-    test = [F.col(p) > 0 for p in parts]
-    hit = test[0]
-    for t in test[1:]:
-        hit = (hit & t) if op == "AND" else (hit | t)
-    found = rows.where(hit & in_range(F.col("date_sent"), since, until) if since or until else hit).crossJoin(F.broadcast(stats))
-    score = sum((_bm25(F.col(p), F.col("dl"), F.col(f"df_{p}"), F.col("n"), F.col("mean")) for p in parts), F.lit(0.0))
-    return found.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return _best(rows, parts, _statistics(rows, parts, []), _hit(parts, op, since, until), k)
 
 
-def bm25_postings(index: DataFrame, terms: list[str], k: int) -> DataFrame:
-    """(id, score): the k best chunks for any of the terms, from an index."""
-    lengths = index.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+def lengths(chunks: DataFrame) -> DataFrame:
+    """(id, dl): terms of each chunk that has any."""
+    return chunks.select("id", F.size(tokens(F.col("content"))).alias("dl")).where("dl > 0")
+
+
+def bm25_postings(index: DataFrame, lengths: DataFrame, terms: list[str], k: int) -> DataFrame:
+    """(id, score): the k best chunks for any of the terms, from an index and the table of lengths."""
+    whole = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     mine = index.where(F.col("term").isin(*[t.lower() for t in terms]))
     df = mine.groupBy("term").agg(F.count("*").alias("df"))
-    scored = mine.join(F.broadcast(df), "term").crossJoin(F.broadcast(lengths))  # one row a term of the query, and one row
+    scored = mine.join(F.broadcast(df), "term").crossJoin(F.broadcast(whole))  # one row a term of the query, and one row
     return scored.groupBy("id").agg(F.round(F.sum(_bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("mean"))), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def text_search(chunks: DataFrame, query: str, k: int, since: Text = None, until: Text = None) -> tuple[DataFrame, str]:
-    """(id, score, rank), and a label: all parts first; any part if those are fewer than max(5, k // 4)."""
-    rows = bm25_search(chunks, query, k, "AND", since, until)
-    hits, op = rows.count(), "AND"
-    if hits < max(5, k // 4):
-        rows, op = bm25_search(chunks, query, k, "OR", since, until), "OR"
-        hits = rows.count()
-    return ranked(rows, F.desc("score"), F.col("id")), f"{op} ({hits} hits)"
+    """(id, score, rank), and a label: all parts first; any part if those are fewer than max(5, k // 4).
+
+    Texts are read once: the counts of the parts are written down, and the
+    statistics, both numbers of hits and the ranking come from these.
+    """
+    rows, parts = _matched(chunks, query)
+    if not parts:
+        return ranked(bm25_search(chunks, query, k), F.desc("score"), F.col("id")), "AND (0 hits)"
+    rows = kept(rows, "search")
+    both = {op: _hit(parts, op, since, until) for op in ("AND", "OR")}
+    stats = kept(_statistics(rows, parts, list(both.values())), "search")
+    hits = dict(zip(both, stats.select("hits_0", "hits_1").first(), strict=True))
+    op = "AND" if min(hits["AND"], k) >= max(5, k // 4) else "OR"
+    return ranked(_best(rows, parts, stats, both[op], k), F.desc("score"), F.col("id")), f"{op} ({min(hits[op], k)} hits)"
 
 
 def knn(vectors: DataFrame, query: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
@@ -141,6 +166,19 @@ def hydrate(scored: DataFrame, chunks: DataFrame, snippet_chars: int = 240) -> D
     return shown.join(F.broadcast(scored), "id")
 
 
+def hydrated(scored: DataFrame, chunks: DataFrame, parents: DataFrame, snippet_chars: int = 240) -> DataFrame:
+    """scored(id, score) with what is shown of each chunk and of its parent, by comm.parents(); a chunk without a parent row is shown with nulls, an id without a chunk goes.
+
+    The few ids shown pick their chunks first, and these their parents, so
+    neither large table is shuffled.
+    """
+    cols = ["id", "source_table", "source_id", "title", "content"]
+    mine = chunks.select(*cols).join(F.broadcast(scored), "id")
+    wanted = parents.join(F.broadcast(mine.select("source_table", "source_id").distinct()), ["source_table", "source_id"], "left_semi")
+    rows = mine.join(F.broadcast(wanted), ["source_table", "source_id"], "left")
+    return rows.select("id", "source_table", "source_id", "score", F.coalesce("subject", "title").alias("subject"), "sender_address", "sender_name", F.substring("date_sent", 1, 10).alias("date"), "direction", "thread_id", "is_bulk", "kind", snippet(F.col("content"), snippet_chars).alias("snippet"))
+
+
 def search(chunks: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: DataFrame | None = None, scores: DataFrame | None = None, mode: str = "hybrid", k: int = 10, snippet_chars: int = 240, since: Text = None, until: Text = None, year_normalize: bool = False, include_meta: bool = False, include_bulk: bool = False, per_source_k: int = 50) -> DataFrame:
     """Hybrid retrieval: both legs, fused, cut to 2k, weighted, shown, filtered, cut to k.
 

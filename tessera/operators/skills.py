@@ -30,7 +30,7 @@ def readiness(disciplines: DataFrame, practice: DataFrame, as_of: str, half_life
 
 def practice_events(commits: DataFrame, mapping: DataFrame, own: str = "owner-authored") -> DataFrame:
     """(label, at): own commits of mapping(repo, label)'s repositories."""
-    return commits.where(F.col("authorship") == own).join(F.broadcast(mapping), "repo").select("label", F.col("captured_at").alias("at"))
+    return commits.where(F.col("authorship") == own).join(mapping, "repo").select("label", F.col("captured_at").alias("at"))
 
 
 def frontier(nodes: DataFrame, prerequisites: DataFrame, as_of: str, threshold: float = 0.3, stale_days: int = 60) -> DataFrame:

@@ -86,7 +86,7 @@ _CELLS = "c AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, coalesce(CASE
 _PART = "customer#00000001"
 
 QUERIES = {
-    "q05_postings_bm25": lambda s, p: search.bm25_postings(search.postings(d.chunks(s, p)), _words(), 25),
+    "q05_postings_bm25": lambda s, p: search.bm25_postings(search.postings(d.chunks(s, p)), search.lengths(d.chunks(s, p)), _words(), 25),
     "q05_bm25_and": lambda s, p: search.bm25_search(d.chunks(s, p), "ther anea", 25, "AND"),
     "q03_bm25_dated": lambda s, p: search.bm25_search(d.chunks(s, p), "ther", 25, "AND", "2016", "2019-06-30"),
     "q04_knn": lambda s, p: search.knn(_vectors(s, p), _query_vector(s, p), 10),
@@ -96,7 +96,6 @@ QUERIES = {
     "q09_year_weights": lambda s, p: search.year_weights(search.year_counts(d.chunks(s, p))).select("year", "n", F.round("weight", 6).alias("weight")),
     "q12_search": _fts,
     "q12_search_hybrid": _hybrid,
-    "q14_get_chunk": lambda s, p: d.chunks(s, p).where("id = 17"),
     "q11_typed_counts": lambda s, p: comm.list_sources({"emails": d.emails(s, p), "chat_messages": d.chat_messages(s, p), "conversations_messages": d.conversations_messages(s, p)}, d.chunks(s, p), _vectors(s, p), _files(s, p))["totals"],
     "q15_sources": lambda s, p: comm.list_sources({}, d.chunks(s, p), _vectors(s, p), _files(s, p))["sources"],
     "q15_chunks_embedded": lambda s, p: comm.list_sources({}, d.chunks(s, p), _vectors(s, p), _files(s, p))["chunks"],
@@ -158,7 +157,6 @@ ORACLES = {
     "q08_year_counts": with_views("chunks", "SELECT substr(date_sent, 1, 4) AS year, count(*) AS n FROM chunks GROUP BY 1"),
     "q09_year_weights": with_views("chunks", "WITH y AS (SELECT substr(date_sent, 1, 4) AS year, count(*) AS n FROM chunks GROUP BY 1), m AS (SELECT avg(n) AS mean FROM y) SELECT year, n, round(least(1.0, mean / least(n, 2 * mean)), 6) AS weight FROM y, m"),
     "q12_search": with_views("chunks", f"WITH {_FTS}, best AS (SELECT id, 1.0::DOUBLE / (60 + rank) AS s FROM ranked ORDER BY s DESC, id LIMIT 20) {_SHOW}, round_even(s, 5) AS score, 1.0::DOUBLE AS decay_score FROM best JOIN chunks c ON c.id = best.id WHERE coalesce(is_bulk, 0) = 0 AND (kind IS NULL OR kind = 'message') ORDER BY score DESC, c.id LIMIT 10"),
-    "q14_get_chunk": with_views("chunks", "SELECT * FROM chunks WHERE id = 17"),
     "q11_typed_counts": with_views("emails chat conv chunks", _TOTALS),
     "q15_sources": f"WITH {_FILES} SELECT source_org, source_kind, count(*) AS files, CAST(sum(message_count) AS BIGINT) AS messages FROM files GROUP BY ALL",
     "q15_chunks_embedded": with_views("chunks", "SELECT source_table, count(*) AS chunks, count(v.vec_id) AS embedded FROM chunks LEFT JOIN embeddings v ON v.vec_id = chunks.id GROUP BY 1"),

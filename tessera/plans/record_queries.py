@@ -67,11 +67,11 @@ def _dissolutions(s, p):
     return r.select("file_path", "commit_sha", F.concat(F.lit("d-"), "commit_sha").alias("dissolution_id"), F.col("captured_at").alias("dissolved_at"), F.when(F.col("size_bytes") % 400 == 0, "done").otherwise("").alias("reason"), F.when(F.col("size_bytes") > 5000, "[]").otherwise('["t"]').alias("target_tables")).distinct()
 
 
-def _materializations(s, p, where="true"):
-    return d.table(s, p, "orders").where(where).select(F.concat(F.lit("vault/"), "o_orderkey", F.lit(".md")).alias("file_path"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("materialized_at"), F.col("o_orderkey").alias("run_id"))
+def _materializations(s, p):
+    return d.table(s, p, "orders").select(F.concat(F.lit("vault/"), "o_orderkey", F.lit(".md")).alias("file_path"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("materialized_at"), F.col("o_orderkey").alias("run_id"))
 
 
-_DISS = "dissolutions AS (SELECT DISTINCT file_path, commit_sha, 'd-' || commit_sha AS dissolution_id, captured_at AS dissolved_at, CASE WHEN size_bytes % 400 = 0 THEN 'done' ELSE '' END AS reason, CASE WHEN size_bytes > 5000 THEN '[]' ELSE '[\"t\"]' END AS target_tables FROM revisions WHERE change_type = 'delete' AND authorship = 'owner-authored'), materializations AS (SELECT 'vault/' || o_orderkey || '.md' AS file_path, strftime(o_orderdate, '%xT%X') AS materialized_at, o_orderkey AS run_id FROM orders WHERE o_orderkey % 50 = 0)"
+_DISS = "dissolutions AS (SELECT DISTINCT file_path, commit_sha, 'd-' || commit_sha AS dissolution_id, captured_at AS dissolved_at, CASE WHEN size_bytes % 400 = 0 THEN 'done' ELSE '' END AS reason, CASE WHEN size_bytes > 5000 THEN '[]' ELSE '[\"t\"]' END AS target_tables FROM revisions WHERE change_type = 'delete' AND authorship = 'owner-authored'), materializations AS (SELECT 'vault/' || o_orderkey || '.md' AS file_path, strftime(o_orderdate, '%xT%X') AS materialized_at, o_orderkey AS run_id FROM orders)"
 _NOTES = "notes AS (SELECT repo, file_path, arg_max(change_type, captured_at || commit_sha) AS last_change, max(captured_at) AS modified_at, min(captured_at) AS created_at, max(captured_at) FILTER (WHERE change_type = 'add') AS last_added_at, max(captured_at) FILTER (WHERE change_type = 'delete') AS last_deleted_at, count(*) AS revisions FROM revisions GROUP BY ALL), states AS (SELECT n.*, CASE WHEN last_change <> 'delete' THEN 'active' WHEN n.file_path IN (SELECT file_path FROM dissolutions) THEN 'dissolved' ELSE 'deleted' END AS status FROM notes n)"
 
 
@@ -98,9 +98,9 @@ def _prerequisites(s, p):
 _PRE = "prerequisites AS (SELECT a.n_name AS subject, b.n_name AS object FROM nation a JOIN nation b ON (b.n_nationkey = a.n_nationkey * 2 OR b.n_nationkey = a.n_nationkey + 7) AND a.n_nationkey <> b.n_nationkey)"
 
 
-def _practice(s, p, where="true"):
+def _practice(s, p):
     o, c, n = (d.table(s, p, t) for t in ("orders", "customer", "nation"))
-    return o.where(where).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("label"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("label"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
 
 
 def _frontier(s, p):
@@ -110,14 +110,14 @@ def _frontier(s, p):
 _FRONT = f"{_DISC}, {_PRE}, rs AS (SELECT *, CASE WHEN readiness IS NULL THEN 'unaddressed' WHEN last_verified IS NULL OR last_verified < TIMESTAMP '2002-01-01' - INTERVAL 60 DAY THEN 'under-informed' WHEN readiness < 0.3 THEN 'below-threshold' END AS reason FROM disciplines), gate AS (SELECT object AS label, bool_or(coalesce(readiness >= 0.3, FALSE)) AS ok FROM prerequisites LEFT JOIN disciplines ON label = subject GROUP BY 1), frontier AS (SELECT rs.label, reason FROM rs LEFT JOIN gate ON gate.label = rs.label WHERE reason IS NOT NULL AND (reason = 'below-threshold' OR coalesce(ok, TRUE)))"
 
 
-def _actions(s, p, where="true"):
-    part = d.table(s, p, "part").where(where)
+def _actions(s, p):
+    part = d.table(s, p, "part")
     k = F.col("p_partkey")
     n = d.table(s, p, "nation")
     return part.join(n, (k % 25) == n.n_nationkey).select(F.col("n_name").alias("label"), F.concat(F.lit("a"), k).alias("action"), (k % 10).alias("est_value"), (k % 7).alias("cost"), (k % 3).alias("novelty"), ((k % 4 + 1) / 4).alias("p_action"))
 
 
-_ACT = "actions AS (SELECT n_name AS label, 'a' || p_partkey AS action, p_partkey % 10 AS est_value, p_partkey % 7 AS cost, p_partkey % 3 AS novelty, (p_partkey % 4 + 1) / 4 AS p_action FROM part JOIN nation ON p_partkey % 25 = n_nationkey WHERE p_partkey % 20 = 0)"
+_ACT = "actions AS (SELECT n_name AS label, 'a' || p_partkey AS action, p_partkey % 10 AS est_value, p_partkey % 7 AS cost, p_partkey % 3 AS novelty, (p_partkey % 4 + 1) / 4 AS p_action FROM part JOIN nation ON p_partkey % 25 = n_nationkey)"
 
 
 def _copies(s, p):
@@ -137,8 +137,8 @@ def _places(s, p):
     return coalesce.candidate_pairs(d.places(s, p), coalesce.PLACES[:1]).select("a", "b", "rule", "confidence")
 
 
-def _year_edges(s, p, where="true"):
-    o = d.table(s, p, "orders").where(where)
+def _year_edges(s, p):
+    o = d.table(s, p, "orders")
     return components(o.select((F.col("o_custkey") + 1_000_000).alias("a"), (F.month("o_orderdate") * 100 + F.year("o_orderdate") % 100).cast("long").alias("b")))
 
 
@@ -170,8 +170,7 @@ QUERIES = {
     "c06_places_near": _places,
     "c10_merge_stats": lambda s, p: coalesce.merge_stats(_proposals(s, p)),
     "c04_applied": lambda s, p: coalesce.applied(d.people(s, p).select("id"), "id", _proposals(s, p)).groupBy("id").agg(F.count("*").alias("n")),
-    "x_components": lambda s, p: _year_edges(s, p, "o_orderkey % 11 = 0"),
-    "x_components_all": _year_edges,
+    "x_components": _year_edges,
     "r01_revisions": lambda s, p: history.revisions_of(d.revisions(s, p), since="2000", change_type="delete", limit=40),
     "n02_latest_revision": lambda s, p: history.latest(d.revisions(s, p)).select("file_path", "commit_sha", "captured_at"),
     "a07_revision_stats": lambda s, p: history.stats(d.revisions(s, p)),
@@ -183,19 +182,14 @@ QUERIES = {
     "k03_authorship": lambda s, p: history.with_authorship(d.revisions(s, p), d.revisions(s, p).where("size_bytes % 3 = 0").select("commit_sha", "authorship").dropDuplicates(["commit_sha"]), s.createDataFrame([("repo", "ai-generated")], "repo string, authorship string")).groupBy("authorship").agg(F.count("*").alias("n")),
     "v02_notes": lambda s, p: _states(s, p),
     "a08_note_stats": lambda s, p: history.note_stats(_states(s, p)),
-    "l02_lifecycle": lambda s, p: history.lifecycle(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p, "o_orderkey % 50 = 0")),
-    "l02_lifecycle_all": lambda s, p: history.lifecycle(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
-    "l03_audit": lambda s, p: history.audit(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p, "o_orderkey % 50 = 0")),
-    "l03_audit_all": lambda s, p: history.audit(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
+    "l02_lifecycle": lambda s, p: history.lifecycle(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
+    "l03_audit": lambda s, p: history.audit(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
     "v01_classified": lambda s, p: history.classified(d.revisions(s, p), _dissolutions(s, p)).groupBy(F.coalesce("deletion", F.lit("none")).alias("deletion")).agg(F.count("*").alias("n")),
-    "r02_triple_deltas": lambda s, p: _deltas(_state_rows(s, p).where("size_bytes < 2000")),
-    "r02_triple_deltas_all": lambda s, p: _deltas(_state_rows(s, p)),
+    "r02_triple_deltas": lambda s, p: _deltas(_state_rows(s, p)),
     "r01_diffs": lambda s, p: history.diffs(d.revisions(s, p), d.revisions(s, p).select("commit_sha", "file_path", F.concat_ws("\n", "change_type", "captured_at").alias("body")).dropDuplicates(["commit_sha", "file_path"])),
-    "k01_readiness": lambda s, p: skills.readiness(_disciplines(s, p), _practice(s, p, "o_orderkey % 40 = 0"), AS_OF),
-    "k01_readiness_all": lambda s, p: skills.readiness(_disciplines(s, p), _practice(s, p), AS_OF),
+    "k01_readiness": lambda s, p: skills.readiness(_disciplines(s, p), _practice(s, p), AS_OF),
     "k04_frontier": _frontier,
-    "k05_ranked_actions": lambda s, p: skills.ranked_actions(_frontier(s, p), _actions(s, p, "p_partkey % 20 = 0")).select("label", "reason", "action", "score", "place"),
-    "k05_ranked_actions_all": lambda s, p: skills.ranked_actions(_frontier(s, p), _actions(s, p)).select("label", "reason", "action", "score", "place"),
+    "k05_ranked_actions": lambda s, p: skills.ranked_actions(_frontier(s, p), _actions(s, p)).select("label", "reason", "action", "score", "place"),
     "k06_snapshot": lambda s, p: skills.snapshot(skills.readiness_qualifiers(skills.readiness(_disciplines(s, p), _practice(s, p), AS_OF), AS_OF), ["readiness", "computed_at"]),
 }
 
@@ -216,7 +210,6 @@ def _deltas(states):
     return history.triple_deltas(states).withColumns({c: F.array_join(F.sort_array(c), ",") for c in ("added", "removed")})
 
 
-_EDGE = "e AS (SELECT DISTINCT o_custkey + 1000000 AS a, CAST(month(o_orderdate) * 100 + year(o_orderdate) % 100 AS BIGINT) AS b FROM orders WHERE o_orderkey % 11 = 0)"
 ORACLES = {
     "g03_triples": f"WITH {_STATEMENTS} SELECT DISTINCT subject_kind, subject, predicate, CASE WHEN object IS NOT NULL THEN object_kind END AS object_kind, object, provenance FROM statements",
     "g01_nodes": f"WITH {_STATEMENTS} SELECT kind, min(label) AS label, lower(trim(label)) AS normalized_label FROM (SELECT subject_kind AS kind, subject AS label FROM statements UNION ALL SELECT object_kind, object FROM statements WHERE object IS NOT NULL) GROUP BY kind, lower(trim(label))",
@@ -242,7 +235,6 @@ ORACLES = {
     "c03_people_components": "WITH RECURSIVE " + with_views("people", "SELECT 1")[5:].rsplit(" SELECT 1", 1)[0] + f", {_KEYS}, cc(x, y) AS (SELECT id, id FROM people UNION SELECT cc.x, e.y FROM cc JOIN e ON e.x = cc.y) SELECT x AS id, min(y) AS survivor FROM cc GROUP BY x HAVING min(y) < x",
     "c04_applied": "WITH RECURSIVE " + with_views("people", "SELECT 1")[5:].rsplit(" SELECT 1", 1)[0] + f", {_KEYS}, cc(x, y) AS (SELECT id, id FROM people UNION SELECT cc.x, e.y FROM cc JOIN e ON e.x = cc.y), m AS (SELECT x, min(y) AS id FROM cc GROUP BY x) SELECT id, count(*) AS n FROM m GROUP BY id",
     "c06_places_near": with_views("places", f"WITH p AS (SELECT a.id AS a, b.id AS b, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h FROM places a JOIN places b ON a.id < b.id) SELECT a, b, 'geo_within_100m' AS rule, 0.85::DOUBLE AS confidence FROM p WHERE {_HAV} <= 100"),
-    "x_components": f"WITH RECURSIVE {_EDGE}, s AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), cc(x, y) AS (SELECT x, x FROM s UNION SELECT cc.x, s.y FROM cc JOIN s ON s.x = cc.y) SELECT x AS node, min(y) AS component FROM cc GROUP BY x",
     "r01_revisions": with_views("revisions", "SELECT * FROM revisions WHERE captured_at >= '2000' AND change_type = 'delete' ORDER BY captured_at DESC NULLS LAST, commit_sha DESC LIMIT 40"),
     "n02_latest_revision": with_views("revisions", "SELECT file_path, commit_sha, captured_at FROM (SELECT *, row_number() OVER (PARTITION BY repo, file_path ORDER BY captured_at DESC, commit_sha DESC) AS n FROM revisions) WHERE n = 1"),
     "a07_revision_stats": with_views("revisions", "SELECT 'authorship' AS what, authorship AS name, count(*) AS n FROM revisions GROUP BY 2 UNION ALL SELECT 'change_type', change_type, count(*) FROM revisions GROUP BY 2 UNION ALL SELECT 'total', 'all', count(*) FROM revisions"),
@@ -257,12 +249,8 @@ ORACLES = {
     "l02_lifecycle": with_views("revisions", f"WITH {_DISS} SELECT file_path, captured_at AS at, 'revision:' || change_type AS event, commit_sha AS ref FROM revisions UNION ALL SELECT file_path, dissolved_at, 'dissolution', dissolution_id FROM dissolutions UNION ALL SELECT file_path, materialized_at, 'materialization', CAST(run_id AS VARCHAR) FROM materializations"),
     "l03_audit": with_views("revisions", f"WITH {_DISS} SELECT 'dissolution_without_revision' AS \"check\", 'error' AS severity, count(*) AS n FROM dissolutions d WHERE NOT EXISTS (FROM revisions r WHERE r.file_path = d.file_path AND r.commit_sha = d.commit_sha) UNION ALL SELECT 'dissolution_of_no_deletion', 'error', count(*) FROM dissolutions d WHERE EXISTS (FROM revisions r WHERE r.file_path = d.file_path AND r.commit_sha = d.commit_sha AND r.change_type <> 'delete') UNION ALL SELECT 'unexplained_deletion', 'warning', count(*) FROM revisions r WHERE change_type = 'delete' AND NOT EXISTS (FROM dissolutions d WHERE r.file_path = d.file_path AND r.commit_sha = d.commit_sha) UNION ALL SELECT 'dissolution_without_reason', 'warning', count(*) FROM dissolutions WHERE trim(reason) = '' UNION ALL SELECT 'dissolution_without_targets', 'info', count(*) FROM dissolutions WHERE target_tables = '[]' UNION ALL SELECT 'materialization_of_unknown_path', 'warning', count(*) FROM materializations m WHERE NOT EXISTS (FROM revisions r WHERE r.file_path = m.file_path)"),
     "v01_classified": with_views("revisions", f"WITH {_DISS} SELECT CASE WHEN change_type <> 'delete' THEN 'none' WHEN dissolution_id IS NOT NULL THEN 'dissolved' ELSE 'unexplained' END AS deletion, count(*) AS n FROM revisions LEFT JOIN dissolutions USING (file_path, commit_sha) GROUP BY 1"),
-    "k01_readiness": f"WITH {_DISC}, practice AS (SELECT n_name AS label, sum(0.05 * exp(-ln(2) / 180 * greatest(0, (epoch(TIMESTAMP '2002-01-01') - epoch(o_orderdate)) / 86400.0))) AS lift FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 40 = 0 GROUP BY 1), x AS (SELECT d.label, baseline, lift, exp(-ln(2) / 180 * greatest(0, (epoch(TIMESTAMP '2002-01-01') - epoch(asserted_at::TIMESTAMP)) / 86400.0)) AS f FROM disciplines d LEFT JOIN practice USING (label)) SELECT label, CASE WHEN baseline IS NOT NULL OR lift IS NOT NULL THEN round(least(1.0, greatest(coalesce(baseline * 0.05, 0), coalesce(baseline * f, 0) + coalesce(lift, 0))), 4) END AS readiness, CASE WHEN baseline IS NOT NULL THEN greatest(baseline * 0.05, baseline * f) < baseline * 0.5 END AS atrophied FROM x",
-    "r02_triple_deltas": with_views("revisions", "WITH s AS (SELECT repo, file_path, commit_sha, captured_at, CASE WHEN change_type = 'delete' THEN [] ELSE [change_type, authorship, substr(captured_at, 1, 4)] END AS now FROM revisions WHERE size_bytes < 2000), w AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY repo, file_path ORDER BY captured_at, commit_sha), []) AS was FROM s) SELECT repo, file_path, commit_sha, array_to_string(list_sort(list_distinct(list_filter(now, lambda x: NOT list_contains(was, x)))), ',') AS added, array_to_string(list_sort(list_distinct(list_filter(was, lambda x: NOT list_contains(now, x)))), ',') AS removed FROM w"),
+    "k01_readiness": f"WITH {_DISC}, practice AS (SELECT n_name AS label, sum(0.05 * exp(-ln(2) / 180 * greatest(0, (epoch(TIMESTAMP '2002-01-01') - epoch(o_orderdate)) / 86400.0))) AS lift FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), x AS (SELECT d.label, baseline, lift, exp(-ln(2) / 180 * greatest(0, (epoch(TIMESTAMP '2002-01-01') - epoch(asserted_at::TIMESTAMP)) / 86400.0)) AS f FROM disciplines d LEFT JOIN practice USING (label)) SELECT label, CASE WHEN baseline IS NOT NULL OR lift IS NOT NULL THEN round(least(1.0, greatest(coalesce(baseline * 0.05, 0), coalesce(baseline * f, 0) + coalesce(lift, 0))), 4) END AS readiness, CASE WHEN baseline IS NOT NULL THEN greatest(baseline * 0.05, baseline * f) < baseline * 0.5 END AS atrophied FROM x",
+    "r02_triple_deltas": with_views("revisions", "WITH s AS (SELECT repo, file_path, commit_sha, captured_at, CASE WHEN change_type = 'delete' THEN [] ELSE [change_type, authorship, substr(captured_at, 1, 4)] END AS now FROM revisions), w AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY repo, file_path ORDER BY captured_at, commit_sha), []) AS was FROM s) SELECT repo, file_path, commit_sha, array_to_string(list_sort(list_distinct(list_filter(now, lambda x: NOT list_contains(was, x)))), ',') AS added, array_to_string(list_sort(list_distinct(list_filter(was, lambda x: NOT list_contains(now, x)))), ',') AS removed FROM w"),
     "k04_frontier": f"WITH {_FRONT} SELECT * FROM frontier",
     "k05_ranked_actions": f"WITH {_FRONT}, {_ACT}, s AS (SELECT label, reason, action, round((est_value - cost + novelty) * p_action, 6) AS score FROM frontier JOIN actions USING (label)) SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, action) AS INTEGER) AS place FROM s",
 }
-#: The queries over whole tables, beside those whose SQL takes a part of them.
-ORACLES["r02_triple_deltas_all"] = ORACLES["r02_triple_deltas"].replace(" WHERE size_bytes < 2000", "")
-for _name, _part in (("k01_readiness", " WHERE o_orderkey % 40 = 0"), ("k05_ranked_actions", " WHERE p_partkey % 20 = 0"), ("l02_lifecycle", " WHERE o_orderkey % 50 = 0"), ("l03_audit", " WHERE o_orderkey % 50 = 0")):
-    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(_part, "")

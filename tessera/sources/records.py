@@ -44,24 +44,41 @@ def entries(name: str, raw: bytes) -> Iterator[Entry]:
         yield name, raw
 
 
-def read_files(spark: SparkSession, path: str, parser: Parser, glob: str | None = None) -> DataFrame:
-    """Records (SCHEMA) of all files below path. An entry that can't be parsed gives one record of schema_type 'Error'."""
+def records_of(name: str, raw: bytes, parser: Parser) -> Iterator[Record]:
+    """Records of a file; whatever fails gives one of schema_type 'Error' with what was raised, and the next entry goes on."""
+    opened = entries(name, raw)
+    while True:
+        entry, at = name, 0
+        try:
+            entry, data = next(opened)
+            for r in parser(entry, data):
+                yield {"source_path": name, "entry": entry, "position": at, **{k: v for k, v in r.items() if v is not None}}
+                at += 1
+        except StopIteration:
+            return
+        except Exception as e:  # noqa: BLE001 - files come from anywhere; a broken one mustn't end the job
+            yield {"source_path": name, "entry": entry, "position": at, "schema_type": "Error", "body_text": repr(e)[:500], "raw_hash": sha(name, entry)}
+
+
+def frame(rows: list[Record]) -> pd.DataFrame:
+    return pd.DataFrame(rows).reindex(columns=NAMES).astype(object).where(lambda f: f.notna(), None)
+
+
+def read_files(spark: SparkSession, path: str, parser: Parser, glob: str | None = None, batch: int = 5000) -> DataFrame:
+    """Records (SCHEMA) of all files below path. What can't be read or parsed gives one record of schema_type 'Error'."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, raw in zip(frame["path"], frame["content"], strict=True):
+        for f in frames:
+            for name, raw in zip(f["path"], f["content"], strict=True):
                 rows = []
-                for entry, data in entries(name, bytes(raw)):
-                    at = 0
-                    try:
-                        for r in parser(entry, data):
-                            rows.append({"source_path": name, "entry": entry, "position": at, **{k: v for k, v in r.items() if v is not None}})
-                            at += 1
-                    except (ValueError, KeyError, TypeError, IndexError, AttributeError, SyntaxError) as e:
-                        rows.append({"source_path": name, "entry": entry, "position": at, "schema_type": "Error", "body_text": repr(e)[:500], "raw_hash": sha(name, entry)})
+                for r in records_of(name, bytes(raw), parser):
+                    rows.append(r)
+                    if len(rows) == batch:
+                        yield frame(rows)
+                        rows = []
                 if rows:
-                    yield pd.DataFrame(rows).reindex(columns=NAMES).astype(object).where(lambda f: f.notna(), None)
+                    yield frame(rows)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
