@@ -115,6 +115,7 @@ def embedded(chunks: DataFrame, provider: Provider, batch: int = 32, retries: in
 def status(rows: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """(source_table, eligible, done, chunks, embedded) by table; done counts rows of that table that have chunks."""
     want = eligible(rows).groupBy("source_table").agg(F.count("*").alias("eligible"))
+    vectors = vectors.where("embedding is not null") if "embedding" in vectors.columns else vectors
     have = chunks.join(vectors.select("id", F.lit(1).alias("_v")), "id", "left").groupBy("source_table").agg(F.countDistinct("source_id").alias("done"), F.count("*").alias("chunks"), F.count("_v").alias("embedded"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return want.join(have, "source_table", "full").select("source_table", *[zero(c) for c in ("eligible", "done", "chunks", "embedded")])

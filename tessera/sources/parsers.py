@@ -101,13 +101,14 @@ def direction(sender: str, recipients: list[str], own: frozenset[str]) -> str:
 
 
 def mbox(name: str, raw: bytes, own: frozenset[str] = frozenset()) -> Iterator[Record]:
+    """The mails of a mailbox, or of a part of one that begins with the line of a mail; bodies are whole."""
     for block in re.split(rb"(?:\A|(?<=\n))From [^\n]*\n", raw)[1:]:
         m = email.message_from_bytes(re.sub(rb"(?m)^>(>*From )", rb"\1", block), policy=email.policy.compat32)
         found = getaddresses([str(m.get("From") or "")])
         who, sender = found[0] if found else ("", "")
         sender = sender.strip().lower()
         ident = (m.get("Message-ID") or "").strip()
-        digest = hashlib.sha256(block).hexdigest()
+        digest = hashlib.sha256(block.rstrip(b"\r\n")).hexdigest()  # what ends a mail isn't there before the next one is
         if not sender and not ident:
             continue
         to = [a.strip().lower() for _, a in getaddresses([str(v) for h in ("To", "Cc", "Bcc") for v in m.get_all(h) or []]) if a]
@@ -130,7 +131,7 @@ def mbox(name: str, raw: bytes, own: frozenset[str] = frozenset()) -> Iterator[R
         extra = {"message_id": ident or f"synth:{digest[:16]}", "attachments": json.dumps(files), "labels": str(m.get("X-Gmail-Labels") or "")}
         if signal:
             extra["bulk_signal"] = signal
-        yield {"schema_type": "EmailMessage", "raw_hash": digest, "date": _mail_date(m), "subject": subject, "sender_address": sender or None, "sender_name": who or None, "direction": direction(sender, to, own), "body_text": body[:200_000], "thread_key": m.get("X-GM-THRID"), "is_bulk": signal is not None, "recipients": to, "extra": extra}
+        yield {"schema_type": "EmailMessage", "raw_hash": digest, "date": _mail_date(m), "subject": subject, "sender_address": sender or None, "sender_name": who or None, "direction": direction(sender, to, own), "body_text": body, "thread_key": m.get("X-GM-THRID"), "is_bulk": signal is not None, "recipients": to, "extra": extra}
 
 
 # chat

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TEXT = "source_path entry schema_type raw_hash date date_end subject sender_address sender_name direction body_text kind role thread_key url".split()
@@ -82,3 +83,31 @@ def read_files(spark: SparkSession, path: str, parser: Parser, glob: str | None
                     yield frame(rows)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def read_split(spark: SparkSession, path: str, parser: Parser, separator: str, glob: str | None = None, after: int = 0) -> DataFrame:
+    """Records of files whose parts stand after a separator, such as mailboxes: a file of any size is read by many tasks, each part by itself.
+
+    Spark's text source cuts the files, in byte ranges, at the separator; the
+    parser is given it back before every part. after: bytes of the files that
+    have been read before; byte ranges that end there aren't parsed again, and
+    what they share with the next is left out by ingest(). Archives aren't
+    opened here.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", separator)
+    parts = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    place = "_metadata.file_path", "_metadata.file_block_start", "_metadata.file_block_length"
+    parts = parts.select(F.col(place[0]).alias("path"), F.col(place[1]).alias("start"), (F.col(place[1]) + F.col(place[2])).alias("end"), F.col("value").cast("binary").alias("content")).where(F.col("end") > after)
+    lead = separator.lstrip("\n").encode()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for name, start, raw in zip(f["path"], f["start"], f["content"], strict=True):
+                part = bytes(raw)
+                for r in records_of(name, part if part.startswith(lead) else lead + part, parser):
+                    rows.append({**r, "position": int(start)})
+            if rows:
+                yield frame(rows)
+
+    return parts.select("path", "start", "content").mapInPandas(run, SCHEMA)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,16 +10,17 @@ from pyspark.sql import functions as F
 
 from tessera.operators.merge import first_wins
 from tessera.sources import parsers as p
-from tessera.sources.records import Parser, read_files
+from tessera.sources.records import Parser, read_files, read_split
 
 
 @dataclass(frozen=True)
 class Source:
-    """glob: files below the path that belong to it."""
+    """glob: files below the path that belong to it. separator: what stands before each part of a file that may be cut there."""
 
     parser: Parser
     emits: tuple[str, ...]
     glob: str | None = None
+    separator: str | None = None
 
 
 _MD = "*.md"
@@ -51,7 +53,7 @@ SOURCES: dict[str, Source] = {
     "google_timeline": Source(p.timeline, ("TravelAction", "Place", "GeoShape"), "*.json"),
     "google_voice": Source(p.message_html, ("Message",), "*.html"),
     "imessage": Source(p.message_html, ("Message",), "*.html"),
-    "mbox": Source(p.mbox, ("EmailMessage",), "*.mbox"),
+    "mbox": Source(p.mbox, ("EmailMessage",), "*.mbox", "\nFrom "),
     "msn_plus": Source(p.chat_log, ("Message",)),
     "onedrive": Source(p.document, ("DigitalDocument",)),
     "phone_calls_xml": Source(p.sms_xml, ("Action",), "*.xml"),
@@ -72,19 +74,47 @@ SOURCES: dict[str, Source] = {
 }
 
 
-def read(spark: SparkSession, source: str, path: str) -> DataFrame:
-    """All records of a source below path."""
+def read(spark: SparkSession, source: str, path: str, after: int = 0) -> DataFrame:
+    """All records of a source below path; after: bytes of a growing file that were read before, for sources with a separator."""
     s = SOURCES[source]
-    return read_files(spark, path, s.parser, s.glob)
+    return read_split(spark, path, s.parser, s.separator, s.glob, after) if s.separator else read_files(spark, path, s.parser, s.glob)
 
 
-def ingest(spark: SparkSession, source: str, path: str, stored: DataFrame | None = None) -> DataFrame:
+def ingest(spark: SparkSession, source: str, path: str, stored: DataFrame | None = None, after: int = 0) -> DataFrame:
     """Records that aren't stored yet, each once by (source_path, raw_hash); errors aside."""
     keys = ["source_path", "raw_hash"]
-    rows = first_wins(read(spark, source, path).where("schema_type <> 'Error'"), keys, [F.asc("entry"), F.asc("position")])
+    rows = first_wins(read(spark, source, path, after).where("schema_type <> 'Error'"), keys, [F.asc("entry"), F.asc("position")])
     return rows if stored is None else rows.join(stored.select(*keys), keys, "left_anti")
 
 
+def errors(records: DataFrame) -> DataFrame:
+    """(source_path, entry, what) of what couldn't be read."""
+    return records.where("schema_type = 'Error'").select("source_path", "entry", F.col("body_text").alias("what"))
+
+
+def unclaimed(records: DataFrame, source: str) -> DataFrame:
+    """(schema_type, n) that a source yielded and doesn't claim to."""
+    return records.where(~F.col("schema_type").isin("Error", *SOURCES[source].emits)).groupBy("schema_type").agg(F.count("*").alias("n"))
+
+
+def manifest() -> list[dict]:
+    """What each source is, as plain values: name, what it emits, which files it reads and whether they are cut."""
+    return [{"name": name, "emits": list(s.emits), "glob": s.glob, "splittable": s.separator is not None} for name, s in sorted(SOURCES.items())]
+
+
+def discovered(modules: list[str]) -> dict[str, Source]:
+    """SOURCES and those that the named modules bring as their own SOURCES; a name that is taken, and a source that isn't valid, are errors."""
+    found = dict(SOURCES)
+    for m in modules:
+        more = importlib.import_module(m).SOURCES
+        if taken := sorted(found.keys() & more.keys()):
+            raise ValueError(f"{m} names sources that exist: {', '.join(taken)}")
+        found |= more
+    if bad := invalid(found):
+        raise ValueError(f"not valid: {', '.join(bad)}")
+    return found
+
+
 def invalid(sources: dict[str, Source]) -> list[str]:
     """Names whose entry lacks a parser or what it emits."""
     return [name for name, s in sources.items() if not callable(s.parser) or not s.emits or not name.isidentifier()]

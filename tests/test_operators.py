@@ -98,7 +98,7 @@ def test_text_search(spark, chunks):
     assert ids(search.bm25_search(chunks, "the of", 10)) == []
     rows, label = search.text_search(chunks, "apple pie", 10)
     assert label.startswith("OR (4") and [r["rank"] for r in rows.collect()] == [1, 2, 3, 4]
-    assert ids(search.bm25_postings(search.postings(chunks), ["apple"], 10)) == ids(search.bm25_search(chunks, "apple", 10))
+    assert ids(search.bm25_postings(search.postings(chunks), search.lengths(chunks), ["apple"], 10)) == ids(search.bm25_search(chunks, "apple", 10))
 
 
 def test_fusion_and_hybrid(spark, chunks):
@@ -220,7 +220,9 @@ def test_coverage(spark):
 def test_graph(spark):
     st = spark.createDataFrame([("a", " X ", "childOf", "a", "y", "p", None), ("a", "x", "childOf", "a", "Y", "p", None), ("a", "x", "mentions", "a", None, "p", None), ("a", "x", "bogus", "a", "y", "p", None), ("a", "x", "relatesTo", "a", "z", "p", "r")], ", ".join(f"{c} string" for c in graph.STATEMENT))
     known = graph.predicates(spark)
-    t = graph.add_triples(st, known)
+    with pytest.raises(Exception, match="unknown predicate: bogus"):
+        graph.add_triples(st, known).count()
+    t = graph.add_triples(st.where("predicate <> 'bogus'"), known)
     n = graph.resolve_nodes(st.select(F.col("subject_kind").alias("kind"), F.col("subject").alias("label")).union(st.where("object is not null").select("object_kind", "object")))
     assert t.count() == 3 and n.count() == 3 and graph.unknown_predicates(st, known).first().predicate == "bogus"
     q = lambda **k: [(r.direction, r.predicate) for r in graph.query_triples(t, n, known, **k).collect()]
@@ -230,6 +232,8 @@ def test_graph(spark):
     assert len(graph.neighborhood(t, n, "a", "y").collect()) == 1
     d = graph.depths(spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a")], "child string, parent string"))
     assert {r.node: r.depth for r in d.collect()} == {"a": 0, "b": 1, "c": 2}
+    below = [(i + 1, i) for i in range(66)] + [(200, 201), (201, 200), (202, 201), (5, 0)]
+    assert {r.node: r.depth for r in graph.depths(spark.createDataFrame(below, "child long, parent long")).collect()} == {i: i for i in range(67)}
     links = graph.wikilink_nodes(spark.createDataFrame([("Note",), ("Idea",)], "link string"), graph.resolve_nodes(spark.createDataFrame([("file", "note")], "kind string, label string")))
     assert {r.link: r.kind for r in links.collect()} == {"Note": "file", "Idea": "concept"}
     notes = spark.createDataFrame([("p.md", {"up": ["[[Top]]"], "tags": ["#t"], "predicate:supersedes": ["Old"], "x": ["y"]})], "path string, meta map<string, array<string>>")
@@ -345,5 +349,10 @@ def test_embedding(spark):
             raise RuntimeError
         return embed.hashing_provider(4)(texts)
 
-    assert embed.embedded(chunks, picky).count() == 1
+    some = embed.embedded(chunks, picky).collect()
+    assert len(some) == 5 and sum(r.embedding is not None for r in some) == 1 and {r.error for r in some if r.embedding is None} == {"RuntimeError()"}
+    assert embed.status(rows, chunks, embed.embedded(chunks, picky)).agg(F.sum("embedded")).first()[0] == 1
+    assert len(embed.query_vector(spark, embed.hashing_provider(8), "a river").first().embedding) == 8
+    first = embed.limited([rows.where("source_table = 'emails'"), rows.where("source_table <> 'emails'")], 2)
+    assert [(r.source_table, r.id) for r in first.collect()] == [("emails", 1), ("emails", 2)]
 

@@ -173,3 +173,61 @@ def test_read_and_ingest(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{")
     assert [r.schema_type for r in registry.read(spark, "chrome_history", str(tmp_path)).collect()] == ["Error"]
     assert registry.invalid(registry.SOURCES) == []
+
+
+def test_broken_files_are_rows(spark, tmp_path):
+    db = tmp_path / "ok.sqlite"
+    with sqlite3.connect(db) as c:
+        c.execute("CREATE TABLE sms (_id, address, date, body, type)")
+        c.executemany("INSERT INTO sms VALUES (?, '5550100000', ?, ?, 1)", [(i, 1000.0 * i, "x" * 500) for i in range(200)])
+    (tmp_path / "cut.sqlite").write_bytes(db.read_bytes()[:20_000])
+    (tmp_path / "far.sqlite").write_bytes(b"")
+    with sqlite3.connect(tmp_path / "far.sqlite") as c:
+        c.execute("CREATE TABLE sms (_id, address, date, body, type)")
+        c.execute("INSERT INTO sms VALUES (1, '5550100000', 1e23, 'x', 1)")
+    (tmp_path / "torn.zip").write_bytes(b"PK\x03\x04 and nothing more")
+    got = registry.read(spark, "phone_sms", str(tmp_path))
+    wrong = {r.source_path.rsplit("/", 1)[-1]: r.what for r in registry.errors(got).collect()}
+    assert set(wrong) == {"cut.sqlite", "far.sqlite", "torn.zip"} and "BadZipFile" in wrong["torn.zip"] and "DatabaseError" in wrong["cut.sqlite"]
+    assert got.where("schema_type = 'Message' and source_path like '%ok.sqlite'").count() == 200
+
+
+def test_mailbox_is_read_by_many_tasks(spark, tmp_path):
+    def mail(i, body):
+        return f"From a@x.org Thu Jan  1 00:00:00 2015\nFrom: a{i}@x.org\nMessage-ID: <{i}@x>\nSubject: s{i}\n\n{body}\n\n".encode()
+
+    box = tmp_path / "all.mbox"
+    box.write_bytes(b"".join(mail(i, f"body {i} \xe9" * 50 if i else "y" * 300_000) for i in range(400)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = registry.read(spark, "mbox", str(tmp_path))
+        assert got.rdd.getNumPartitions() > 8
+        rows_ = got.select("sender_address", "body_text", "raw_hash", "position").collect()
+        assert sorted(r.sender_address for r in rows_) == sorted(f"a{i}@x.org" for i in range(400)) and len({r.position for r in rows_}) > 4
+        assert max(len(r.body_text) for r in rows_) >= 300_000
+        assert {r.raw_hash for r in rows_} == {r["raw_hash"] for r in p.mbox("all.mbox", box.read_bytes())}
+        stored, size = registry.ingest(spark, "mbox", str(tmp_path)).cache(), box.stat().st_size
+        assert stored.count() == 400
+        with box.open("ab") as f:
+            f.write(mail(400, "later") + mail(401, "last"))
+        new = registry.ingest(spark, "mbox", str(tmp_path), stored, after=size)
+        assert sorted(r.sender_address for r in new.collect()) == ["a400@x.org", "a401@x.org"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_sources_are_described():
+    import sys
+    import types
+
+    import pytest
+
+    assert {m["name"] for m in registry.manifest()} == set(registry.SOURCES) and [m["name"] for m in registry.manifest() if m["splittable"]] == ["mbox"]
+    sys.modules["more_sources"] = types.SimpleNamespace(SOURCES={"mine": registry.SOURCES["spotify"]})
+    sys.modules["same_sources"] = types.SimpleNamespace(SOURCES={"mbox": registry.SOURCES["mbox"]})
+    sys.modules["bad_sources"] = types.SimpleNamespace(SOURCES={"no name": registry.Source(None, ())})
+    assert "mine" in registry.discovered(["more_sources"])
+    for name in ("same_sources", "bad_sources"):
+        with pytest.raises(ValueError):
+            registry.discovered([name])
