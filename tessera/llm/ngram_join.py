@@ -36,9 +36,9 @@ from tessera.llm.shared import fresh, row_key, written
 U64 = np.uint64
 N, THRESHOLD = 4, Fraction(2, 5)
 #: n-grams gathered by a map task before it writes them out; n-grams, and sets, of one side of a block of a large component; n-grams of a bundle of small ones.
-GATHER, BLOCK, BLOCK_SETS, BUNDLE = 1_500_000, 250_000, 1000, 250_000
+GATHER, BLOCK, BLOCK_SETS, BUNDLE = 1_000_000, 250_000, 1000, 250_000
 #: Bytes of text of which a bucket holds the n-grams; a task needs about twelve times as much memory.
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
 #: Rows that are sent to all tasks, 40 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: n-grams that this share of about so many documents hold go around the buckets. Which these are changes no result.
