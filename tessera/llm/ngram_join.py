@@ -37,8 +37,8 @@ U64 = np.uint64
 N, THRESHOLD = 4, Fraction(2, 5)
 #: n-grams gathered by a map task before it writes them out; n-grams, and sets, of one side of a block of a large component; n-grams of a bundle of small ones.
 GATHER, BLOCK, BLOCK_SETS, BUNDLE = 1_000_000, 250_000, 1000, 250_000
-#: Bytes of text of which a bucket holds the n-grams; a task needs about twelve times as much memory.
-BUCKET_BYTES = 8_000_000
+#: Bytes of text of which a bucket holds the n-grams; a task needs about twelve times as much memory. Buckets are smaller, down to the second figure, where cores would be idle.
+BUCKET_BYTES, LEAST_BUCKET_BYTES = 20_000_000, 4_000_000
 #: Rows that are sent to all tasks, 40 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: n-grams that this share of about so many documents hold go around the buckets. Which these are changes no result.
@@ -436,7 +436,7 @@ def similar_rows(docs: DataFrame, n: int = N, threshold: Fraction | float = THRE
     num, den = t.numerator, t.denominator
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), F.lower("text").alias("text")).where("text is not null")
     total, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    parts = min(2**24 - 2, max(1, math.ceil(total / bucket_bytes)))
+    parts = min(2**24 - 2, max(1, math.ceil(total / bucket_bytes), min(spark.sparkContext.defaultParallelism, math.ceil(total / LEAST_BUCKET_BYTES))))
     by_part = lambda df, run, schema: df.repartitionById(parts, F.col("part")).mapInArrow(_whole(run), schema)
     hot = spark.sparkContext.broadcast(_hot(rows, n, count, hot_share))
     shared = by_part(rows.mapInArrow(_pack(n, parts, hot), _PACKED), _shared(parts), _SHARED)
