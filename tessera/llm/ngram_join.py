@@ -4,7 +4,8 @@ The n-gram sets of all documents are put into one global order (rarest
 n-grams first). Documents with equal sets become one; n-grams that occur in a
 single set are only counted, for they can't be shared. By the prefix bound a
 pair of Jaccard similarity t shares one of the first
-size - ceil(t * size) + 1 n-grams of either, so these link the sets that can
+size - ceil(t * size) + 1 n-grams of either, and from the first common one on
+either has as many left as they have in common; so these link the sets that can
 be similar into components. The sets of a component are stored, commonest
 n-grams first, in a prefix tree, which every set of the component traverses:
 paths share the overlap of their common beginning, and subtrees whose
@@ -43,6 +44,8 @@ BUCKET_BYTES, LEAST_BUCKET_BYTES = 20_000_000, 4_000_000
 BROADCAST_ROWS = 200_000
 #: n-grams that this share of about so many documents hold go around the buckets. Which these are changes no result.
 HOT_SHARE, HOT_DOCUMENTS = 0.01, 4096
+#: Sets in no chain that a batch sends for one n-gram, one by one.
+REST = 1000
 NONE = np.int64(2**63 - 1)
 
 _PACKED = "part int, tokens binary, sets binary, counts binary, hot binary, hot_sets binary, hot_counts binary, meta binary, members binary"
@@ -233,25 +236,66 @@ def _chains(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, num: int, den: int) -
     return np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (reach[:-1] * den < lo[1:] * num)])
 
 
+def _chained(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chains, edges, rest) of rows (n-gram, lo, hi, set).
+
+    A set of n n-grams, r of them from a common one on, is similar by way of
+    it to sets of at most u = r (num + den) / num - n n-grams. Two sets are so
+    only if each has at most the u of the other. Where u is at least n, this is
+    that the intervals from n to u overlap; their unions are the chains, with
+    edges to the least set of each. Where u is less (lo is n, hi is u), it is
+    that the interval of the other set holds both numbers; such a row has an
+    edge to the chain that holds both, and is in rest if there is none.
+    """
+    wide = hi >= lo
+    order = np.flatnonzero(wide)[np.lexsort((lo[wide], h[wide]))]
+    g, a, b, w = h[order], lo[order], hi[order], who[order]
+    at = _chains(g, a, b, 1, 1)
+    if not len(at):
+        return np.zeros((0, 4), np.int64), np.zeros((0, 2), np.int64), np.stack([h, lo, hi, who], 1)
+    least = np.minimum.reduceat(w, at)
+    chains = np.stack([g[at], a[at], np.maximum.reduceat(b, at), least], 1)
+    edges = np.stack([np.repeat(least, np.diff(np.r_[at, len(g)])), w], 1)
+    rest = np.flatnonzero(~wide)
+    names, first = np.unique(chains[:, 0], return_index=True)
+    name = np.minimum(np.searchsorted(names, h[rest]), len(names) - 1)
+    known = names[name] == h[rest]
+    code = (np.repeat(np.arange(len(names)), np.diff(np.r_[first, len(chains)])) << 33) + chains[:, 1]
+    place = np.maximum(np.searchsorted(code, (name << 33) + np.maximum(hi[rest], 0), "right") - 1, 0)
+    held = known & (chains[place, 0] == h[rest]) & (chains[place, 1] <= hi[rest]) & (lo[rest] <= chains[place, 2])
+    edges = np.concatenate([edges, np.stack([chains[place[held], 3], who[rest[held]]], 1)])
+    rest = rest[~held]
+    return chains, edges[edges[:, 0] != edges[:, 1]], np.stack([h[rest], lo[rest], hi[rest], who[rest]], 1)
+
+
+def _fewer(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, edges): of n-grams with many rows that no chain holds, one row stays of each pair of numbers, with edges to it. They link more sets than is needed, but none less."""
+    order = np.lexsort((rest[:, 3], rest[:, 2], rest[:, 1], rest[:, 0]))
+    rest = rest[order]
+    many = np.repeat((size := np.diff(_runs(rest[:, 0]))) > REST, size)
+    some = rest[many]
+    new = np.r_[True, (some[1:, :3] != some[:-1, :3]).any(1)][: len(some)]
+    least = some[new, 3][np.cumsum(new) - 1]
+    return np.concatenate([rest[~many], some[new]]), np.stack([least[~new], some[~new, 3]], 1)
+
+
 def _postings(parts: int, num: int, den: int):
-    """The prefix n-grams of sets, packed by bucket of n-gram as (n-gram, least and most size, least set) of each chain of sizes, and edges within chains."""
+    """The prefix n-grams of sets, packed by bucket of n-gram as (n-gram, least and most size, least set) of each chain of sizes and each set in no chain, and edges within chains."""
 
     def run(it):
         for batch in it:
             lead = batch.column("lead").to_numpy()
             sizes = tb.lengths_of(batch.column("tokens"), 8)
             first = np.cumsum(sizes) - sizes
-            h = tb.unpacked(batch.column("tokens"), U64)[np.arange(int(lead.sum())) - np.repeat(np.cumsum(lead) - lead, lead) + np.repeat(first, lead)]
+            at = np.arange(int(lead.sum())) - np.repeat(np.cumsum(lead) - lead, lead)
+            h = tb.unpacked(batch.column("tokens"), U64)[at + np.repeat(first, lead)].view(np.int64)
             who, n = (np.repeat(batch.column(c).to_numpy(), lead) for c in ("node", "n"))
-            order = np.lexsort((n, h))
-            h, who, n = h[order], who[order], n[order]
-            at = _chains(h, n, n, num, den)
-            least = np.minimum.reduceat(who, at) if len(at) else who
-            a = np.repeat(least, np.diff(np.r_[at, len(h)]))
-            edges = np.unique(np.stack([a, who], 1)[a != who], axis=0)
-            chains = np.stack([h[at].view(np.int64), n[at], np.maximum.reduceat(n, at) if len(at) else n, least], 1)
+            most = np.minimum((np.repeat(sizes, lead) - at) * (num + den) // num - n, 2**33 - 1)
+            chains, edges, rest = _chained(h, n, most, who)
+            rest, more = _fewer(rest)
+            chains, edges = np.concatenate([chains, rest]), np.unique(np.concatenate([edges, more]), axis=0)
             columns = [pa.array(np.arange(parts), pa.int32())]
-            for rows, part in ((chains, tb.mix(h[at]) % U64(parts)), (edges, np.ascontiguousarray(edges[:, 1]).view(U64) % U64(parts))):
+            for rows, part in ((chains, tb.mix(np.ascontiguousarray(chains[:, 0]).view(U64)) % U64(parts)), (edges, np.ascontiguousarray(edges[:, 1]).view(U64) % U64(parts))):
                 order = np.argsort(part, kind="stable")
                 columns.append(tb.binary(np.ascontiguousarray(rows[order]).reshape(-1), _bounds(part[order].astype(np.int64), parts) * rows.shape[1]))
             out = pa.RecordBatch.from_arrays(columns, ["part", "chains", "edges"])
@@ -260,17 +304,12 @@ def _postings(parts: int, num: int, den: int):
     return run
 
 
-def _links(num: int, den: int):
+def _links():
     """Edges that join the sets which share a prefix n-gram, by chains of compatible sizes."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, lo, hi, who = tb.unpacked(table.column("chains"), np.int64).reshape(-1, 4).T
-        order = np.lexsort((lo, h))
-        h, lo, hi, who = h[order], lo[order], hi[order], who[order]
-        at = _chains(h, lo, hi, num, den)
-        least = np.repeat(np.minimum.reduceat(who, at), np.diff(np.r_[at, len(h)])) if len(at) else who
-        edges = np.concatenate([np.stack([least, who], 1)[least != who], tb.unpacked(table.column("edges"), np.int64).reshape(-1, 2)])
-        edges = np.unique(edges, axis=0)
+        _, edges, _ = _chained(*tb.unpacked(table.column("chains"), np.int64).reshape(-1, 4).T)
+        edges = np.unique(np.concatenate([edges, tb.unpacked(table.column("edges"), np.int64).reshape(-1, 2)]), axis=0)
         return pa.Table.from_arrays([pa.array(edges[:, 0], pa.int64()), pa.array(edges[:, 1], pa.int64())], ["a", "b"])
 
     return run
@@ -444,7 +483,7 @@ def similar_rows(docs: DataFrame, n: int = N, threshold: Fraction | float = THRE
     sets, members = found.where("n is not null").drop("row"), found.where("n is null").select("node", "doc_id", "row")
     linked = sets.where("lead > 0")
     postings = linked.select("node", "n", "tokens", "lead").mapInArrow(_postings(parts, num, den), "part int, chains binary, edges binary")
-    components = connected_components(by_part(postings, _links(num, den), "a long, b long"))
+    components = connected_components(by_part(postings, _links(), "a long, b long"))
     place = linked.select("node", "shared").join(components, "node")
     large = place.groupBy("component").agg(F.greatest(F.ceil(F.sum("shared") / F.lit(block)), F.ceil(F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("blocks")).where("blocks > 1")
     place = place.join(large, "component", "left").select("node", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))

@@ -6,6 +6,7 @@ from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import ngram_join as nj
@@ -132,3 +133,57 @@ def test_components(spark, limit):
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), limit).collect()
     assert {(r.node, r.component) for r in got} == {(x, root(x)) for x in nodes}
     assert connected_components(spark.createDataFrame([], "a long, b long"), limit).count() == 0
+
+
+def test_links_hold_every_pair_and_few_others():
+    """Rows (n-gram, size, most, set) in two halves, as two map tasks send them: sets that are within each other's bound are linked, others only by way of such or of two wide ones."""
+    r = np.random.default_rng(7)
+    for least in (1, 1000):
+        for _ in range(60):
+            h, n, who = r.integers(0, 3, 24), r.integers(1, 40, 24), r.permutation(24)
+            most = (r.random(24) * 2.5 * n).astype(np.int64) + 1
+            half, sent, edges = r.random(24) < 0.5, [], []
+            for some in (half, ~half):
+                chains, found, rest = nj._chained(h[some], n[some], most[some], who[some])
+                if least == 1:
+                    rest = rest[np.lexsort(rest.T[::-1])]
+                sent += [chains, rest]
+                edges.append(found)
+            edges = [*np.concatenate(edges), *nj._chained(*np.concatenate(sent).T)[1]]
+            up = np.arange(24)
+            for a, b in edges:
+                up[up == up[a]] = up[b]
+            for i, j in combinations(range(24), 2):
+                if h[i] == h[j] and n[i] <= most[j] and n[j] <= most[i]:
+                    assert up[who[i]] == up[who[j]]
+            for a, b in edges:
+                i, j = (int(np.flatnonzero(who == x)[0]) for x in (a, b))
+                assert h[i] == h[j] and (most[i] >= n[i] or most[j] >= n[j])
+
+
+def test_equal_rows_that_no_chain_holds_go_together_beyond_rest():
+    rest = np.array([(5, 9, 4, i) for i in range(2 * nj.REST)] + [(6, 9, 4, 7), (6, 9, 4, 8)])
+    rows, edges = nj._fewer(rest)
+    assert sorted(map(tuple, rows.tolist())) == [(5, 9, 4, 0), (6, 9, 4, 7), (6, 9, 4, 8)]
+    assert sorted(map(tuple, edges.tolist())) == [(0, i) for i in range(1, 2 * nj.REST)]
+    assert nj._fewer(rest[:0])[0].shape == (0, 4)
+
+
+def packed_sets(sets, lead):
+    """Sets of n-grams in the global order as _postings reads them."""
+    tokens = pa.array([np.array(s, np.uint64).tobytes() for s in sets], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([lead] * len(sets), pa.int32()), tokens], ["node", "n", "lead", "tokens"])
+
+
+def linked(sets, lead):
+    found = list(nj._postings(1, 2, 5)(iter([packed_sets(sets, lead)])))
+    table = nj._links(*(2, 5)[: nj._links.__code__.co_argcount])(pa.Table.from_batches(found))
+    return sorted(zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True))
+
+
+def test_sets_that_share_too_few_ngrams_from_their_first_common_one_on_are_not_linked():
+    """Two sets of 10 with Jaccard 0.4 share 6 n-grams: if the first common one is the sixth of either, 5 are left at most."""
+    late = [[*range(100 * i, 100 * i + 5), 900, *range(100 * i + 10, 100 * i + 14)] for i in range(3)]
+    assert linked(late, 7) == []
+    early = [[*range(100 * i, 100 * i + 4), 900, *range(100 * i + 10, 100 * i + 15)] for i in range(3)]
+    assert linked(early, 7) == [(0, 1), (0, 2)]
