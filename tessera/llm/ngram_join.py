@@ -36,9 +36,11 @@ from tessera.llm.shared import fresh, row_key, written
 
 U64 = np.uint64
 N, THRESHOLD = 4, Fraction(2, 5)
+#: n-grams of a bucket that are sorted at a time, or a sixty-fourth of them if that is more.
+SLICE = 250_000
 #: n-grams gathered by a map task before it writes them out; n-grams, and sets, of one side of a block of a large component; n-grams of a bundle of small ones.
-GATHER, BLOCK, BLOCK_SETS, BUNDLE = 1_000_000, 250_000, 1000, 250_000
-#: Bytes of text of which a bucket holds the n-grams; a task needs about twelve times as much memory. Buckets are smaller, down to the second figure, where cores would be idle.
+GATHER, BLOCK, BLOCK_SETS, BUNDLE = 500_000, 250_000, 1000, 250_000
+#: Bytes of text of which a bucket holds the n-grams; a task needs about five times as much memory for them. Buckets are smaller, down to the second figure, where cores would be idle.
 BUCKET_BYTES, LEAST_BUCKET_BYTES = 20_000_000, 4_000_000
 #: Rows that are sent to all tasks, 40 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -154,6 +156,19 @@ def _pack(n: int, parts: int, hot):
     return run
 
 
+def _of_several(h: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, sets, number of sets) of the n-grams that more than one set has, ordered by n-gram, then set."""
+    order = np.lexsort((sets, h))
+    h, sets = h[order], sets[order]
+    if len(h):
+        keep = np.r_[True, (h[1:] != h[:-1]) | (sets[1:] != sets[:-1])]
+        h, sets = h[keep], sets[keep]
+    at = _runs(h)
+    df = np.repeat(np.diff(at), np.diff(at))
+    keep = df > 1
+    return h[keep], sets[keep], df[keep]
+
+
 def _shared(parts: int):
     """Of one bucket's n-grams, those that more than one set has, sent on to the bucket of each set."""
     names = ["part", "origin", "tokens", "sets", "counts", "df", "meta", "members"]
@@ -162,15 +177,11 @@ def _shared(parts: int):
         part = table.column("part")[0].as_py()
         h = _from_five_bytes(tb.unpacked(table.column("tokens"), np.uint8))
         sets = np.repeat(tb.unpacked(table.column("sets"), U64), tb.unpacked(table.column("counts"), np.uint16))
-        order = np.lexsort((sets, h))
-        h, sets = h[order], sets[order]
-        if len(h):
-            keep = np.r_[True, (h[1:] != h[:-1]) | (sets[1:] != sets[:-1])]
-            h, sets = h[keep], sets[keep]
-        at = _runs(h)
-        df = np.repeat(np.diff(at), np.diff(at))
-        keep = df > 1
-        h, sets, df = h[keep], sets[keep], df[keep]
+        bits = min(6, (len(h) // SLICE).bit_length())
+        slice_of = (h >> U64(40 - bits)).astype(np.uint32)
+        found = [_of_several(h[some], sets[some]) for some in (slice_of == k for k in range(1 << bits))]
+        del h, sets, slice_of
+        h, sets, df = map(np.concatenate, zip(*found, strict=True))
         home = (sets % U64(parts)).astype(np.int64)
         order = np.lexsort((sets, home))
         h, sets, df, home = h[order], sets[order], df[order], home[order]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from fractions import Fraction
 from itertools import combinations
 
@@ -187,3 +188,28 @@ def test_sets_that_share_too_few_ngrams_from_their_first_common_one_on_are_not_l
     assert linked(late, 7) == []
     early = [[*range(100 * i, 100 * i + 4), 900, *range(100 * i + 10, 100 * i + 15)] for i in range(3)]
     assert linked(early, 7) == [(0, 1), (0, 2)]
+
+
+def bucket(sets, each, own):
+    """What a bucket gets: so many sets of `each` n-grams, of which `own` are in one set alone."""
+    r = np.random.default_rng(1)
+    common = r.integers(0, 2**40, each - own).astype(np.uint64)
+    h = np.concatenate([np.r_[r.integers(0, 2**40, own).astype(np.uint64), common] for _ in range(sets)])
+    packed = [nj._five_bytes(h), np.arange(sets, dtype=np.uint64), np.full(sets, each, np.uint16)]
+    return pa.table({"part": pa.array([0], pa.int32())} | {c: pa.array([packed.pop(0).tobytes() if packed else b""], pa.binary()) for c in ("tokens", "sets", "counts", "hot", "hot_sets", "hot_counts", "meta", "members")})
+
+
+def test_a_bucket_takes_few_bytes_an_ngram():
+    table = bucket(1000, 1000, 950)
+    tracemalloc.start()
+    nj._shared(4)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 1_000_000
+
+
+def test_slices_change_no_row(monkeypatch):
+    table = bucket(50, 100, 60)
+    whole = nj._shared(4)(table)
+    monkeypatch.setattr(nj, "SLICE", 100)
+    assert nj._shared(4)(table).equals(whole) and whole.num_rows == 5
