@@ -42,8 +42,8 @@ SLICE = 250_000
 GATHER, BLOCK, BLOCK_SETS, BUNDLE = 500_000, 250_000, 1000, 250_000
 #: Bytes of text of which a bucket holds the n-grams; a task needs about five times as much memory for them. Buckets are smaller, down to the second figure, where cores would be idle.
 BUCKET_BYTES, LEAST_BUCKET_BYTES = 20_000_000, 4_000_000
-#: Rows that are sent to all tasks, 40 bytes each; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows that are sent to all tasks by way of the driver, about 150 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: n-grams that this share of about so many documents hold go around the buckets. Which these are changes no result.
 HOT_SHARE, HOT_DOCUMENTS = 0.01, 4096
 #: Sets in no chain that a batch sends for one n-gram, one by one.

@@ -23,8 +23,8 @@ from tessera.llm.shared import fresh, row_key, written
 
 WIDTH, RUN = 50, 20
 RUNS = WIDTH - RUN + 1
-#: Numbers in a table up to which it is sent to all tasks; a larger one is joined by a shuffle.
-BROADCAST_ITEMS = 1_000_000
+#: Numbers in a table, of 8 bytes each, up to which it is sent to all tasks by way of the driver, where a row takes as much as ROW_ITEMS; a larger one is joined by a shuffle.
+BROADCAST_ITEMS, ROW_ITEMS = 2_000_000, 19
 A_WORD = r"[0-9A-Za-z_\x{80}-\x{10FFFF}]"
 
 
@@ -105,7 +105,7 @@ def _cut(text: pd.Series, places: pd.Series) -> pd.DataFrame:
 
 def _small(df: DataFrame, items: str) -> DataFrame:
     df = written(df, "passages")
-    return F.broadcast(df) if (df.agg(F.sum(F.size(items))).first()[0] or 0) <= BROADCAST_ITEMS else df
+    return F.broadcast(df) if (df.agg(F.sum(ROW_ITEMS + F.size(items))).first()[0] or 0) <= BROADCAST_ITEMS else df
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import ngram_join as nj
+from tessera.llm import passages as ps
 from tessera.llm.components import connected_components
 
 
@@ -213,3 +214,12 @@ def test_slices_change_no_row(monkeypatch):
     whole = nj._shared(4)(table)
     monkeypatch.setattr(nj, "SLICE", 100)
     assert nj._shared(4)(table).equals(whole) and whole.num_rows == 5
+
+
+def test_what_the_driver_sends_to_all_tasks_is_bounded_by_bytes(spark):
+    """Rows of few numbers take 150 bytes each there."""
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    for n, small in ((50_000, True), (150_000, False)):
+        assert hinted(nj._sent(spark.range(n))) is small
+        assert hinted(ps._small(spark.range(n).selectExpr("id AS row", "array(id) AS again"), "again")) is small
+    assert not hinted(ps._small(spark.range(3).selectExpr("id AS row", "sequence(1, 1000000) AS again"), "again"))
