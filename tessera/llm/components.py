@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import textbytes as tb
 from tessera.llm.shared import parts_of, written
 
 #: Edges that one task takes at a time, about 200 bytes each.
@@ -40,7 +41,7 @@ def _forest(it):
 def _contracted(edges: DataFrame, parts: int | None = None) -> DataFrame:
     if parts:
         edges = edges.coalesce(parts)
-    return edges.mapInArrow(_forest, "a long, b long")
+    return edges.mapInArrow(tb.trimmed(_forest), "a long, b long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: Fraction | float =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     found = None
     for items in _passes(benchmark, pass_bytes):
-        one = texts.mapInArrow(_searched(items, rate), "doc_id long, item_id long, distance int, item_bytes int")
+        one = texts.mapInArrow(tb.trimmed(_searched(items, rate)), "doc_id long, item_id long, distance int, item_bytes int")
         found = one if found is None else found.union(one)
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("item_bytes").alias("item_bytes"))
 
@@ -197,7 +197,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: Fraction | float
     """
     rate = Fraction(rate).limit_denominator(1000)
     for items in _passes(benchmark, pass_bytes):
-        docs = docs.mapInArrow(_without(items, rate), docs.schema)
+        docs = docs.mapInArrow(tb.trimmed(_without(items, rate)), docs.schema)
     return docs
 
 

@@ -468,7 +468,7 @@ def _hot(rows: DataFrame, n: int, count: int, share: float) -> np.ndarray:
             for part in tb.chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(_grams_of(part, n)[0].view(np.int64))], ["h"])
 
-    often = rows.select("text").mapInArrow(grams, "h long").groupBy("h").count().where(F.col("count") >= max(2, share * min(count, HOT_DOCUMENTS)))
+    often = rows.select("text").mapInArrow(tb.trimmed(grams), "h long").groupBy("h").count().where(F.col("count") >= max(2, share * min(count, HOT_DOCUMENTS)))
     return np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(U64))
 
 
@@ -487,13 +487,13 @@ def similar_rows(docs: DataFrame, n: int = N, threshold: Fraction | float = THRE
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), F.lower("text").alias("text")).where("text is not null")
     total, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     parts = min(2**24 - 2, max(1, math.ceil(total / bucket_bytes), min(spark.sparkContext.defaultParallelism, math.ceil(total / LEAST_BUCKET_BYTES))))
-    by_part = lambda df, run, schema: df.repartitionById(parts, F.col("part")).mapInArrow(_whole(run), schema)
+    by_part = lambda df, run, schema: df.repartitionById(parts, F.col("part")).mapInArrow(tb.trimmed(_whole(run)), schema)
     hot = spark.sparkContext.broadcast(_hot(rows, n, count, hot_share))
-    shared = by_part(rows.mapInArrow(_pack(n, parts, hot), _PACKED), _shared(parts), _SHARED)
+    shared = by_part(rows.mapInArrow(tb.trimmed(_pack(n, parts, hot)), _PACKED), _shared(parts), _SHARED)
     found = written(by_part(shared, _collected(num, den), _SETS), "ngram-sets")
     sets, members = found.where("n is not null").drop("row"), found.where("n is null").select("node", "doc_id", "row")
     linked = sets.where("lead > 0")
-    postings = linked.select("node", "n", "tokens", "lead").mapInArrow(_postings(parts, num, den), "part int, chains binary, edges binary")
+    postings = linked.select("node", "n", "tokens", "lead").mapInArrow(tb.trimmed(_postings(parts, num, den)), "part int, chains binary, edges binary")
     components = connected_components(by_part(postings, _links(), "a long, b long"))
     place = linked.select("node", "shared").join(components, "node")
     large = place.groupBy("component").agg(F.greatest(F.ceil(F.sum("shared") / F.lit(block)), F.ceil(F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("blocks")).where("blocks > 1")
@@ -511,7 +511,7 @@ def similar_rows(docs: DataFrame, n: int = N, threshold: Fraction | float = THRE
         "ngram-places",
     )
     placed = linked.select("node", "n", "members", "tokens", "df").join(_sent(place), "node")
-    links = written(placed.groupBy("bundle", "i", "j").applyInArrow(_joined(num, den), "node long, root long, links long"), "ngram-links")
+    links = written(placed.groupBy("bundle", "i", "j").applyInArrow(tb.trimmed_group(_joined(num, den)), "node long, root long, links long"), "ngram-links")
     classes = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     each = sets.select("node", "doc_id", "members").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").where("links is not null or members > 1")
     each = each.join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "doc_id", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("links"))

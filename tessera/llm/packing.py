@@ -92,12 +92,12 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, seed:
     """
     groups = max(1, -(-docs.count() // group))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), "text")
-    sizes = rows.mapInArrow(_sizes, "doc_id long, row long, size long").where("size > 0").groupBy("doc_id", "row", "size").agg(F.count("*").alias("n"))
+    sizes = rows.mapInArrow(tb.trimmed(_sizes), "doc_id long, row long, size long").where("size > 0").groupBy("doc_id", "row", "size").agg(F.count("*").alias("n"))
     lot = max(1, group // 16)
     lots = sizes.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / lot))))
     lots = lots.withColumn("times", F.least(F.lit(lot), F.col("n") - F.col("lot") * lot))
     keyed = lots.select("doc_id", "size", "times", F.pmod(F.xxhash64("doc_id", "row", "lot", F.lit(seed)), F.lit(groups)).alias("pack"))
-    return keyed.groupBy("pack").applyInArrow(_packed(capacity), "pack long, bin long, doc_ids array<long>, starts array<long>, sizes array<long>, used long, capacity long")
+    return keyed.groupBy("pack").applyInArrow(tb.trimmed_group(_packed(capacity)), "pack long, bin long, doc_ids array<long>, starts array<long>, sizes array<long>, used long, capacity long")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

@@ -111,11 +111,11 @@ def _small(df: DataFrame, items: str) -> DataFrame:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, row, places): the words of each row, by number, at which later occurrences of windows begin."""
     rows = docs.where("text is not null").select("doc_id", row_key("doc_id", "text").alias("row"), "text")
-    prints = rows.select("row", "text").mapInArrow(_fingerprints, "h long, row long, times long")
+    prints = rows.select("row", "text").mapInArrow(tb.trimmed(_fingerprints), "h long, row long, times long")
     again = prints.groupBy("h").agg(F.sum("times").alias("times"), F.collect_set("row").alias("rows")).where("times > 1")
     again = again.select("h", F.explode("rows").alias("row")).groupBy("row").agg(F.collect_set("h").alias("again"))
     windows = rows.join(_small(again, "again"), "row").select("doc_id", "row", "text", "again")
-    windows = written(windows.mapInArrow(_windows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, k int, h1 long, h2 long"), "passage-windows")
+    windows = written(windows.mapInArrow(tb.trimmed(_windows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, k int, h1 long, h2 long"), "passage-windows")
     at = F.struct("doc_id", "row", "k")
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(at).alias("first")).where("times > 1").select("h1", "h2", "first")
     later = windows.join(first, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))

@@ -20,6 +20,8 @@ U64 = np.uint64
 BITS = 17
 #: Labelled rows of each class that the model is fitted on, at most; a fourth of them calibrates it.
 SAMPLE = 1500
+#: Bytes of text that are scored at a time; each takes about a hundred bytes of memory.
+PIECE_BYTES = 500_000
 #: Below the first a text is rejected, from the second on accepted; between them it is borderline and stays.
 REJECT, ACCEPT = 0.2, 0.8
 
@@ -69,7 +71,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.scores(data, offsets) + self.shift, -30, 30)))
 
 
-def _pieces(texts: list[str], most: int = 500_000):
+def _pieces(texts: list[str], most: int = PIECE_BYTES):
     """(first text, bytes, offsets) of runs of texts, a little at a time, for the driver's sake."""
     at = 0
     for part in tb.chunks(pa.record_batch({"text": pa.array(texts, pa.large_string())}), "text", most):
@@ -144,7 +146,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
 def _scored(model):
     def run(it):
         for batch in it:
-            for part in tb.chunks(batch, "text"):
+            for part in tb.chunks(batch, "text", PIECE_BYTES):
                 data, offsets = tb.text_bytes(part.column("text"))
                 p = model.value.probabilities(data, offsets)
                 words = np.diff(offsets) > 0
@@ -170,7 +172,7 @@ def scored(docs: DataFrame, labels: DataFrame, reject: float = REJECT, accept: f
     if model is None:
         return rows.select("doc_id", F.lit(None).cast("double").alias("p_good"), F.lit("unscored").alias("verdict"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    found = rows.mapInArrow(_scored(shared), "doc_id long, p_good double")
+    found = rows.mapInArrow(tb.trimmed(_scored(shared)), "doc_id long, p_good double")
     verdict = F.when(F.col("p_good").isNull() | (F.col("p_good") < reject), "reject").when(F.col("p_good") >= accept, "accept").otherwise("borderline")
     return found.withColumn("verdict", verdict)
 
@@ -178,7 +180,7 @@ def scored(docs: DataFrame, labels: DataFrame, reject: float = REJECT, accept: f
 def _filtered(model, reject: float):
     def run(it):
         for batch in it:
-            for part in tb.chunks(batch, "text"):
+            for part in tb.chunks(batch, "text", PIECE_BYTES):
                 data, offsets = tb.text_bytes(part.column("text"))
                 keep = (model.value.probabilities(data, offsets) >= reject) & (np.diff(offsets) > 0)
                 yield part.filter(pa.array(keep))
@@ -192,7 +194,7 @@ def not_rejected(docs: DataFrame, labels: DataFrame, reject: float = REJECT, sam
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_filtered(shared, reject), docs.schema)
+    return docs.mapInArrow(tb.trimmed(_filtered(shared, reject)), docs.schema)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,8 @@ def least_hashed(rows: DataFrame, group: str, n: int) -> DataFrame:
     One count by group tells below which hash about 4 n + 64 rows lie, so that
     no partition sends more than its few of these, at any size of the input.
     Where fewer than n are there, for doc_ids that repeat, all rows of that
-    group are looked at.
+    group are looked at. The rows are sent by Arrow: a list of tuples would start
+    Python workers of their own on each executor, which stay beside the others.
     """
     spark = rows.sparkSession
     rows = rows.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), group)
@@ -91,7 +93,7 @@ def least_hashed(rows: DataFrame, group: str, n: int) -> DataFrame:
         if len(found[value]) < min(n, count):
             found[value] = [(r["_h"], r.doc_id) for r in rows.where(F.col(group) == value).withColumn("_h", h).distinct().orderBy("_h").limit(n).collect()]
     chosen = [(i, value) for value, got in found.items() for _, i in sorted(got)[:n]]
-    return spark.createDataFrame(chosen, rows.schema)
+    return spark.createDataFrame(pa.table({"doc_id": [i for i, _ in chosen], group: [value for _, value in chosen]}), rows.schema)
 
 
 def fresh(columns: list[str], name: str) -> str:

@@ -8,7 +8,9 @@ a non-ASCII character counts as a letter.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,40 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         at = end
 
 
+@cache
+def _malloc_trim():
+    """The function of glibc, None where the C library is another."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which both Arrow and the C library keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim():
+        _malloc_trim()(0)
+
+
+def trimmed(run):
+    """run, a function for mapInArrow, that gives back memory at its end: Spark keeps several idle workers beside each one that works."""
+
+    def over(it):
+        yield from run(it)
+        give_back()
+
+    return over
+
+
+def trimmed_group(run):
+    """The like of trimmed for applyInArrow, after each group."""
+
+    def over(table):
+        found = run(table)
+        give_back()
+        return found
+
+    return over
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text) of every word, in order; end is exclusive. A word doesn't reach over the end of its text."""
     if len(data) == 0:

@@ -55,6 +55,14 @@ def test_least_hashed(spark):
     assert [r.doc_id for r in got if r.g == 5] == [7]
 
 
+def test_least_hashed_starts_no_python_worker(spark):
+    named = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(300)], "doc_id long, lang string").localCheckpoint()
+    for df, n in ((named, 20), (named, 0), (named.limit(0), 20)):
+        got = least_hashed(df, "lang", n)
+        assert got.schema["lang"].dataType.simpleString() == "string" and got.count() == (n * 2 if df is named else 0)
+        assert "PythonRDD" not in got._jdf.queryExecution().toRdd().toDebugString()
+
+
 # token store
 
 

@@ -2,8 +2,11 @@
 
 import math
 import random
+import re
 import time
+import tracemalloc
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +123,37 @@ def test_scores_are_those_of_single_texts():
     assert np.allclose(together, alone, atol=1e-5)
 
 
+def filtered_rows(more=lambda run: run):
+    """Rows that a model of the quality rules keeps of two batches of 5 MB."""
+    r = np.random.default_rng(1)
+    text = r.choice(np.frombuffer(b"abcdefgh    .\n", np.uint8), 5_000_000).tobytes().decode()
+    batch = pa.record_batch({"text": pa.array([text[i : i + 2500] for i in range(0, len(text), 2500)])})
+
+    class Sent:
+        value = qr.Model(r.normal(size=(3, 1 << qr.BITS)).astype(np.float32), 0.1)
+
+    return sum(out.num_rows for out in more(qr._filtered(Sent, 0.2))(iter([batch, batch])))
+
+
+def test_quality_rules_take_little_memory_at_a_time():
+    filtered_rows()
+    tracemalloc.start()
+    assert filtered_rows() > 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70_000_000
+
+
+def test_memory_is_given_back_at_the_end():
+    anonymous = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1])
+    filtered_rows()
+    tb.give_back()
+    before = anonymous()
+    filtered_rows(tb.trimmed)
+    assert anonymous() - before < 15_000
+    assert tb.trimmed_group(lambda table: table)(7) == 7
+
+
 def test_gam_held_out_and_odd(spark):
     rows = labelled(3)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
