@@ -18,6 +18,9 @@ from tessera.functions.values import canonical_json, haversine_m
 from tessera.operators.components import components
 
 AUTO = 0.90
+#: Ids of one point that are held in a row; two such rows give up to the square of it as pairs.
+BLOCK = 1000
+_HELD = ("lat", "lon", "several", "block", "ids")
 
 
 @dataclass(frozen=True)
@@ -78,25 +81,41 @@ def _equal_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _near_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs within the radius: cells as wide as the radius, each point with the cells around it.
+    """All pairs within the radius, each once: cells as wide as the radius, each point with the cells around it.
 
     A degree of longitude shrinks with latitude, so points are put into bands
     of latitude cells, and columns are as wide as the widest need of the band
     and its neighbours. Columns go round: the first and the last are neighbours.
+
+    Distances are those of points, whatever number of ids is at one. The ids of
+    a point are held in blocks of about BLOCK, and pairs of blocks are spread
+    over all tasks before they are written out as pairs of ids. Only ids that
+    are at several points can give a pair twice.
     """
     deg = math.degrees(rule.radius_m / 6_371_000.0) * 1.0001
     lat, lon = (F.col(f).cast("double") for f in rule.fields)
-    at = rows.select("id", lat.alias("lat"), lon.alias("lon")).where("lat is not null and lon is not null and abs(lat) <= 90")
+    at = rows.select("id", lat.alias("lat"), lon.alias("lon")).where("id is not null and lat is not null and lon is not null and abs(lat) <= 90")
+    at = at.groupBy("id").agg(F.collect_set(F.struct("lat", "lon")).alias("at")).select("id", F.explode("at").alias("at"), (F.size("at") > 1).alias("several")).select("id", "at.lat", "at.lon", "several")
+    count = at.groupBy("lat", "lon").agg(F.count("*").alias("n"))
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(BLOCK))).alias("block")
+    at = at.join(count, ["lat", "lon"]).groupBy("lat", "lon", "several", block).agg(F.collect_list("id").alias("ids"))
     at = at.withColumn("y", F.floor(F.col("lat") / deg).cast("long"))
     mine = at.withColumn("band", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)))
     width = F.lit(deg) / F.greatest(F.lit(1e-3), F.cos(F.radians(F.least(F.lit(89.9), F.abs((F.col("band") + F.when(F.col("band") >= 0, 2).otherwise(-1)) * F.lit(deg))))))
     around = F.greatest(F.lit(1), F.floor(F.lit(360.0) / width).cast("long"))  # whole columns in a circle; the last is wider than the others
     wrap = lambda x: F.pmod(x, around)
     mine = mine.withColumn("around", around).withColumn("x", F.least(F.floor(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) / width).cast("long"), around - 1))
-    left = mine.where("band = y").select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "band", F.explode(F.array_distinct(F.array(wrap(F.col("x") - 1), F.col("x"), wrap(F.col("x") + 1)))).alias("x"))
-    right = mine.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "band", "x")
-    near = left.join(right, ["band", "x"]).where((F.col("a") != F.col("b")) & (haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= rule.radius_m))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = mine.where("band = y").select(*[F.col(c).alias(f"{c}1") for c in _HELD], "band", F.explode(F.array_distinct(F.array(wrap(F.col("x") - 1), F.col("x"), wrap(F.col("x") + 1)))).alias("x"))
+    right = mine.select(*[F.col(c).alias(f"{c}2") for c in _HELD], "band", "x")
+    place = lambda k: F.struct(*[F.col(f"{c}{k}") for c in _HELD[:4]])
+    near = left.join(right, ["band", "x"]).where((place(1) <= place(2)) & (haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= rule.radius_m))
+    near = near.select(*[F.col(f"{c}{k}") for k in (1, 2) for c in _HELD], (place(1) == place(2)).alias("same"), (F.col("several1") | F.col("several2")).alias("again"))
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 4 * spark.sparkContext.defaultParallelism)
+    near = near.repartition(tasks, *[F.col(f"{c}{k}") for k in (1, 2) for c in _HELD[:4]])
+    pairs = near.select("same", "again", "ids2", F.explode("ids1").alias("i")).select("same", "again", "i", F.explode("ids2").alias("j")).where("case when same then i < j else i <> j end")
+    pairs = pairs.select("again", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    return pairs.where("not again").select("a", "b").unionAll(pairs.where("again").select("a", "b").distinct())
 
 
 def candidate_pairs(rows: DataFrame, rules: tuple[Rule, ...], threshold: float = 0.0) -> DataFrame:
@@ -106,15 +125,16 @@ def candidate_pairs(rows: DataFrame, rules: tuple[Rule, ...], threshold: float =
     rules give all their pairs. At equal confidence the rule first by name
     counts. Rules on columns that rows lack don't fire.
     """
+    fit = [r for r in rules if r.confidence >= threshold and all(f in rows.columns for f in r.fields)]
     out = None
-    for r in rules:
-        if r.confidence < threshold or any(f not in rows.columns for f in r.fields):
-            continue
+    for r in fit:
         pairs = _near_pairs(rows, r) if r.shape == "geo_radius_meters" else _equal_pairs(rows, r)
         pairs = pairs.select("a", "b", F.lit(r.name).alias("rule"), F.lit(r.confidence).alias("confidence"), F.lit(r.review).alias("review"))
         out = pairs if out is None else out.union(pairs)
     if out is None:
         raise ValueError("no rule applies to these columns")
+    if len(fit) == 1 and fit[0].shape == "geo_radius_meters":  # each pair is there once
+        return out.select("a", "b", "rule", "confidence", "review")
     best = F.min(F.struct((-F.col("confidence")).alias("c"), "rule", "confidence", "review"))
     return out.groupBy("a", "b").agg(best.alias("s")).select("a", "b", "s.rule", "s.confidence", "s.review")
 

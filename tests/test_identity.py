@@ -41,6 +41,18 @@ def test_places_round_the_globe(spark):
     assert any(points[a][1] * points[b][1] < -30_000 for a, b in got if b < 900)
 
 
+def test_places_of_many_ids(spark, monkeypatch):
+    monkeypatch.setattr(coalesce, "BLOCK", 3, raising=False)
+    r = random.Random(8)
+    points = [(40 + k * 0.0004, -75.0) for k in range(6)]
+    rows = [(i, *r.choice(points)) for i in range(60)] + [(i, *p) for i in (3, 70, 71) for p in points[:3] + points[:1]]
+    near = coalesce.candidate_pairs(spark.createDataFrame(rows, "id long, lat double, lon double"), coalesce.PLACES[:1])
+    want = sorted({(min(a[0], b[0]), max(a[0], b[0])) for a, b in combinations(rows, 2) if a[0] != b[0] and metres(a[1:], b[1:]) <= 100})
+    assert sorted((x.a, x.b) for x in near.collect()) == want
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Generate")]  # pairs of ids aren't gathered again
+
+
 def test_reviews_and_log(spark):
     people = spark.createDataFrame([(1, "Ann", "555"), (2, "ann", "555"), (3, "Bo", None)], "id long, full_name string, phone string")
     merges = spark.createDataFrame([(2, 1, "phone_e164", 0.95, "auto"), (3, 1, "same_full_name", 0.5, "review"), (4, 1, "discord_handle", 0.85, "review")], "id long, survivor long, rule string, confidence double, decision string")
