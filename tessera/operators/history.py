@@ -62,16 +62,51 @@ def with_authorship(revisions: DataFrame, commits: DataFrame, repos: DataFrame)
     return rows.withColumn("authorship", F.coalesce("_c", "_r", F.lit("ai-coauthored"))).drop("_c", "_r")
 
 
+def _range(begin: int, n: int) -> str:
+    """A range of lines as difflib writes it."""
+    return f"{begin + 1}" if n == 1 else f"{begin + (n > 0)},{n}"
+
+
+def diff_of(before: str | None, after: str | None) -> str:
+    """The unified difference of two texts, as difflib gives it.
+
+    Where one run of lines is replaced, the lines in it occur on its side alone
+    and those around it are all distinct, they can be matched in one way only,
+    and nothing is searched.
+    """
+    if before == after:
+        return ""
+    a, b = before.splitlines() if before else [], after.splitlines() if after else []
+    if a == b:
+        return ""
+    n, m = len(a), len(b)
+    most, i = min(n, m), 0
+    while i < most and a[i] == b[i]:
+        i += 1
+    k = 0
+    while k < most - i and a[n - 1 - k] == b[m - 1 - k]:
+        k += 1
+    out, new = a[i : n - k], b[i : m - k]
+    around = a[:i] + a[n - k :]
+    if len({*around}) < len(around) or not {*out}.isdisjoint(b) or not {*new}.isdisjoint(a):
+        return "\n".join(difflib.unified_diff(a, b, "before", "after", lineterm=""))
+    lo, end = max(0, i - 3), min(k, 3)
+    head = f"@@ -{_range(lo, n - k + end - lo)} +{_range(lo, m - k + end - lo)} @@"
+    return "\n".join(["--- before", "+++ after", head, *[" " + x for x in a[lo:i]], *["-" + x for x in out], *["+" + x for x in new], *[" " + x for x in a[n - k : n - k + end]]])
+
+
 @F.pandas_udf(T.StringType())
 def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    lines = lambda t: [] if t is None else t.splitlines()
-    return pd.Series(["\n".join(difflib.unified_diff(lines(a), lines(b), "before", "after", lineterm="")) for a, b in zip(before, after, strict=True)])
+    return pd.Series([diff_of(a, b) for a, b in zip(before, after, strict=True)], dtype=object)
 
 
 def diffs(revisions: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Each revision's difference from the one before it of the same path; blobs(commit_sha, file_path, body)."""
+    """Each revision's difference from the one before it of the same path; blobs(commit_sha, file_path, body).
+
+    Join and order both take place where the path's hash puts the revisions; blobs that are partitioned by file_path aren't moved again.
+    """
     w = Window.partitionBy("repo", "file_path").orderBy("captured_at", "commit_sha")
-    rows = revisions.join(blobs, ["commit_sha", "file_path"], "left").withColumn("_before", F.lag("body").over(w))
+    rows = revisions.repartition("file_path").join(blobs, ["commit_sha", "file_path"], "left").withColumn("_before", F.lag("body").over(w))
     return rows.select("repo", "file_path", "commit_sha", "captured_at", unified_diff("_before", "body").alias("diff"))
 
 

@@ -186,7 +186,7 @@ QUERIES = {
     "l03_audit": lambda s, p: history.audit(d.revisions(s, p), _dissolutions(s, p), _materializations(s, p)),
     "v01_classified": lambda s, p: history.classified(d.revisions(s, p), _dissolutions(s, p)).groupBy(F.coalesce("deletion", F.lit("none")).alias("deletion")).agg(F.count("*").alias("n")),
     "r02_triple_deltas": lambda s, p: _deltas(_state_rows(s, p)),
-    "r01_diffs": lambda s, p: history.diffs(d.revisions(s, p), d.revisions(s, p).select("commit_sha", "file_path", F.concat_ws("\n", "change_type", "captured_at").alias("body")).dropDuplicates(["commit_sha", "file_path"])),
+    "r01_diffs": lambda s, p: history.diffs(d.revisions(s, p), d.revisions(s, p).select("commit_sha", "file_path", F.concat_ws("\n", "change_type", "captured_at").alias("body")).repartition("file_path").dropDuplicates(["commit_sha", "file_path"])),
     "k01_readiness": lambda s, p: skills.readiness(_disciplines(s, p), _practice(s, p), AS_OF),
     "k04_frontier": _frontier,
     "k05_ranked_actions": lambda s, p: skills.ranked_actions(_frontier(s, p), _actions(s, p)).select("label", "reason", "action", "score", "place"),

@@ -356,3 +356,21 @@ def test_embedding(spark):
     first = embed.limited([rows.where("source_table = 'emails'"), rows.where("source_table <> 'emails'")], 2)
     assert [(r.source_table, r.id) for r in first.collect()] == [("emails", 1), ("emails", 2)]
 
+
+def test_diffs_are_those_of_difflib(monkeypatch):
+    import difflib
+    import random
+
+    r, searched, real = random.Random(5), [], difflib.unified_diff
+    whole = lambda a, b: "\n".join(real((a or "").splitlines(), (b or "").splitlines(), "before", "after", lineterm=""))
+    texts = [None, "", "x", "x\n", "x\n\ny", "\n", "x\r\ny"] + ["\n".join(r.choice("abcdefghijkl"[: r.choice((2, 4, 12))]) for _ in range(r.randint(0, 6))) for _ in range(120)]
+    lines = [f"line {i}" for i in range(400)]
+    for _ in range(60):
+        i, k = sorted(r.sample(range(400), 2))
+        texts.append("\n".join(lines[:i] + [f"new {r.random()}"] * r.randint(0, 3) + lines[k:]))
+    for a in texts:
+        for b in r.sample(texts, 25):
+            assert history.diff_of(a, b) == whole(a, b), (a, b)
+    monkeypatch.setattr(history.difflib, "unified_diff", lambda *a, **k: searched.append(a) or real(*a, **k))
+    history.diff_of("modify\n1995-01-01", "modify\n1996-01-01"), history.diff_of(None, "add\n1995"), history.diff_of("add\n1", "delete\n2")
+    assert not searched  # lines that can be matched in one way only aren't searched for

@@ -24,6 +24,11 @@ def test_diffs_and_deltas_of_all_revisions(spark):
     assert sorted((r.file_path, r.commit_sha, r.added, r.removed) for r in entry.queries()["r02_triple_deltas"](spark, SF).collect()) == sorted(deltas)
 
 
+def test_diffs_move_each_row_once(spark):
+    plan = entry.queries()["r01_diffs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_components_of_all_orders(spark):
     parent = {}
 
