@@ -6,11 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import chunked, tag_list
+from tessera.functions.text import chunked, give_back, tag_list
 
 LEAST = 50
 
@@ -84,9 +84,9 @@ def query_vector(spark, provider: Provider, query: str) -> DataFrame:
 
 
 def embedded(chunks: DataFrame, provider: Provider, batch: int = 32, retries: int = 5, backoff: float = 0.0) -> DataFrame:
-    """(id, embedding, error) of chunks, in batches. A batch that keeps failing is tried text by text; a text that fails then has no embedding and what was raised. Between attempts it waits backoff seconds, twice as long each time."""
+    """(id, embedding, error) of chunks, in batches. A batch that keeps failing is tried text by text; a text that fails then has no embedding and what was raised. Between attempts it waits backoff seconds, twice as long each time. Python holds a batch of texts and vectors at a time."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tried(texts: list[str], times: int) -> tuple[np.ndarray | None, str | None]:
             said = None
             for k in range(times):
@@ -97,19 +97,17 @@ def embedded(chunks: DataFrame, provider: Provider, batch: int = 32, retries: in
                     time.sleep(backoff * 2**k)
             return None, said
 
-        for frame in frames:
-            ids, vectors, errors = [], [], []
-            for at in range(0, len(frame), batch):
-                some = frame.iloc[at : at + batch]
-                texts = [f"search_document: {t}" for t in some["content"]]
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                some = rows.slice(at, batch)
+                texts = [f"search_document: {t}" for t in some.column("content").to_pylist()]
                 got, _ = tried(texts, retries)
                 each = [(v, None) for v in got] if got is not None else [(r[0], None) if (r := (x := tried([t], 1))[0]) is not None else (None, x[1]) for t in texts]
-                ids += list(some["id"])
-                vectors += [None if v is None else [float(x) for x in v] for v, _ in each]
-                errors += [e for _, e in each]
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "embedding": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)})
+                vectors = pa.array([None if v is None else np.asarray(v, np.float32) for v, _ in each], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([some.column("id"), vectors, pa.array([e for _, e in each], pa.string())], ["id", "embedding", "error"])
+        give_back()
 
-    return chunks.select("id", "content").mapInPandas(run, "id long, embedding array<float>, error string")
+    return chunks.select(F.col("id").cast("long").alias("id"), "content").mapInArrow(run, "id long, embedding array<float>, error string")
 
 
 def status(rows: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:

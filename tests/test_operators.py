@@ -374,3 +374,27 @@ def test_diffs_are_those_of_difflib(monkeypatch):
     monkeypatch.setattr(history.difflib, "unified_diff", lambda *a, **k: searched.append(a) or real(*a, **k))
     history.diff_of("modify\n1995-01-01", "modify\n1996-01-01"), history.diff_of(None, "add\n1995"), history.diff_of("add\n1", "delete\n2")
     assert not searched  # lines that can be matched in one way only aren't searched for
+
+
+def test_chunks_and_vectors_hold_a_part_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    held, whole = [], text.chunks_of
+    monkeypatch.setattr(text, "HELD", 100)
+    monkeypatch.setattr(pa, "concat_arrays", lambda parts, real=pa.concat_arrays: held.append(len(parts)) or real(parts))
+    texts = ["a b " * 10, None, "", "c " * 300] + ["d " * 20] * 7
+    got = [x for part in text.chunked.func(iter([pa.array(texts), pa.array([], pa.string()), pa.array([None], pa.string())])) for x in part.to_pylist()]
+    assert got == [None if t is None else whole(t) for t in [*texts, None]]
+    assert held == [6, 1]
+
+
+def test_vectors_leave_python_by_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    chunks = spark.createDataFrame([(1, "x")], "id long, content string")
+    monkeypatch.setattr(type(chunks), "mapInArrow", lambda df, run, schema: seen.append(run) or df)
+    embed.embedded(chunks, embed.hashing_provider(4), batch=3)
+    rows = pa.RecordBatch.from_pydict({"id": pa.array(range(8), pa.int64()), "content": [f"w{i}" for i in range(8)]})
+    parts = list(seen[0](iter([rows])))
+    assert [x.num_rows for x in parts] == [3, 3, 2] and [i for x in parts for i in x.column("id").to_pylist()] == list(range(8))
